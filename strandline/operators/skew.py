@@ -93,8 +93,8 @@ def resistance_by_key(manifest: DataFrame) -> DataFrame:
 
 def keys_over_share(counts: DataFrame, keys: list[str], share: str = "0.012") -> DataFrame:
     """Keys with more than an exact decimal share of all rows, from per-key counts."""
-    total = counts.agg(F.sum("n_rows").alias("_all"))
-    return counts.join(F.broadcast(total), F.col("n_rows") > F.lit(share).cast("decimal(10,6)") * F.col("_all")).select(*keys)
+    total = counts.agg(F.sum("n_rows")).scalar()
+    return counts.where(F.col("n_rows") > F.lit(share).cast("decimal(10,6)") * total).select(*keys)
 
 
 def _p2_rates(spark, folder):
