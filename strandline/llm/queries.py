@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandline.llm import grouped_splits, mixing, packing, sampling, truncation
+from strandline.llm import grouped_splits, mixing, overlaps, packing, sampling, splitting, truncation
 
 QUERIES = {f.__name__: f for f in (
     sampling.p1_found, sampling.p1_sample, sampling.p1_report,
+    splitting.p3_found, splitting.p3_pieces, splitting.p3_bases,
+    overlaps.p4_found, overlaps.p4_pairs, overlaps.p4_report,
     grouped_splits.p5_found, grouped_splits.p5_assignment, grouped_splits.p5_forest,
     packing.p6_found, packing.p6_containers, packing.p6_fill,
     mixing.p7_found, mixing.p7_mix, mixing.p7_shares,
@@ -35,6 +37,8 @@ ORACLE = {
 select t.partition_label, t.species, t.phenotype from ({_TARGETS}) t left join s using (partition_label)
   left join a on a.partition_label = t.partition_label and a.species = t.species and a.phenotype = t.phenotype
 where coalesce(a.n, 0) < greatest(ceil(t.target_share * (coalesce(s.n, 0) // 5)), t.min_rows)""",
+    "p3_found": r"""select sequence_path from sequences
+where length(regexp_replace(array_to_string(list_filter(string_split_regex(fasta, '[\r\n]'), lambda x: not starts_with(x, '>')), ''), '[^A-Za-z]', '', 'g')) > 4096""",
     "p5_found": f"""with r as (select * from ({_ROWS}) where split in {_KNOWN})
 select 'genome' as entity_kind, genome_id as entity_key from r where genome_id is not null group by genome_id having count(distinct split_part(split, '_', 1)) > 1
 union all select 'species', species from r where species is not null group by species having bool_or(split = 'train') and bool_or(split in ('val_outside', 'test_outside'))""",
