@@ -92,7 +92,7 @@ def container_items(docs: DataFrame, capacity: int, tokens: str = "text") -> Dat
     )
 
 
-def pack(items: DataFrame, capacity: int, group_rows: int = 20_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int, group_rows: int = 8_000) -> DataFrame:
     """Items with the container each goes into.
 
     Items are spread by hash over groups of about `group_rows`, and each group is packed by itself, so neither one
@@ -108,7 +108,7 @@ def pack(items: DataFrame, capacity: int, group_rows: int = 20_000) -> DataFrame
         return pdf.assign(container_id=pdf["_group"].to_numpy().astype(np.int64) * (1 << 32) + number)[["doc_id", "part", "start", "size", "container_id"]]
 
     spread = items.withColumn("_group", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)).cast("int"))
-    return spread.repartition(max(groups, 1), "_group").groupBy("_group").applyInPandas(one, PACKED)
+    return spread.repartitionByRange(groups, "_group").groupBy("_group").applyInPandas(one, PACKED)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
