@@ -75,8 +75,7 @@ def read_range(chunk: bytes) -> tuple[int, int, int, np.ndarray, np.ndarray, np.
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Boundary table of each range, relative to its own letters.
 
-    cuts holds letters before which a record begins or a run of N has just ended, thinned to the first and last of
-    every 64 letters, which never hides the last chance to cut within a piece. A cut at a record start is shown as
+    cuts holds letters before which a record begins or a run of N has just ended. A cut at a record start is shown as
     -1 - place, as it holds even if the opening turns out to be a header.
     """
     for pdf in batches:
@@ -89,10 +88,6 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             after_n[1:n] = is_n[:-1] & ~is_n[1:]
             record = record[: n + 1] if len(record) > n else np.append(record, False)
             places = np.flatnonzero(after_n | record)
-            if len(places) > 2:
-                block = places >> 6
-                edge = np.append(True, block[1:] != block[:-1])
-                places = places[edge | np.append(edge[1:], True) | record[places]]
             coded = np.where(record[places], -1 - places, places)
             out.append((path, key, no, opening, rest, state, int(is_n[0]) if n else -1, int(is_n[-1]) if n else -1, int(is_n[opening]) if rest else -1, int(chunk[:1] == b">"), coded.astype(np.int32)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in RANGES.split(", ")])
