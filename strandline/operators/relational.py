@@ -147,6 +147,21 @@ def sample_balanced(df: DataFrame, label: str, key: str, target: int, share_of_z
     return zeros.unionByName(ones).drop("_h", "rank")
 
 
+def sample_proportional(df: DataFrame, by: list[str], label: str, key: str, target: int, seed: int = 42) -> DataFrame:
+    """`target` rows of each group with its own shares of labels 1 and 0; what one label lacks the other fills.
+
+    Groups of at most `target` rows are taken whole. Rows of other labels are left out.
+    """
+    counts = df.groupBy(*by).agg(F.count_if(F.col(label) == 1).alias("_r"), F.count_if(F.col(label) == 0).alias("_z"))
+    n, want = F.col("_r") + F.col("_z"), F.floor(F.lit(target) * F.col("_r") / (F.col("_r") + F.col("_z")))
+    first = counts.where("_r + _z > 0").withColumn("_1", F.when(n <= target, F.col("_r")).otherwise(F.least(want, "_r"))).withColumn("_0", F.when(n <= target, F.col("_z")).otherwise(F.least(target - want, "_z")))
+    lack = F.greatest(target - F.col("_1") - F.col("_0"), F.lit(0))
+    quota = first.select(*by, (F.col("_1") + F.least(F.col("_r") - F.col("_1"), lack)).alias("_q1"), (F.col("_0") + F.least(F.col("_z") - F.col("_0"), lack)).alias("_q0"))
+    # no label's quota is above the target, so each group is cut to that many before its quota is looked up
+    ranked = top_per_group(df.where(F.col(label).isin(0, 1)).withColumn("_h", hash_order(F.col(key), seed)), [*by, label], [F.col("_h"), F.col(key)], target)
+    return ranked.join(quota, by).where(F.col("rank") <= F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0"))).drop("_h", "rank", "_q1", "_q0")
+
+
 def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
     """Rows to splits by a hash of their key: no shuffle, and a row keeps its split when others come. The rest is train."""
     if any(s < 0 for s in shares.values()) or sum(shares.values()) >= 1:

@@ -82,3 +82,22 @@ def position_bins(values: DataFrame, key: str, column: str, bins: int) -> DataFr
     b = F.when(F.col("_n") <= 1, 0).otherwise(F.floor(F.col("t") / (F.col("_n") - 1).cast("double") * (1 - 1e-9) * bins)).cast("int")
     per = values.join(n, key).groupBy(key, b.alias("bin")).agg(F.avg(column).alias("_m"))
     return per.groupBy("bin").agg(F.round(F.avg("_m"), 6).alias("mean"), F.count("*").alias("n_sequences"))
+
+
+def even_rows(tokens: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows of each sequence at even distances, its ends among them; a sequence of fewer rows gives each row once."""
+    lengths = tokens.groupBy(key).agg((F.max("t") + 1).alias("_n"))
+    at = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / float(max(n - 1, 1))).cast("long")))
+    return tokens.join(lengths.select(key, F.explode(at).alias("t")), [key, "t"])
+
+
+def rotated(c: Column, by: int) -> Column:
+    """A text whose first characters are moved to its end."""
+    return F.concat(F.substr(c, F.lit(by + 1)), F.substr(c, F.lit(1), F.lit(by)))
+
+
+def sequence_errors(df: DataFrame, key: str, text: str, least: int, most: int, alphabet: str = "ATCGN") -> DataFrame:
+    """Sequences that are empty, have letters outside the alphabet, or are too short or too long; the first of these counts."""
+    n = F.length(text)
+    error = F.when(F.coalesce(n, F.lit(0)) == 0, "empty").when(~F.col(text).rlike(f"^[{alphabet}]+$"), "alphabet").when(n < least, "short").when(n > most, "long")
+    return df.select(key, error.alias("error")).where("error is not null")

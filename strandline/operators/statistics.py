@@ -100,3 +100,12 @@ def representation_score(comparison: DataFrame, shares_full: DataFrame, shares_p
     mixed = shares_full.select(by, F.col("share").alias("_f")).join(shares_part.select(by, F.col("share").alias("_p")), by)
     gap = mixed.agg(F.avg(F.abs(F.col("_f") - F.col("_p")))).scalar()
     return likeness.select(F.round(100 * (F.col("_likeness") + 20.0 * (1 - gap) + 20.0 * F.least(coverage, F.lit(1.0))) / (20.0 * F.col("_groups") + 40.0), 6).alias("score"))
+
+
+def stage_decomposition(df: DataFrame, layer: str, stage: str, value: str, first: str, last: str) -> DataFrame:
+    """Mean and largest magnitude of two stages per layer, and the gain from the first to the last; null where one is missing."""
+    cells = []
+    for x in (first, last):
+        here = F.when(F.col(stage) == x, F.col(value))
+        cells += [F.avg(here).alias(f"_{x}"), F.round(F.avg(here), 6).alias(f"{x}_mean"), F.round(F.max(F.abs(here)), 6).alias(f"{x}_max")]
+    return df.groupBy(layer).agg(*cells).withColumn("gain", F.round(F.try_divide(f"_{last}", f"_{first}"), 6)).drop(f"_{first}", f"_{last}")

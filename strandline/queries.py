@@ -80,7 +80,7 @@ T = "t as (select user_id, row_number() over (partition by user_id order by ts,
 
 @query("select sequence_path, length(s) as n_bases, md5(upper(s)) as bases_md5 from (select sequence_path, regexp_replace(array_to_string(list_filter(string_split_regex(fasta, '[\\r\\n]+'), lambda x: not starts_with(x, '>')), ''), '[ \\t]', '', 'g') as s from sequences)")
 def src10_fasta(s, d):
-    return src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"])).select("sequence_path", F.length("sequence").alias("n_bases"), F.md5("sequence").alias("bases_md5"))
+    return src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"])).select("sequence_path", F.length("sequence").cast("long").alias("n_bases"), F.md5("sequence").alias("bases_md5"))
 
 
 @query("select distinct case when regexp_extract(n, '^([0-9]+[.][0-9]+)', 1) <> '' then regexp_extract(n, '^([0-9]+[.][0-9]+)', 1) else regexp_replace(n, '(_raw|_contigs)?[.].*$', '') end as genome_id from (select regexp_extract(sequence_path, '([^/]+)$', 1) as n from sequences)")
@@ -221,14 +221,14 @@ def _knn(s, d):
 
 @query(_KNN + " select query, neighbour, rank, round(score, 6) as score from k")
 def joi07_nearest_cosine(s, d):
-    return _knn(s, d)[1].select("query", "neighbour", "rank", F.round("score", 6).alias("score"))
+    return _knn(s, d)[1].select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(f"""with {V}, x as (select q.vec_id as query, v.vec_id as neighbour, round(list_distance(q.v, v.v), 9) as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0)
 select query, neighbour, rank, round(score, 6) as score from (select *, row_number() over (partition by query order by score, neighbour) as rank from x) where rank <= 9""")
 def joi08_nearest_euclidean(s, d):
     v = vectors(s, d)
-    return vec.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "v", 9, "euclidean").select("query", "neighbour", "rank", F.round("score", 6).alias("score"))
+    return vec.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "v", 9, "euclidean").select("query", "neighbour", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @query(_KNN + """ select k.query, q.phenotype as y_true, count(*) filter (where b.phenotype = 1) as n_one, count(*) filter (where b.phenotype = 0) as n_zero,
@@ -374,7 +374,7 @@ def _dims(s, d):
 
 @query(f"""with {M}, c as (select split, antibiotic, count(*) as n from m group by all) select split, antibiotic, n, rank from (select *, row_number() over (partition by split order by n desc, antibiotic) as rank from c) where rank <= 10""")
 def lim01_top_antibiotics(s, d):
-    return rel.top_per_group_counted(manifest(s, d), ["split"], "antibiotic", 10)
+    return rel.top_per_group_counted(manifest(s, d), ["split"], "antibiotic", 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"with {M} select genome_id from m union select genome_id from kover_labels where genome_id is not null")
@@ -673,7 +673,7 @@ def str06_shortened(s, d):
     return table(s, d, "sequences", ["sequence_path"]).select("sequence_path", sc.shortened(F.col("sequence_path"), 30).alias("short")).distinct()
 
 
-@query("select sequence_path, list_sum(list_transform(range(length(sequence_path)), lambda i: ascii(sequence_path[i + 1]))) as total, least(length(sequence_path), 32) as valid_len from sequences where strlen(sequence_path) = length(sequence_path)")
+@query("select sequence_path, list_sum(list_transform(range(length(sequence_path)), lambda i: ascii(sequence_path[i + 1])))::bigint as total, least(length(sequence_path), 32) as valid_len from sequences where strlen(sequence_path) = length(sequence_path)")
 def str08_str09_tokens(s, d):
     p = table(s, d, "sequences", ["sequence_path"]).where(F.octet_length("sequence_path") == F.length("sequence_path"))
     return p.select("sequence_path", F.aggregate(sc.byte_tokens(F.col("sequence_path")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.least(F.length("sequence_path"), F.lit(32)).cast("long").alias("valid_len"))
@@ -699,3 +699,127 @@ def mdl10_attention_pool(s, d):
     return models.attention_pool(v, ["label"], "a", "x")
 
 
+
+
+# ---------------------------------------------------------------- further audits, samples and projections
+
+
+@query(f"""with {M}, f as (select split, avg(phenotype::double) as r, count(*)::double / (select count(*) from m) as share from m group by 1),
+p as (select split, avg(phenotype::double) as r, count(*)::double / (select count(*) from m where row_id % 3 = 0) as share from m where row_id % 3 = 0 group by 1),
+c as (select count(distinct species) filter (where row_id % 3 = 0)::double / count(distinct species) as c from m)
+select round(100 * (sum(greatest(20.0::double * (1 - abs(round(coalesce(p.r, 0) - f.r, 6))), 0)) + 20.0::double * (1 - avg(abs(round(f.share, 6) - round(p.share, 6)))) + 20.0::double * least(any_value(c), 1)) / (20.0::double * count(*) + 40.0), 6) as score
+from f left join p using (split), c""")
+def sta03_representation(s, d):
+    m = manifest(s, d)
+    covered = m.agg((F.count_distinct(F.when(F.col("row_id") % 3 == 0, F.col("species"))).cast("double") / F.count_distinct("species")).alias("c")).scalar()
+    return sta.representation_score(sta.rate_comparison(m, _part(m), "split"), rel.value_shares(m, "split"), rel.value_shares(_part(m), "split"), "split", covered)
+
+
+@query("""select user_id % 8 as layer, round(avg(value) filter (where event_type = 'view'), 6) as view_mean, round(max(abs(value)) filter (where event_type = 'view'), 6) as view_max, round(avg(value) filter (where event_type = 'purchase'), 6) as purchase_mean,
+round(max(abs(value)) filter (where event_type = 'purchase'), 6) as purchase_max, round(avg(value) filter (where event_type = 'purchase') / avg(value) filter (where event_type = 'view'), 6) as gain from events group by 1""")
+def sta15_decomposition(s, d):
+    e = table(s, d, "events", ["user_id", "event_type", "value"]).withColumn("layer", F.col("user_id") % 8)
+    return sta.stage_decomposition(e, "layer", "event_type", "value", "view", "purchase")
+
+
+@query("select layer, user_id, event_id, x, r as rank from (select user_id % 8 as layer, user_id, event_id, round(abs(value), 6) as x, row_number() over (partition by user_id % 8 order by abs(value) desc, event_id) as r from events) where r <= 5")
+def sta16_culprits(s, d):
+    e = table(s, d, "events", ["user_id", "event_id", "value"]).select((F.col("user_id") % 8).alias("layer"), "user_id", "event_id", F.abs("value").alias("a"))
+    top = rel.top_per_group(e, ["layer"], [F.desc("a"), F.col("event_id")], 5)
+    return top.select("layer", "user_id", "event_id", F.round("a", 6).alias("x"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {T} select user_id, round(max(abs(x)), 6) as max_padded from t where t % 5 = 0 group by 1")
+def sta19_mask_leak(s, d):
+    return tokens(s, d).where("t % 5 = 0").groupBy("user_id").agg(F.round(F.max(F.abs("x")), 6).alias("max_padded"))
+
+
+@query(f"""with {M}, g as (select distinct split, genome_id, phenotype from m), c as (select split, count(*) filter (where phenotype = 1) as r, count(*) filter (where phenotype = 0) as z from g group by 1),
+a as (select *, case when r + z <= 30 then r else least(floor(30 * r / (r + z)), r) end as q1, case when r + z <= 30 then z else least(30 - floor(30 * r / (r + z)), z) end as q0 from c),
+b as (select split, q1 + least(r - q1, greatest(30 - q1 - q0, 0)) as q1, q0 + least(z - q0, greatest(30 - q1 - q0, 0)) as q0 from a),
+k as (select *, row_number() over (partition by split, phenotype order by md5(genome_id || ':42'), genome_id) as n from g)
+select k.split, genome_id, phenotype from k join b using (split) where n <= case when phenotype = 1 then q1 else q0 end""")
+def smp06_proportional(s, d):
+    return rel.sample_proportional(manifest(s, d).select("split", "genome_id", "phenotype").distinct(), ["split"], "phenotype", "genome_id", 30)
+
+
+@query(f"with {M}, g as (select distinct phenotype, genome_id from m join sequences using (sequence_path) where split = 'train') select phenotype, genome_id from (select *, row_number() over (partition by phenotype order by md5(genome_id || ':1337'), genome_id) as r from g) where r <= 30")
+def smp07_fit_manifest(s, d):
+    there = manifest(s, d).where("split = 'train'").join(table(s, d, "sequences", ["sequence_path"]), "sequence_path", "left_semi")
+    return rel.sample_per_group(there.select("phenotype", "genome_id").distinct(), ["phenotype"], "genome_id", 30, 1337)
+
+
+@query(f"with {T}, n as (select user_id, max(t) + 1 as n from t group by 1), i as (select distinct user_id, floor(i * (n - 1) / 9.0::double)::bigint as t from n, range(10) r(i)) select user_id, t, x from t join i using (user_id, t)")
+def smp09_even_sample(s, d):
+    return seq.even_rows(tokens(s, d), "user_id", 10)
+
+
+@query(f'with {_SPANS}, h as (select user_id, start, "end", row_number() over (partition by user_id order by md5(start || \':42\'), start) as r from sw) select user_id, start, "end" from h where r <= 3')
+def smp10_window_sample(s, d):
+    n = table(s, d, "events", ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"))
+    spans = n.select("user_id", F.inline(seq.spans(F.col("n"), 16, 8)))
+    return rel.sample_per_group(spans, ["user_id"], "start", 3)
+
+
+_SEQ = "s as (select sequence_path, upper(regexp_replace(array_to_string(list_filter(string_split_regex(fasta, '[\\r\\n]+'), lambda x: not starts_with(x, '>')), ''), '[ \\t]', '', 'g')) as q from sequences)"
+
+
+@query(f"with {_SEQ} select sequence_path, md5(substr(q, 101) || substr(q, 1, 100)) as shifted, md5(reverse(q)) as reversed, md5(repeat(substr(q, 1, 10), 5)) as repeated from s")
+def smp12_str11_variants(s, d):
+    q = src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"]))
+    return q.select("sequence_path", F.md5(seq.rotated(F.col("sequence"), 100)).alias("shifted"), F.md5(F.reverse("sequence")).alias("reversed"), F.md5(F.repeat(F.substring("sequence", 1, 10), F.lit(5))).alias("repeated"))
+
+
+@query(f"with {_SEQ} select sequence_path, case when q = '' then 'empty' when not regexp_full_match(q, '[ATCGN]+') then 'alphabet' when length(q) < 500 then 'short' when length(q) > 10000 then 'long' end as error from s where q = '' or not regexp_full_match(q, '[ATCGN]+') or length(q) not between 500 and 10000")
+def sta21_sequence_errors(s, d):
+    return seq.sequence_errors(src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"])), "sequence_path", "sequence", 500, 10_000)
+
+
+@query(f"with {T} select user_id, round(avg(x), 6) as mean, round(max(x), 6) as max from t where t % 5 <> 0 group by 1")
+def vec06_mean_max_pool(s, d):
+    return tokens(s, d).where("t % 5 <> 0").groupBy("user_id").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("max"))
+
+
+@query(f"with {V} select i::int as i, j::int as j, round(corr(v[i + 1], v[j + 1]), 6) as corr from v, range(50) a(i), range(50) b(j) where i < j group by all")
+def vec10_correlation(s, d):
+    cov = vec.covariance(vectors(s, d), "v", 64).where("i < 50 and j < 50")
+    var = cov.where("i = j")
+    x, y = var.select("i", F.col("cov").alias("_x")), var.select("j", F.col("cov").alias("_y"))
+    return cov.where("i < j").join(x, "i").join(y, "j").select("i", "j", F.round(F.try_divide(F.col("cov"), F.sqrt(F.col("_x") * F.col("_y"))), 6).alias("corr"))
+
+
+@query()
+def prj07_whole_series_features(s, d):
+    f = vec.kernel_features(tokens(s, d), ["user_id"], "x", 64, 4, 2)
+    return f.select("user_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query(f"with {V}, {_RP}, x as (select vec_id, label, i, sum(v[j + 1] * w) as x from v, w group by all) select label, i, {_SIX} from x group by all")
+def prj08_project_and_pool(s, d):
+    import numpy as np
+
+    p = vec.projected(vectors(s, d), "v", np.zeros(64), vec.sparse_axes(64, 8))
+    return seq.six_stats(p.select("label", F.posexplode("projected").alias("i", "x")).withColumn("i", F.col("i").cast("long")), ["label", "i"], "x")
+
+
+@query(_KNN + """, r as (select k.query, q.split, q.phenotype as y, (count(*) filter (where b.phenotype = 1) > count(*) filter (where b.phenotype = 0))::int as p from k join v q on q.vec_id = k.query join v b on b.vec_id = k.neighbour group by all)
+select split, count(*) as n, round(avg((y = p)::int::double), 6) as accuracy from r group by 1""")
+def agg20_accuracy_by_split(s, d):
+    v, n = _knn(s, d)
+    voted = vec.votes(n, v, "vec_id", "phenotype").join(v.select(F.col("vec_id").alias("query"), "split"), "query")
+    return voted.groupBy("split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")), 6).alias("accuracy"))
+
+
+@query("select subset_name, count(*) as n, round(count(*)::double / (select count(*) from used_registry), 6) as share from used_registry group by 1")
+def agg22_subsets(s, d):
+    return rel.value_shares(table(s, d, "used_registry", ["subset_name"]), "subset_name")
+
+
+@query(f"with {_SUMMARY} select round(quantile_cont(mcc, 0.25), 6) as p0_25, round(quantile_cont(mcc, 0.5), 6) as p0_5, round(quantile_cont(mcc, 0.75), 6) as p0_75 from s")
+def agg23_metric_quartiles(s, d):
+    return sta.percentiles(met.classification_summary(predictions(s, d), ["grp"]), [], "mcc", [0.25, 0.5, 0.75])
+
+
+@query("select event_type, sum(json_extract_string(props, '$.k')::bigint)::bigint as k_sum, count(*) as n from events group by 1")
+def jsn01_properties(s, d):
+    return table(s, d, "events", ["event_type", "props"]).groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k_sum"), F.count("*").alias("n"))
