@@ -67,6 +67,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two vectors."""
+    gap = F.zip_with(a, b, lambda x, y: x - y)
+    return F.sqrt(dot(gap, gap))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 

@@ -33,3 +33,20 @@ def running_total(df: DataFrame, group: list[str], keys: list[str], value: str |
         .withColumn(name, F.col("_start") + F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
         .drop("_order", "_bucket", "_amount", "_start", *[f"_s_{c}" for c in by])
     )
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], bucket: Column, name: str = "t") -> DataFrame:
+    """Add the place (from 0) of every row in its group's order.
+
+    `bucket` has to rise with the first column of `order`, such as its day: rows are numbered inside buckets, and
+    the small table of bucket counts gives each its start. So the largest bucket, not the largest group, is what one
+    task sorts. Nulls in the order come first; rows equal in all of `order` follow each other in any order.
+    """
+    by = [*group, "_bucket"]
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_s_{c}") for c in by], F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    joined = rows.join(starts, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in by])
+    return joined.withColumn(name, (F.col("_start") + inside - 1).cast("long")).drop("_bucket", "_start", *[f"_s_{c}" for c in by])

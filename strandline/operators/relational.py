@@ -139,6 +139,17 @@ def sample_per_group(df: DataFrame, by: list[str], key: str, n: int, seed: int =
     return top_per_group(df.withColumn("_h", hash_order(F.col(key), seed)), by, [F.col("_h"), F.col(key)], n).drop("_h", "rank")
 
 
+def sample_each_group_first(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows: first one of each group, groups in order, then any others in hash order; the first of a group is its first in hash order.
+
+    Only n rows of a group can matter, so groups are pruned to these before the rest meet; the final sort keeps n rows a task.
+    """
+    h = hash_order(F.col(key), seed)
+    ranked = top_per_group(df.withColumn("_h", h), [by], [F.col("_h"), F.col(key)], n)
+    first = F.col("rank") == 1
+    return ranked.orderBy(~first, F.when(first, F.col(by)), "_h", key, by).limit(n).drop("_h", "rank")
+
+
 def sample_balanced(df: DataFrame, label: str, key: str, target: int, share_of_zero: float, seed: int = 42) -> DataFrame:
     """`target` rows of which a given share has label 0; what label 0 lacks is filled with label 1 and not the reverse."""
     zeros = top_per_group(df.where(F.col(label) == 0).withColumn("_h", hash_order(F.col(key), seed)), [label], [F.col("_h"), F.col(key)], int(target * share_of_zero))

@@ -49,7 +49,7 @@ def six_stats(values: DataFrame, by: list[str], column: str) -> DataFrame:
     c = F.col(column).cast("double")
     q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     agg = values.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"), q.alias("_q"))
-    r = lambda x: F.round(x, 6).alias(x)
+    r = lambda x: F.round(F.round(x, 9), 6).alias(x)  # the order in which Spark adds up must not tip a tie
     return agg.select(*by, r("mean"), r("std"), r("max"), r("min"), F.round(F.get("_q", F.lit(0)), 6).alias("q25"), F.round(F.get("_q", F.lit(1)), 6).alias("q75"))
 
 
@@ -101,3 +101,13 @@ def sequence_errors(df: DataFrame, key: str, text: str, least: int, most: int, a
     n = F.length(text)
     error = F.when(F.coalesce(n, F.lit(0)) == 0, "empty").when(~F.col(text).rlike(f"^[{alphabet}]+$"), "alphabet").when(n < least, "short").when(n > most, "long")
     return df.select(key, error.alias("error")).where("error is not null")
+
+
+def random_windows(df: DataFrame, key: str, text: str, n: int, length: int, seed: int = 42) -> DataFrame:
+    """(key, window_idx, start, window): n windows of each text at places that md5 of (key, number, seed) gives.
+
+    Texts shorter than a window give none; windows of one text may overlap.
+    """
+    at = df.where(F.length(text) >= length).select(key, F.col(text), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("window_idx"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", key, "window_idx", F.lit(seed))), 1, 12), 16, 10).cast("long")
+    return at.withColumn("start", draw % (F.length(text) - length + 1)).select(key, "window_idx", "start", F.substr(F.col(text), (F.col("start") + 1).cast("int"), F.lit(length)).alias("window"))

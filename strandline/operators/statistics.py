@@ -109,3 +109,39 @@ def stage_decomposition(df: DataFrame, layer: str, stage: str, value: str, first
         here = F.when(F.col(stage) == x, F.col(value))
         cells += [F.avg(here).alias(f"_{x}"), F.round(F.avg(here), 6).alias(f"{x}_mean"), F.round(F.max(F.abs(here)), 6).alias(f"{x}_max")]
     return df.groupBy(layer).agg(*cells).withColumn("gain", F.round(F.try_divide(f"_{last}", f"_{first}"), 6)).drop(f"_{first}", f"_{last}")
+
+
+def tail_ratio(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Mean and largest magnitude, and the 99.9th (the 99th below 1,000 values) over the 95th percentile of magnitudes."""
+    x = F.abs(F.col(column).cast("double"))
+    p = F.percentile(x, F.array(*[F.lit(q) for q in (0.95, 0.99, 0.999)]))
+    agg = df.groupBy(*by).agg(F.count(x).alias("_n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.max(x), 6).alias("max"), p.alias("_p"))
+    return agg.select(*by, "mean", "max", F.round(F.try_divide(F.when(F.col("_n") < 1000, F.col("_p")[1]).otherwise(F.col("_p")[2]), F.col("_p")[0]), 6).alias("tail_ratio"))
+
+
+# Magnitudes at which 32-bit floats stop holding every integer, and ten times 2 to the 20th.
+MAGIC = [8388608.0, 10485760.0, 16777216.0]
+
+
+def constant_hits(df: DataFrame, by: list[str], column: str, constants: list[float] = MAGIC) -> DataFrame:
+    """How many values of a group have one of the given magnitudes, and whether any has."""
+    hit = F.abs(column).isin(constants)
+    return df.groupBy(*by).agg(F.count_if(hit).alias("n_hits"), F.bool_or(hit).alias("hit"))
+
+
+def tail_shape(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Kurtosis and Hill index per group, the latter over the n / 50 largest magnitudes, 10 at least and 200 at most."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", F.least(F.greatest(F.floor(F.col("n") / 50), F.lit(10)), F.lit(200)).cast("long"))
+    x = df.select(*by, F.abs(F.col(column).cast("double")).alias("_x")).where("_x > 0")
+    held = x.groupBy(*by).agg(F.count("*").alias("_held"))
+    top = x.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_x")))).where("_r <= 200").join(sizes, by).where("_r <= k")
+    tail = top.groupBy(*by, "k").agg(F.sum(F.log("_x")).alias("_s"), F.min("_x").alias("_min"))
+    inverse = F.col("_s") / F.col("k") - F.log("_min")
+    hill = tail.join(held, by).select(*by, F.when((F.col("_held") >= F.greatest(F.lit(10), F.col("k") + 1)) & (inverse > 0), F.round(1 / inverse, 6)).alias("hill"))
+    return sizes.join(kurtosis_of(df, by, column), by).join(hill, by, "left").fillna(0.0, ["hill"])
+
+
+def trajectory(df: DataFrame, place: str, layer: str, column: str) -> DataFrame:
+    """A value of each chosen place from layer to layer, with its change since the one before; null in the first."""
+    w = Window.partitionBy(place).orderBy(layer)
+    return df.select(place, layer, F.round(column, 6).alias("x"), F.round(F.col(column) - F.lag(column).over(w), 6).alias("change"))

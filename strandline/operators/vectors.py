@@ -140,6 +140,96 @@ def kernel_features(windows: DataFrame, keys: list[str], column: str, length: in
     return series.select(*keys, features("x").alias("features"))
 
 
+def series_features(tokens: DataFrame, keys: list[str], column: str, block: int = 4096, most: int = 4, quantiles: int = 2, sample: int = 32) -> DataFrame:
+    """Random-convolution features of whole series of tokens (keys, t, column), however long, as (keys, features).
+
+    A feature is a share of places, and counts of places add up: a series is cut into blocks of `block` places, every
+    block gets a halo of the tokens its kernels reach, and the counts of the blocks are summed. So a task holds
+    blocks, never a series, and the result is that of one convolution over the whole. Dilations are those that fit a
+    block. Beyond the ends, and at places without a token or with a null, values are 0; each t of a series occurs once. Biases are
+    fitted on `sample` blocks, first in hash order; that bound is the only data the driver gets. No tokens give no rows.
+    """
+    halo, at = 4 * max(dilations(block, most)), F.col("t").cast("long")
+    around = F.array_distinct(F.array(F.floor((at - halo) / block), F.floor(at / block), F.floor((at + halo) / block)))
+    rows = tokens.where("t is not null").select(*keys, at.alias("t"), F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("x"), F.explode(around).alias("_block"))
+    blocks = rows.groupBy(*keys, "_block").agg(F.collect_list("t").alias("t"), F.collect_list("x").alias("x"), F.count_if(F.floor(F.col("t") / block) == F.col("_block")).alias("_n")).where("_n > 0")
+
+    def laid_out(b: int, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide, own = np.zeros(block + 2 * halo), np.zeros(block, bool)
+        place = np.asarray(t, int) - (b * block - halo)
+        wide[place] = x
+        mine = place[(place >= halo) & (place < halo + block)] - halo
+        own[mine] = True
+        return wide, own
+
+    drawn = blocks.orderBy(F.xxhash64(*keys, "_block"), *keys, "_block").limit(sample).collect()
+    if not drawn:
+        return tokens.select(*keys, F.array().cast("array<double>").alias("features")).limit(0)
+    fit = [laid_out(r["_block"], r["t"], r["x"]) for r in drawn]
+    kernels, biases = _kernels(), kernel_biases([wide[halo : halo + np.flatnonzero(own).max() + 1] for wide, own in fit], block, most, quantiles)
+
+    @F.pandas_udf("array<long>")
+    def counts(b: pd.Series, t: pd.Series, x: pd.Series) -> pd.Series:
+        out = []
+        for i, places, values in zip(b, t, x):
+            wide, own = laid_out(i, places, values)
+            held = np.flatnonzero(own) + halo
+            out.append(np.concatenate([(convolved(wide, d, kernels)[:, None, held] > cut_at[:, :, None]).sum(2).ravel() for d, cut_at in biases.items()]))
+        return pd.Series(out)
+
+    per_block = blocks.select(*keys, "_n", F.posexplode(counts("_block", "t", "x")).alias("_i", "_c"))
+    shares = per_block.groupBy(*keys, "_i").agg((F.sum("_c") / F.sum("_n")).alias("_share"))
+    return shares.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_share")))["_share"].alias("features"))
+
+
+def silhouettes(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, block: int = 512) -> DataFrame:
+    """(query, label, silhouette) of stated queries against all rows of base, with Euclidean distance.
+
+    Every task of base sums the distances from each query to its own rows of each cluster; only these sums are shuffled, a row
+    for each query and cluster. A query that is alone in its cluster, or in the only cluster, has 0. Rows with a null vector or label are left out.
+    """
+    held = (F.col(vector).isNotNull()) & F.col(label).isNotNull()
+    stated = cut(queries.where(held).select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.col(label).alias("_own")))
+    rows = base.where(held).select(F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("c"))
+    schema = f"query {dict(base.dtypes)[key]}, c {dict(base.dtypes)[label]}, total double, n long"
+
+    def sums(ids: list, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: dict = {}
+            for pdf in batches:
+                for name, g in pdf.groupby("c"):
+                    x = np.stack([np.asarray(v) for v in g["v"]])
+                    total, n = kept.get(name, (0.0, 0))
+                    kept[name] = (total + sum(np.sqrt(((q[:, None, :] - x[None, i : i + 64, :]) ** 2).sum(2)).sum(1) for i in range(0, len(x), 64)), n + len(x))
+            for name, (total, n) in kept.items():
+                yield pd.DataFrame({"query": ids, "c": name, "total": total, "n": n})
+
+        return rows.mapInPandas(run, schema)
+
+    found, ids, vectors = None, [], []
+
+    def flush() -> None:
+        nonlocal found, ids, vectors
+        if ids:
+            part = sums(ids, np.array(vectors))
+            found, ids, vectors = part if found is None else found.unionByName(part), [], []
+
+    for r in stated.toLocalIterator():  # one block at a time
+        ids.append(r["_id"])
+        vectors.append(r["_v"])
+        if len(ids) == block:
+            flush()
+    flush()
+    own = stated.select(F.col("_id").alias("query"), F.col("_own").alias("label"))
+    if found is None:
+        return own.select("query", "label", F.lit(0.0).alias("silhouette"))
+    met = found.groupBy("query", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(own, "query")
+    inner = F.col("c") == F.col("label")
+    a = F.max(F.when(inner & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
+    b = F.min(F.when(~inner, F.col("total") / F.col("n")))
+    return met.groupBy("query", "label").agg(a.alias("_a"), b.alias("_b")).select("query", "label", F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)).alias("silhouette"))
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
     """(query, neighbour, score, rank): the k rows of base nearest to each query, itself left out.
 

@@ -13,6 +13,7 @@ from strandline.operators import relational as rel
 from strandline.operators import sequences as seq
 from strandline.operators import statistics as sta
 from strandline.operators import vectors as vec
+from strandline.operators.ordering import numbered
 from strandline.runtime import table
 from strandline.sources import files as src
 
@@ -60,8 +61,8 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(s, d, "events", ["user_id", "ts", "event_id", "value"]).select("user_id", (F.row_number().over(w) - 1).cast("long").alias("t"), F.col("value").alias("x"))
+    e = table(s, d, "events", ["user_id", "ts", "event_id", "value"])
+    return numbered(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts")).select("user_id", "t", F.col("value").alias("x"))
 
 
 _K = "nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), '')"
@@ -684,7 +685,7 @@ def str08_str09_tokens(s, d):
 
 @query()
 def mdl01_mdl09_suite(s, d):
-    return models.evaluate_suite(vectors(s, d), "v", "phenotype", "split")
+    return models.evaluate_suite(vectors(s, d), "v", "phenotype", "split", 64)
 
 
 @query(f"""with {V}, c as (select phenotype, j, avg(v[j + 1]) as m from v, range(64) r(j) where split = 'train' group by all), l as (select phenotype as c, list(m order by j) as m from c group by 1),
@@ -699,6 +700,39 @@ def mdl10_attention_pool(s, d):
     return models.attention_pool(v, ["label"], "a", "x")
 
 
+def _bags(s, d):
+    """Four vectors a bag; a bag is positive if one of them has label 3."""
+    v = table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("bag"), "label", sc.doubles(F.col("embedding")).alias("v"))
+    y = v.groupBy("bag").agg(F.max((F.col("label") == 3).cast("int")).alias("y"))
+    return v.join(y, "bag").withColumn("split", F.when(F.col("bag") % 5 == 0, "test").otherwise("train"))
+
+
+@query()
+def mdl10_attention_training(s, d):
+    b = _bags(s, d)
+    net = models.train_attention(b.where("split = 'train'"), "bag", "v", "y", 64)
+    known = b.select("bag", "split", F.col("y").alias("y_true")).distinct()
+    return known.join(models.bag_scores(net, b, "bag", "v"), "bag").select("bag", "split", "y_true", (F.col("logit") > 0).cast("int").alias("y_pred"), F.round(1 / (1 + F.exp(-F.col("logit"))), 6).alias("y_score"))
+
+
+@query()
+def mdl14_cross_validation(s, d):
+    v = vectors(s, d).withColumn("fold", F.pmod(F.xxhash64("vec_id"), F.lit(5)))
+    chosen = {n: m for n, m in models.suite(64).items() if n in ("logistic_l2", "calibrated_svm")}
+    return models.cross_validated(v, "v", "phenotype", "fold", 5, chosen)
+
+
+@query(f"""with {V}, x as (select q.vec_id as query, q.label, v.label as c, sum(list_distance(q.v, v.v)) as total, count(*) as n from v q, v where q.vec_id % 100 = 0 group by all),
+y as (select query, label, max(total / (n - 1)) filter (where c = label and n > 1) as a, min(total / n) filter (where c <> label) as b from x group by all)
+select query, label, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from y""")
+def met15_silhouette(s, d):
+    v = vectors(s, d)
+    return vec.silhouettes(v.where("vec_id % 100 = 0"), v, "vec_id", "v", "label").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query()
+def met15_best_k(s, d):
+    return models.best_cluster_count(vectors(s, d), "vec_id", "v", "label", F.col("vec_id") % 100 == 0, range(2, 8))
 
 
 # ---------------------------------------------------------------- further audits, samples and projections
@@ -790,7 +824,7 @@ def vec10_correlation(s, d):
 
 @query()
 def prj07_whole_series_features(s, d):
-    f = vec.kernel_features(tokens(s, d), ["user_id"], "x", 64, 4, 2)
+    f = vec.series_features(tokens(s, d), ["user_id"], "x", 64, 4, 2)
     return f.select("user_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
@@ -823,3 +857,52 @@ def agg23_metric_quartiles(s, d):
 @query("select event_type, sum(json_extract_string(props, '$.k')::bigint)::bigint as k_sum, count(*) as n from events group by 1")
 def jsn01_properties(s, d):
     return table(s, d, "events", ["event_type", "props"]).groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("k_sum"), F.count("*").alias("n"))
+
+
+@query(f"""with {T}, p as (select user_id, count(*) as n, quantile_cont(abs(x), [0.95, 0.99, 0.999]) as p, avg(abs(x)) as m, max(abs(x)) as top from t group by 1)
+select user_id, round(m, 4) as mean, round(top, 6) as max, round(case when n < 1000 then p[2] else p[3] end / p[1], 6) as tail_ratio from p""")
+def sta11_tail_ratio(s, d):
+    return sta.tail_ratio(tokens(s, d), ["user_id"], "x")
+
+
+@query("select user_id, count(*) filter (where round(abs(value)) in (1, 2, 4, 8, 16, 32, 64)) as n_hits, bool_or(round(abs(value)) in (1, 2, 4, 8, 16, 32, 64)) as hit from events group by 1")
+def sta14_constant_hits(s, d):
+    e = table(s, d, "events", ["user_id", "value"]).withColumn("x", F.round("value"))
+    return sta.constant_hits(e, ["user_id"], "x", [float(2**i) for i in range(7)])
+
+
+@query(f"""with {T}, c as (select user_id, avg(x) as m, count(*) as n, least(greatest(count(*) // 50, 10), 200) as k from t group by 1),
+u as (select user_id, avg(pow(x - m, 4)) / (pow(avg(pow(x - m, 2)), 2) + 1e-12::double) as kurtosis from t join c using (user_id) group by 1),
+p as (select user_id, abs(x) as x, k, count(*) over (partition by user_id) as n, row_number() over (partition by user_id order by abs(x) desc) as r from t join c using (user_id) where x <> 0),
+h as (select user_id, k, n, sum(ln(x)) / k - ln(min(x)) as inv from p where r <= k group by user_id, k, n)
+select user_id, c.n, c.k, round(kurtosis, 6) as kurtosis, case when h.n >= greatest(10, c.k + 1) and inv > 0 then round(1 / inv, 6) else 0 end as hill from c join u using (user_id) left join h using (user_id)""")
+def sta17_tail_shape(s, d):
+    return sta.tail_shape(tokens(s, d), ["user_id"], "x")
+
+
+@query(f"with {T}, top as (select t from t group by 1 order by max(abs(x)) desc, t limit 5) select t, user_id as layer, round(x, 6) as x, round(x - lag(x) over (partition by t order by user_id), 6) as change from t join top using (t)")
+def sta18_trajectory(s, d):
+    t = tokens(s, d)
+    top = t.groupBy("t").agg(F.max(F.abs("x")).alias("_a")).orderBy(F.desc("_a"), "t").limit(5).select("t")
+    return sta.trajectory(t.join(F.broadcast(top), "t").withColumnRenamed("user_id", "layer"), "t", "layer", "x")
+
+
+@query(f"with {V}, f as (select * from v order by vec_id limit 30) select a.vec_id as a, b.vec_id as b, round(list_distance(a.v, b.v), 6) as distance from f a join f b on a.vec_id < b.vec_id")
+def vec11_distances(s, d):
+    first = vectors(s, d).orderBy("vec_id").limit(30)
+    a, b = first.select(F.col("vec_id").alias("a"), F.col("v").alias("_x")), first.select(F.col("vec_id").alias("b"), F.col("v").alias("_y"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(sc.distance(F.col("_x"), F.col("_y")), 6).alias("distance"))
+
+
+@query(f"""with {_SEQ}, w as (select sequence_path, i, q, ('0x' || substr(md5(sequence_path || ':' || i || ':42'), 1, 12))::bigint % (length(q) - 200 + 1) as start from s, range(3) r(i) where length(q) >= 200)
+select sequence_path, i as window_idx, start, md5(substr(q, start + 1, 200)) as bases_md5 from w""")
+def smp11_random_windows(s, d):
+    q = src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"]))
+    return seq.random_windows(q, "sequence_path", "sequence", 3, 200).select("sequence_path", "window_idx", "start", F.md5("window").alias("bases_md5"))
+
+
+@query(f"""with {M}, g as (select species, genome_id, row_number() over (partition by species order by md5(genome_id || ':42'), genome_id) as r from (select distinct species, genome_id from m where split = 'val_outside' and phenotype = 0)),
+o as (select *, row_number() over (order by r > 1, case when r = 1 then species end, md5(genome_id || ':42'), genome_id, species) as n from g) select species, genome_id from o where n <= 40""")
+def smp04_each_group_first(s, d):
+    g = manifest(s, d).where("split = 'val_outside' and phenotype = 0").select("species", "genome_id").distinct()
+    return rel.sample_each_group_first(g, "species", "genome_id", 40)

@@ -1,4 +1,6 @@
 import importlib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from strandline.operators import metrics as met
 from strandline.operators import relational as rel
 from strandline.operators import sequences as seq
 from strandline.operators import statistics as sta
-from strandline.operators.ordering import running_total
+from strandline.operators.ordering import numbered, running_total
 from strandline.operators.skew import HeavyKeys, heavy_keys, keys_over_share, resistance_by_key, skewed_aggregate
 
 MANIFEST = "row_id long, genome_id string, species string, antibiotic string, phenotype int, partition_label string"
@@ -180,3 +182,42 @@ def test_all_queries_run_without_llm_imports():
             assert "strandline.llm" not in p.read_text(), p
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_numbered_matches_a_plain_sort(spark):
+    r = random.Random(1)
+    rows = [(g, r.randrange(40), i) for i, g in enumerate([None] * 50 + ["hot"] * 400 + ["a", "b"])] + [("a", None, 999)]
+    df = spark.createDataFrame(rows, "g string, at int, id int").repartition(5)
+    got = {(x["g"], x["id"]): x["t"] for x in numbered(df, ["g"], ["at", "id"], F.floor(F.col("at") / 10)).collect()}
+    for g in {x[0] for x in rows}:
+        order = sorted((x for x in rows if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        assert [got[g, x[2]] for x in order] == list(range(len(order)))
+    assert numbered(df.limit(0), ["g"], ["at"], F.col("at")).count() == 0
+
+
+def test_random_windows(spark):
+    df = spark.createDataFrame([("a", "ACGTACGTAC"), ("b", "ACG"), ("c", None), ("d", "ACGT")], "k string, s string")
+    got = seq.random_windows(df, "k", "s", 5, 4).collect()
+    text = {"a": "ACGTACGTAC", "d": "ACGT"}
+    assert {x["k"]: 5 for x in got} == {"a": 5, "d": 5} and len(got) == 10
+    assert all(text[x["k"]][x["start"] : x["start"] + 4] == x["window"] and len(x["window"]) == 4 for x in got)
+
+
+def test_tails(spark):
+    df = spark.createDataFrame([("a", float(2**i)) for i in range(20)] + [("b", 8388608.0), ("b", -16777216.0), ("b", 0.0), ("c", None)], "g string, x double")
+    hits = {x["g"]: (x["n_hits"], x["hit"]) for x in sta.constant_hits(df, ["g"], "x").collect()}
+    assert hits == {"a": (0, False), "b": (2, True), "c": (0, None)}
+    shape = {x["g"]: x for x in sta.tail_shape(df, ["g"], "x").collect()}
+    tail = [i * math.log(2) for i in range(10, 20)]
+    assert shape["a"]["hill"] == pytest.approx(1 / (sum(tail) / 10 - tail[0]), abs=1e-6) and shape["b"]["hill"] == 0 and shape["a"]["k"] == 10
+    ratio = {x["g"]: x for x in sta.tail_ratio(df, ["g"], "x").collect()}
+    assert ratio["a"]["max"] == 524288 and ratio["c"]["tail_ratio"] is None
+    steps = sta.trajectory(spark.createDataFrame([(0, 1, 2.0), (0, 2, 5.0)], "t int, layer int, x double"), "t", "layer", "x").orderBy("layer").collect()
+    assert [x["change"] for x in steps] == [None, 3.0]
+
+
+def test_each_group_first(spark):
+    df = spark.createDataFrame([("a", f"a{i}") for i in range(9)] + [("b", "b0"), ("c", "c0"), (None, "n0")], "g string, id string")
+    got = rel.sample_each_group_first(df, "g", "id", 5).collect()
+    assert len(got) == 5 and {x["g"] for x in got} == {"a", "b", "c", None}
+    assert rel.sample_each_group_first(df, "g", "id", 2).count() == 2 and rel.sample_each_group_first(df.limit(0), "g", "id", 2).count() == 0
