@@ -49,7 +49,7 @@ def six_stats(values: DataFrame, by: list[str], column: str) -> DataFrame:
     c = F.col(column).cast("double")
     q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     agg = values.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"), q.alias("_q"))
-    r = lambda x: F.round(F.round(x, 9), 6).alias(x)  # the order in which Spark adds up must not tip a tie
+    r = lambda x: F.round(F.round(x, 12), 6).alias(x)  # the order in which Spark adds up must not tip a tie
     return agg.select(*by, r("mean"), r("std"), r("max"), r("min"), F.round(F.get("_q", F.lit(0)), 6).alias("q25"), F.round(F.get("_q", F.lit(1)), 6).alias("q75"))
 
 
