@@ -111,3 +111,19 @@ def random_windows(df: DataFrame, key: str, text: str, n: int, length: int, seed
     at = df.where(F.length(text) >= length).select(key, F.col(text), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("window_idx"))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", key, "window_idx", F.lit(seed))), 1, 12), 16, 10).cast("long")
     return at.withColumn("start", draw % (F.length(text) - length + 1)).select(key, "window_idx", "start", F.substr(F.col(text), (F.col("start") + 1).cast("int"), F.lit(length)).alias("window"))
+
+
+def padded_windows(tokens: DataFrame, key: str, column: str, win: int) -> DataFrame:
+    """(key, window_idx, series): neighbouring windows of `win` tokens as arrays, the last filled with zeros."""
+    at = F.floor(F.col("t") / win).cast("long")
+    held = tokens.groupBy(key, at.alias("window_idx")).agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).cast("double").alias("x"))))["x"].alias("_x"))
+    return held.select(key, "window_idx", F.concat("_x", F.array_repeat(F.lit(0.0), F.lit(win) - F.size("_x"))).alias("series"))
+
+
+def selected_stats(values: DataFrame, by: list[str], column: str, names: list[str]) -> DataFrame:
+    """The named statistics per group, in the fixed order mean, max, std, min, median, whatever the order of names."""
+    c = F.col(column).cast("double")
+    known = {"mean": F.avg(c), "max": F.max(c), "std": F.stddev_pop(c), "min": F.min(c), "median": F.percentile(c, F.lit(0.5))}
+    if unknown := sorted(set(names) - set(known)):
+        raise ValueError(f"no statistic {', '.join(unknown)}")
+    return values.groupBy(*by).agg(*[F.round(F.round(f, 12), 6).alias(n) for n, f in known.items() if n in names])

@@ -67,6 +67,15 @@ def projected(df: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray, na
     return df.withColumn(name, F.array(*parts))
 
 
+def standardised(df: DataFrame, vector: str, dims: int) -> DataFrame:
+    """The vectors less their mean, over their sample deviation (at least 1e-6); null vectors stay null."""
+    _, mean, cov = moments(df, vector, dims)
+    parts = (F.array(*[F.lit(float(x)) for x in row]) for row in (mean, np.maximum(np.sqrt(np.diag(cov)), 1e-6)))
+    offset, scale = parts
+    centred = F.zip_with(F.col(vector).cast("array<double>"), offset, lambda a, b: a - b)
+    return df.withColumn(vector, F.zip_with(centred, scale, lambda a, b: a / b))
+
+
 def sparse_axes(dims: int, k: int, seed: int = 42, density: float | None = None) -> np.ndarray:
     """k sparse random axes: entries 0 or +-1 / sqrt(density k), chosen by md5 of (seed, axis, dimension)."""
     density = density or 1 / np.sqrt(dims)

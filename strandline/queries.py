@@ -906,3 +906,40 @@ o as (select *, row_number() over (order by r > 1, case when r = 1 then species
 def smp04_each_group_first(s, d):
     g = manifest(s, d).where("split = 'val_outside' and phenotype = 0").select("species", "genome_id").distinct()
     return rel.sample_each_group_first(g, "species", "genome_id", 40)
+
+
+@query(f"""with {V}, c as (select label, ('0x' || substr(md5(label || ':42'), 1, 6))::bigint as b from (select distinct label from v))
+select vec_id, case when b < floor(0.2 * 16777216) then 'validation' when b < floor(0.35 * 16777216) then 'test' else 'train' end as assigned from v join c using (label)""")
+def spl02_clustered_split(s, d):
+    return rel.hash_split(vectors(s, d), "label", {"validation": 0.2, "test": 0.15}).select("vec_id", "assigned")
+
+
+@query("""with l as (select genome_id, min(antibiotic_label) as y_true from kover_labels where antibiotic_label in (0, 1) and genome_id is not null group by 1), m as (select distinct genome_id from tiny_manifest where genome_id is not null)
+select genome_id, y_true, y_true is not null as known from m left join l using (genome_id)""")
+def joi12_aligned_labels(s, d):
+    ids = table(s, d, "tiny_manifest", ["genome_id"]).where("genome_id is not null").distinct()
+    first = labels(s, d).where("antibiotic_label in (0, 1)").groupBy("genome_id").agg(F.min("antibiotic_label").alias("y_true"))
+    return ids.join(first, "genome_id", "left").withColumn("known", F.col("y_true").isNotNull())
+
+
+@query("select distinct sequence_path from tiny_manifest where sequence_path is not null and sequence_path not in (select sequence_path from sequences where sequence_path is not null)")
+def flt15_still_to_do(s, d):
+    return table(s, d, "tiny_manifest", ["sequence_path"]).where("sequence_path is not null").join(table(s, d, "sequences", ["sequence_path"]), "sequence_path", "left_anti").distinct()
+
+
+@query(f"with {T} select user_id, t // 16 as window_idx, list(x order by t) || list_transform(range(16 - count(*)), lambda i: 0.0::double) as series from t group by all")
+def win02_padded_windows(s, d):
+    return seq.padded_windows(tokens(s, d), "user_id", "x", 16)
+
+
+@query(f"with {V}, x as (select label, i, v[i + 1] as x from v, range(64) r(i)) select label, i, round(avg(x), 6) as mean, round(max(x), 6) as max, round(stddev_pop(x), 6) as std from x group by all")
+def vec03_selected_stats(s, d):
+    return seq.selected_stats(_dims(s, d).withColumnRenamed("dim", "i"), ["label", "i"], "x", ["std", "mean", "max"])
+
+
+@query()
+def prj03_standardised_axes(s, d):
+    v = vectors(s, d).where("split = 'train'")
+    z = vec.standardised(v, "v", 64)
+    mean, axes, share = vec.principal_axes(z, "v", 64, 5)
+    return vec.projected(z, "v", mean, axes).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"), F.lit(round(float(share[:5].sum()), 6)).alias("variance_held"))

@@ -221,3 +221,13 @@ def test_each_group_first(spark):
     got = rel.sample_each_group_first(df, "g", "id", 5).collect()
     assert len(got) == 5 and {x["g"] for x in got} == {"a", "b", "c", None}
     assert rel.sample_each_group_first(df, "g", "id", 2).count() == 2 and rel.sample_each_group_first(df.limit(0), "g", "id", 2).count() == 0
+
+
+def test_padded_windows_and_selected_stats(spark):
+    df = spark.createDataFrame([("a", t, float(t)) for t in range(5)] + [("b", 0, None)], "k string, t long, x double")
+    got = {(x["k"], x["window_idx"]): x["series"] for x in seq.padded_windows(df, "k", "x", 4).collect()}
+    assert got == {("a", 0): [0, 1, 2, 3], ("a", 1): [4, 0, 0, 0], ("b", 0): [None, 0, 0, 0]}
+    stats = seq.selected_stats(df, ["k"], "x", ["std", "median", "mean"])
+    assert stats.columns == ["k", "mean", "std", "median"] and {x["k"]: x["median"] for x in stats.collect()} == {"a": 2.0, "b": None}
+    with pytest.raises(ValueError):
+        seq.selected_stats(df, ["k"], "x", ["mode"])

@@ -72,3 +72,14 @@ def test_held_out_accuracy(spark):
     df = spark.createDataFrame(rows, "v array<double>, y int, split string")
     p = models.fit_predict(df, "v", "y", "split", models.suite()["logistic_l2"]).where("split <> 'train'")
     assert p.where("y_true = y_pred").count() / p.count() > 0.95
+
+
+def test_standardised_vectors(spark):
+    x = np.random.default_rng(6).normal(3, 4, (80, 3))
+    x[:, 2] = 1.0
+    df = table(spark, x).unionByName(spark.createDataFrame([(999, None, 0)], "id long, v array<double>, y int"))
+    got = {r["id"]: r["v"] for r in vec.standardised(df, "v", 3).collect()}
+    assert got.pop(999) is None
+    z = np.array([got[i] for i in range(80)])
+    np.testing.assert_allclose(z[:, :2], (x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0, ddof=1), atol=1e-9)
+    assert (z[:, 2] == 0).all()
