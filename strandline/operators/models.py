@@ -46,12 +46,15 @@ def calibrated_svm(train: DataFrame, rows: DataFrame, folds: int = 3, step: floa
     return out.withColumn("prediction", (F.col("score") > 0.5).cast("double"))
 
 
-def suite(dims: int, seed: int = 42) -> dict:
-    """Untrained models by name, or functions (train, rows) that add a prediction and a score. Settings are those that carry over to data of any size."""
-    return {
+def suite(dims: int | None = None, seed: int = 42) -> dict:
+    """Untrained models by name, or functions (train, rows) that add a prediction and a score. Settings are those that carry over to data of any size.
+
+    The multilayer model is there only where the length of the vectors is given.
+    """
+    layered = {} if dims is None else {"multilayer": MultilayerPerceptronClassifier(layers=[dims, 100, 50, 2], maxIter=50, tol=1e-4, seed=seed)}
+    return layered | {
         "ridge": ridge,
         "calibrated_svm": calibrated_svm,
-        "multilayer": MultilayerPerceptronClassifier(layers=[dims, 100, 50, 2], maxIter=50, tol=1e-4, seed=seed),
         "logistic_l2": LogisticRegression(weightCol="weight", regParam=0.01, elasticNetParam=0.0, maxIter=50),
         "logistic_l1": LogisticRegression(weightCol="weight", regParam=0.01, elasticNetParam=1.0, maxIter=50),
         "linear_svm": LinearSVC(weightCol="weight", regParam=0.01, maxIter=50),
@@ -84,7 +87,7 @@ def fit_predict(df: DataFrame, vector: str, label: str, split: str, model, scale
     return out.select(F.col(split).alias("split"), F.col(label).cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), score.alias("y_score"))
 
 
-def evaluate_suite(df: DataFrame, vector: str, label: str, split: str, dims: int) -> DataFrame:
+def evaluate_suite(df: DataFrame, vector: str, label: str, split: str, dims: int | None = None) -> DataFrame:
     """Metrics of every model on every split, in one aggregation over all predictions."""
     data, every = cut(df), None
     for name, model in suite(dims).items():
