@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +131,39 @@ def selected_stats(values: DataFrame, by: list[str], column: str, names: list[st
     if unknown := sorted(set(names) - set(known)):
         raise ValueError(f"no statistic {', '.join(unknown)}")
     return values.groupBy(*by).agg(*[F.round(F.round(f, 12), 6).alias(n) for n, f in known.items() if n in names])
+
+
+def kmer_counts(df: DataFrame, key: str, text: str, longest: int = 3, block: int = 1 << 16) -> DataFrame:
+    """(key, kmer, n): how often every word of 1 to `longest` letters stands in the texts of a key, overlaps included.
+
+    Only words of the letters A, C, G and T count, in either case. A text is cut into blocks that reach `longest` - 1
+    letters into the next, so a task never holds a long text's words; counts of blocks are summed before and after the
+    shuffle. Null texts and texts without such words give no rows; a null key is a key, repeated rows count each time.
+    """
+    digit = np.full(256, 4, np.int64)
+    for i, letter in enumerate(b"ACGT"):
+        digit[letter] = digit[letter | 32] = i
+    words = ["".join(w) for k in range(1, longest + 1) for w in product("ACGT", repeat=k)]
+
+    @F.pandas_udf("array<long>")
+    def count(parts: pd.Series) -> pd.Series:
+        out = []
+        for part in parts:
+            d = digit[np.frombuffer(bytes(part), np.uint8)]
+            size, code, good, counts = min(len(d), block), np.zeros(len(d), np.int64), np.ones(len(d), bool), []
+            for k in range(1, longest + 1):
+                n = len(d) - k + 1
+                if n <= 0:
+                    counts.append(np.zeros(4**k, np.int64))
+                    continue
+                code, good = code[:n] * 4 + d[k - 1 :], good[:n] & (d[k - 1 :] < 4)
+                counts.append(np.bincount(code[:size][good[:size]], minlength=4**k))
+            out.append(np.concatenate(counts))
+        return pd.Series(out)
+
+    data = df.where(F.col(text) != "").select(key, F.col(text).cast("binary").alias("_b"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("_b"), F.lit(block)))
+    parts = data.select(key, "_b", starts.alias("_at")).select(key, F.substring("_b", F.col("_at"), F.lit(block + longest - 1)).alias("_part"))
+    named = parts.select(key, F.posexplode(count("_part")).alias("_w", "_n")).where("_n > 0")
+    sums = named.groupBy(key, "_w").agg(F.sum("_n").alias("n"))
+    return sums.select(key, F.get(F.array(*[F.lit(w) for w in words]), F.col("_w")).alias("kmer"), "n")

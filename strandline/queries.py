@@ -84,6 +84,14 @@ def src10_fasta(s, d):
     return src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"])).select("sequence_path", F.length("sequence").cast("long").alias("n_bases"), F.md5("sequence").alias("bases_md5"))
 
 
+@query("""with f as (select sequence_path, upper(regexp_replace(array_to_string(list_filter(string_split_regex(fasta, '[\\r\\n]+'), lambda x: not starts_with(x, '>')), ''), '[ \\t]', '', 'g')) as s from sequences),
+w as (select sequence_path, unnest([s[i:i + k - 1] for i in range(1, length(s) - k + 2)]) as kmer from f, (values (1), (2), (3)) as x(k))
+select sequence_path, kmer, count(*) as n from w where regexp_full_match(kmer, '[ACGT]+') group by all""")
+def rep05_kmer_counts(s, d):
+    sequences = src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"]))
+    return seq.kmer_counts(sequences, "sequence_path", "sequence")
+
+
 @query("select distinct case when regexp_extract(n, '^([0-9]+[.][0-9]+)', 1) <> '' then regexp_extract(n, '^([0-9]+[.][0-9]+)', 1) else regexp_replace(n, '(_raw|_contigs)?[.].*$', '') end as genome_id from (select regexp_extract(sequence_path, '([^/]+)$', 1) as n from sequences)")
 def src13_ids_from_names(s, d):
     return table(s, d, "sequences", ["sequence_path"]).select(sc.genome_of_path(F.col("sequence_path")).alias("genome_id")).distinct()
@@ -513,6 +521,30 @@ def smp02_balanced(s, d):
     return rel.sample_balanced(g, "phenotype", "genome_id", 100, 0.35)
 
 
+_PLANNED = {"train": (200, 0.35), "val_overlapped": (60, 0.5), "test_overlapped": (60, 0.5), "val_outside": (50, 0.4), "test_outside": (50, 0.4)}
+_PLAN = f"""with {M}, g as (select distinct split, genome_id, phenotype from m where antibiotic = 'velocillin'), c as (select split, count(*) filter (where phenotype = 0) as z, count(*) filter (where phenotype = 1) as o from g group by 1),
+q(split, target, share) as (values {", ".join(f"('{s}', {n}, {x}::decimal(12,6))" for s, (n, x) in _PLANNED.items())}),
+n as (select q.split, target, coalesce(z, 0) as there_zero, coalesce(o, 0) as there_one, least(coalesce(z, 0), floor(target * share)::bigint) as n_zero from q left join c using (split)),
+plan as (select split, there_zero, there_one, n_zero, least(there_one, target - n_zero)::bigint as n_one from n)"""
+
+
+def _plan(s, d):
+    g = manifest(s, d).where("antibiotic = 'velocillin'").select("split", "genome_id", "phenotype").distinct()
+    targets = s.createDataFrame([(k, n, x) for k, (n, x) in _PLANNED.items()], "split string, target long, share_of_zero double")
+    return g, rel.quota_plan(g, "split", "phenotype", targets)
+
+
+@query(_PLAN + " select * from plan")
+def smp03_quota_plan(s, d):
+    return _plan(s, d)[1]
+
+
+@query(_PLAN + " select split, 0 as phenotype, n_zero as n_drawn from plan where n_zero > 0 union all select split, 1, n_one from plan where n_one > 0")
+def smp03_smp04_drawn(s, d):
+    g, plan = _plan(s, d)
+    return rel.sample_planned(g, "split", "phenotype", "genome_id", plan).groupBy("split", "phenotype").agg(F.count_distinct("genome_id").alias("n_drawn"))
+
+
 @query(f"with {M}, g as (select distinct species, genome_id from m where split = 'train') select species, genome_id from (select *, row_number() over (partition by species order by md5(genome_id || ':7'), genome_id) as r from g) where r <= 2")
 def smp05_per_species(s, d):
     return rel.sample_per_group(manifest(s, d).where("split = 'train'").select("species", "genome_id").distinct(), ["species"], "genome_id", 2, 7)

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import LABEL_ALIASES
+from strandline.functions.scalars import LABEL_ALIASES, genome_of_path
 from strandline.operators.relational import REQUIRED
 
 MANIFEST = "genome_id string, species string, antibiotic string, phenotype int, partition_label string, sequence_path string, embedding_path string, source_dataset string, split_design string"
 
+ID_ALIASES = ("genome_id", "genomeid", "genome", "id")
+
 
 def read_delimited(spark: SparkSession, path: str, required: list[str], sep: str = ",") -> DataFrame:
     """A delimited file with a header, all columns as strings, so ids keep their zeros; missing columns are refused."""
@@ -37,6 +39,52 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnRenamed(name, "phenotype").withColumn("phenotype", F.col("phenotype").try_cast("int"))
 
 
+def read_ids(spark: SparkSession, path: str, aliases: tuple[str, ...] = ID_ALIASES) -> DataFrame:
+    """Distinct genome_id of a delimited file, from the first column whose name is an alias in any case; nulls and blanks left out."""
+    df = read_delimited(spark, path, [])
+    name = next((c for a in aliases for c in df.columns if c.strip().lower() == a), None)
+    if name is None:
+        raise ValueError(f"{path} has none of the columns {', '.join(aliases)}")
+    return df.select(F.trim(F.col(name)).alias("genome_id")).where("genome_id <> ''").distinct()
+
+
+def read_subsets(spark: SparkSession, paths: list[str], key: str = "genome_id") -> DataFrame:
+    """One row per key over several delimited files, columns matched by name; of equal keys the row of the last path stays.
+
+    Rows with a null key are left out; columns that a file lacks are null. All files are read in one job.
+    """
+    every = None
+    for number, path in enumerate(paths):
+        df = read_delimited(spark, path, [key]).withColumn("_path", F.lit(number))
+        every = df if every is None else every.unionByName(df, allowMissingColumns=True)
+    if every is None:
+        raise ValueError("no paths")
+    names = [c for c in every.columns if c not in (key, "_path")]
+    row = F.struct(F.col("_path"), *[F.col(c) for c in names])
+    kept = every.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("_row"))
+    return kept.select(key, *[F.col("_row").getField(c).alias(c) for c in names])
+
+
+def read_path_list(spark: SparkSession, path: str, files: DataFrame, column: str = "sequence_path") -> DataFrame:
+    """(path, there) of the lines of a text file: whether `files` holds the path. Blank lines and repeats are dropped."""
+    lines = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''").distinct()
+    held = files.select(F.col(column).alias("path")).where("path is not null").distinct().withColumn("_there", F.lit(True))
+    return lines.join(held, "path", "left").select("path", F.coalesce("_there", F.lit(False)).alias("there"))
+
+
+def read_sidecars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(genome_id, ...) of a folder of JSON files named after their genome; a file that is no JSON gives nulls."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1)
+    rows = spark.read.schema(schema).json(folder, multiLine=True, pathGlobFilter="*.json")
+    return rows.select(genome_of_path(name).alias("genome_id"), *[F.col(c) for c in rows.columns])
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
+    """A table as delimited text with a header; arrays and maps are written as JSON."""
+    nested = {n for n, t in df.dtypes if t.startswith(("array", "map", "struct"))}
+    df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("overwrite").option("sep", sep).csv(path, header=True)
+
+
 def fasta_sequences(files: DataFrame, path: str = "sequence_path", text: str = "fasta") -> DataFrame:
     """All records of a FASTA text as one upper-case sequence, without headers, line ends and blanks."""
     lines = F.filter(F.split(text, "[\\r\\n]+"), lambda x: ~x.startswith(">"))

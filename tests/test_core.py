@@ -1,6 +1,7 @@
 import importlib
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,30 @@ def test_padded_windows_and_selected_stats(spark):
     assert stats.columns == ["k", "mean", "std", "median"] and {x["k"]: x["median"] for x in stats.collect()} == {"a": 2.0, "b": None}
     with pytest.raises(ValueError):
         seq.selected_stats(df, ["k"], "x", ["mode"])
+
+
+@pytest.mark.parametrize("block", [4, 7, 1 << 16])
+def test_kmer_counts_against_a_plain_loop(spark, block):
+    texts = [("a", "ACGTNNacgtaCC"), ("a", "ACGTNNacgtaCC"), ("b", ""), ("c", None), ("d", "NNN"), ("e", "G"), (None, "AC"), ("long", "ACGGT" * 500)]
+    want = Counter()
+    for key, s in texts:
+        for k in (1, 2, 3):
+            for i in range(len(s or "") - k + 1):
+                w = s[i : i + k].upper()
+                if set(w) <= set("ACGT"):
+                    want[key, w] += 1
+    df = spark.createDataFrame([(*t, 7) for t in texts], "key string, text string, n int")
+    got = {(r["key"], r["kmer"]): r["n"] for r in seq.kmer_counts(df, "key", "text", block=block).collect()}
+    assert got == dict(want)
+    assert seq.kmer_counts(df.limit(0), "key", "text").count() == 0
+
+
+def test_quota_plan_and_sample(spark):
+    rows = [("a", 0, i) for i in range(10)] + [("a", 1, 100 + i) for i in range(50)] + [("b", 1, 200 + i) for i in range(3)] + [("b", None, 300), ("c", 1, 400)]
+    df = spark.createDataFrame(rows, "g string, y int, id long")
+    targets = spark.createDataFrame([("a", 40, 0.35), ("b", 10, 0.5), ("none", 5, None)], "g string, target long, share_of_zero double")
+    plan = rel.quota_plan(df, "g", "y", targets)
+    assert sorted((r["g"], r["n_zero"], r["n_one"]) for r in plan.collect()) == [("a", 10, 30), ("b", 0, 3), ("none", 0, 0)]
+    got = rel.sample_planned(df, "g", "y", "id", plan).collect()
+    assert Counter((r["g"], r["y"]) for r in got) == {("a", 0): 10, ("a", 1): 30, ("b", 1): 3} and len({r["id"] for r in got}) == 43
+    assert rel.sample_planned(df.limit(0), "g", "y", "id", plan).count() == 0

@@ -120,3 +120,19 @@ def test_series_features_are_those_of_the_whole_series(spark):
     assert vec.series_features(df.limit(0), ["k"], "x").count() == 0
     holed = spark.createDataFrame([(1, 0, 1.0), (1, 1, None), (1, None, 4.0)], "k long, t long, x double")
     assert len(vec.series_features(holed, ["k"], "x", block=64).collect()) == 1
+
+
+def test_gaussian_machine_learns_a_ring(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(0, 1, (600, 2))
+    y = ((x**2).sum(1) > 1.4).astype(int)  # no line parts these
+    df = spark.createDataFrame([(x[i].tolist(), int(y[i]), "train" if i % 3 else "test") for i in range(600)], "v array<double>, y int, split string")
+    p = models.fit_predict(df, "v", "y", "split", models.gaussian_svm).where("split = 'test'").toPandas()
+    assert len(p) == 200 and (p["y_true"] == p["y_pred"]).mean() > 0.9
+
+
+def test_fourier_features_approach_the_kernel():
+    w, phase = models.fourier_axes(3, 20000, 1)
+    a, b = np.array([0.3, -1.0, 0.5]), np.array([-0.2, 0.4, 0.1])
+    fa, fb = (np.sqrt(2 / 20000) * np.cos(x @ w + phase) for x in (a, b))
+    assert abs(fa @ fb - np.exp(-((a - b) ** 2).sum() / 3)) < 0.03
