@@ -31,7 +31,21 @@ _ROWS = f"select genome_id, {_key('species')} as species, {_key('partition_label
 
 _SIZED = f"select doc_id, {_key('source')} as source, coalesce(strlen(text), 0) as tokens from documents"
 
+# the operator's rule on whole tables, with its production parameters: 20 final words, closings at nine ends in ten
+_FLAGS = f"""with words as (select doc_id, {_key('source')} as source, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)),
+    '(?m)^\\p{{L}}+ [0-9]+ \\p{{L}}+ [0-9]+\\b.*$', ' ', 'g'), '[0-9]+', '9', 'g'), '[\\n\\r]\\s*', ' ¶ ', 'g'), '[^\\p{{L}}\\p{{N}}¶]+'), lambda x: x <> '') as w
+  from documents where regexp_matches(text, '\\S')),
+grams as (select doc_id, source, list_transform(range(greatest(len(w) - 3, 0) + 1), lambda i: concat_ws(' ', w[i + 1], w[i + 2], w[i + 3])) as g from words),
+finals as (select doc_id, source, list_distinct(g[greatest(len(g) - 17, 1):]) as tail from grams),
+at_ends as (select t, count(*) as e from (select unnest(tail) as t from finals) group by t having count(*) >= greatest(3, (select count(*) from finals) // 2000)),
+inside as (select t, count(*) as i from (select unnest(list_distinct(g[1:greatest(len(g) - 18, 0)])) as t from grams) where t in (select t from at_ends) group by t),
+closings as (select t from at_ends left join inside using (t) where e >= 0.9 * (e + coalesce(i, 0))),
+complete as (select distinct doc_id from (select doc_id, unnest(tail) as t from finals) where t in (select t from closings)),
+flags as (select doc_id, source, doc_id not in (select doc_id from complete) as truncated from finals)"""
+
 ORACLE = {
+    "p8_found": f"{_FLAGS} select doc_id from flags where truncated",
+    "p8_by_source": f"{_FLAGS} select source, count(*) as n_texts, count(*) filter (where truncated) as n_truncated, round(avg(truncated::int), 6) as truncated_rate from flags group by source",
     "p1_found": f"""with r as ({_RECORDS}), s as (select partition_label, count(distinct (genome_id, antibiotic)) as n from r group by 1),
   a as (select partition_label, species, phenotype, count(*) as n from r group by all)
 select t.partition_label, t.species, t.phenotype from ({_TARGETS}) t left join s using (partition_label)
