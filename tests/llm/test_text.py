@@ -104,3 +104,14 @@ def test_truncation(spark):
     by = {r["source"]: (r["n_texts"], r["n_truncated"]) for r in tr.by_source(tr.truncated(docs(spark, rows))).collect()}
     assert by["b"] == (30, 30) and by["a"] == (162, 1) and by[None] == (1, 0)
     assert tr.truncated(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("reach", [1, 8, 30, 90, 5000])
+def test_last_lines_hold_the_final_words_of_the_whole_text(spark, reach):
+    rng = random.Random(reach)
+    parts = ["one", "Zwei", "s48A", "\n", "\r\n", "\n\n", " ", "…", "¶ 7", "12.5", "Page 2 of 3", "\nPage 1 of 9 x-1\n", "é" * 40, "\t", "a" * 100]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "", " "]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", " \n ", "x", "\n" * 50, "long " * 2000]
+    df = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    last = spark.sql(tr._final_words(20, reach), tr.PATTERNS, docs=df)
+    whole = spark.sql(f"select doc_id, {tr._words('trim(text)')} as w from {{docs}} where text rlike :ink", tr.PATTERNS, docs=df)
+    assert {r["doc_id"]: r["w"] for r in last.collect()} == {r["doc_id"]: r["w"][-20:] for r in whole.collect()}
