@@ -80,9 +80,10 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     """Pairs (a, b) of classes on both sides of the split that share enough collinear fingerprints to be aligned.
 
     Fingerprints of one side are joined with those of the other. A crowded fingerprint, such as a mobile element in
-    thousands of genomes, would join all of these with each other; it is left out of the join unless the class consists
-    mostly of crowded ones. Pairs stay within reach: where at least half of a class's prints are not crowded, a partner
-    that has 95 % of its bases shares many of those; and classes that are mostly crowded are joined by all their prints.
+    thousands of genomes, would join all of these with each other, so it is joined only where it can decide, which
+    loses no pair. A pair that shares crowded prints only has to have the evidence in these alone, so the class with
+    fewer prints is rich: its crowded prints reach the evidence. Rich classes are joined by all their prints. Where
+    neither class is rich, a pair shares a print that is not crowded too; its crowded ones are looked up for that pair.
     """
     # nearly all prints are of one class only: one shuffle serves to find the others and to keep their rows
     seeds = printed.select(F.col("content").alias("class"), "n_bases", F.size("prints").alias("n_prints"), F.explode(F.arrays_zip("prints", "places")).alias("_s")).select(
@@ -96,16 +97,21 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     counts = own.groupBy("print").agg(F.count_if("in_train").alias("_t"), F.count_if("in_eval").alias("_e"), F.count("*").alias("_all")).where("_t > 0 and _e > 0 and _all > 1")
     shared = cut(own.join(counts.select("print", (F.col("_t") * F.col("_e") > how.crowd).alias("crowded")), "print"))
     load = shared.groupBy("class", "n_prints").agg(F.count_if("crowded").alias("_c")).where("_c > 0")
-    crowded_classes = load.where("_c * 2 > n_prints").select("class")
+    rich_classes = cut(load.where(F.col("_c") >= how.evidence * F.col("n_prints")).select("class"))
     fields = ["class", "print", "place", "n_bases", "n_prints"]
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}_{name}") for c in fields])
+
     def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        a, b = left.select(*[F.col(c).alias(f"{c}_a") for c in fields]), right.select(*[F.col(c).alias(f"{c}_b") for c in fields])
+        return shares(side(left, "a").join(side(right, "b"), F.col("print_a") == F.col("print_b")))
+
+    def shares(joined: DataFrame) -> DataFrame:
         longer, shorter = F.greatest("n_bases_a", "n_bases_b"), F.least("n_bases_a", "n_bases_b")
         flip = (F.col("place_a") < 0) != (F.col("place_b") < 0)
         at_a, at_b = (F.when(F.col(c) < 0, -1 - F.col(c)).otherwise(F.col(c)) for c in ("place_a", "place_b"))
         diagonal = F.when(flip, at_a + at_b).otherwise(at_a - at_b)
-        both = a.join(b, F.col("print_a") == F.col("print_b")).where((F.col("class_a") != F.col("class_b")) & (shorter >= longer * how.shorter))
+        both = joined.where((F.col("class_a") != F.col("class_b")) & (shorter >= longer * how.shorter))
         swap = F.col("class_a") > F.col("class_b")
         return both.select(
             F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), F.col("print_a").alias("print"), F.least("n_prints_a", "n_prints_b").alias("n"),
@@ -113,8 +119,10 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
         )
 
     plain, thick = shared.where("not crowded"), shared.where("crowded").repartition("print", "class")
-    rich = thick.join(crowded_classes, "class", "left_semi")
-    pairs = met(plain.where("in_train"), plain.where("in_eval")).unionByName(met(rich.where("in_train"), thick.where("in_eval"))).unionByName(met(thick.where("in_train"), rich.where("in_eval")))
+    rich, scarce = thick.join(rich_classes, "class", "left_semi"), thick.join(rich_classes, "class", "left_anti")
+    open_pairs = cut(met(plain.where("in_train"), plain.where("in_eval")))
+    looked_up = open_pairs.select("a", "b").distinct().join(side(scarce, "a"), F.col("a") == F.col("class_a")).join(side(scarce, "b"), (F.col("b") == F.col("class_b")) & (F.col("print_a") == F.col("print_b")))
+    pairs = open_pairs.unionByName(shares(looked_up)).unionByName(met(rich.where("in_train"), thick.where("in_eval"))).unionByName(met(thick.where("in_train"), rich.where("in_eval")))
     # a chain: prints of one strand and one band of diagonals; single prints count only where a class has few
     chains = pairs.groupBy("a", "b", "flip", "band").agg(F.count_distinct("print").alias("_c"), F.max("n").alias("n"))
     return cut(chains.groupBy("a", "b").agg(F.sum("_c").alias("_c"), F.max("_c").alias("_best"), F.max("n").alias("n")).where((F.col("_c") >= F.greatest(F.lit(1.0), how.evidence * F.col("n"))) & ((F.col("_best") > 1) | (F.col("n") < 20))).select("a", "b"))

@@ -111,6 +111,32 @@ def test_mostly_crowded_classes_are_still_found(spark):
     assert len(got) == 25
 
 
+def test_family_of_near_copies_is_found_through_crowded_prints(spark):
+    rng = random.Random(7)
+    base = bases(rng, 1500)
+    seqs = [mutated(rng, base, rng.uniform(0.02, 0.025)) for _ in range(28)]
+    files = spark.createDataFrame([(f"p{i}", ">x\n" + s, None) for i, s in enumerate(seqs)], FILES)
+    manifest = spark.createDataFrame([(f"g{i:02}", f"p{i}", "train" if i < 14 else "test_outside", None, None) for i in range(28)], MANIFEST)
+    got = {(r[0], r[1]) for r in ov.cross_split_pairs(manifest, files, ov.Overlap(crowd=64)).collect()}
+    near = {(f"g{i:02}", f"g{j:02}") for i in range(14) for j in range(14, 28) if coverage(arr(seqs[i]), arr(seqs[j])) >= 0.95 * 1500}
+    assert len(near) > 100 and got == near
+
+
+@pytest.mark.parametrize("crowd, evidence", [(1, 0.08), (4, 0.2), (4, 0.35), (30, 0.2)])
+def test_crowds_change_no_candidate(spark, crowd, evidence):
+    rng = random.Random(8)
+    base, element = bases(rng, 1500), bases(rng, 500)
+    parts = [bases(rng, 1000) for _ in range(4)]
+    seqs = [mutated(rng, base, 0.03) for _ in range(10)] + [mutated(rng, rng.choice(parts), 0.04) + element[: rng.randint(100, 500)] for _ in range(16)]
+    files = spark.createDataFrame([(f"p{i}", ">x\n" + s, None) for i, s in enumerate(seqs)], FILES)
+    how = [ov.Overlap(crowd=c, evidence=evidence) for c in (crowd, 1 << 40)]
+    printed = ov.fingerprints(files, how[0]).cache()
+    owners = spark.createDataFrame([(f"p{i}", i % 2 == 0, i % 2 == 1 or i % 7 == 0) for i in range(len(seqs))], "sequence_path string, in_train boolean, in_eval boolean")
+    classes = ov._classes(printed, owners)
+    some, every = ({(r["a"], r["b"]) for r in ov.candidates(printed, classes, h).collect()} for h in how)
+    assert every and some == every
+
+
 def test_empty_tables(spark):
     manifest, files = spark.createDataFrame([], MANIFEST), spark.createDataFrame([], FILES)
     assert ov.cross_split_pairs(manifest, files).count() == 0
