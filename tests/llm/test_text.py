@@ -106,6 +106,17 @@ def test_truncation(spark):
     assert tr.truncated(docs(spark, [])).count() == 0
 
 
+def test_copies_and_versions_of_a_cut_text_are_found(spark):
+    rng = random.Random(3)
+    rows = [(i, ruling(rng, rng.choice(["So ordered by {}.", "The appeal of {} is dismissed."]).format(rng.choice(["Norton", "Draberg"]))), "a") for i in range(60)]
+    rows += [(i, rows[0][1], "a") for i in range(60, 90)]
+    whole = ruling(rng, "So ordered by Norton.")
+    rows += [(200 + i, whole[:700], "b") for i in range(20)]
+    rows += [(300 + i, f"Version {'abcde'[i]} of this ruling\n\n" + whole[:900], "b") for i in range(5)]
+    flags = {r["doc_id"]: r["truncated"] for r in tr.truncated(docs(spark, rows)).collect()}
+    assert len(flags) == 115 and {i for i, cut in flags.items() if cut} == {i for i in flags if i >= 200}
+
+
 @pytest.mark.parametrize("reach", [1, 8, 30, 90, 5000])
 def test_last_lines_hold_the_final_words_of_the_whole_text(spark, reach):
     rng = random.Random(reach)
