@@ -18,7 +18,7 @@ from strandline.runtime import broadcast_if, cut, table
 @dataclass(frozen=True)
 class Overlap:
     """k, window: winnowing. shorter: bases the file with fewer has, as a share of the other's. covered: share of its
-    bases that stand in the other. evidence: share of its fingerprints a pair has to share to be aligned; at the
+    bases that stand in the other. evidence: share of its distinct fingerprints a pair has to share to be aligned; at the
     covered share, mutations in every 20th base leave more than a third of the k-mers whole. crowd: (train files x
     other files) of a fingerprint beyond which it is crowded. few: sequences up to which keys are broadcast.
     """
@@ -32,7 +32,7 @@ class Overlap:
     few: int = 200_000
 
 
-PRINTS = "sequence_path string, n_bases long, content long, prints array<bigint>, places array<int>"
+PRINTS = "sequence_path string, n_bases long, content long, n_prints int, prints array<bigint>, places array<int>"
 
 
 def genome_sides(manifest: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def genome_sides(manifest: DataFrame) -> DataFrame:
 
 
 def fingerprints(files: DataFrame, how: Overlap) -> DataFrame:
-    """Of every file: bases, content key (neither case, layout, order nor strand of records change it) and winnowed prints.
+    """Of every file: bases, content key (neither case, layout, order nor strand of records change it), winnowed prints and how many differ.
 
     A print's place is its first base, negative (-1 - place) where the other strand has the smaller code.
     """
@@ -60,6 +60,7 @@ def fingerprints(files: DataFrame, how: Overlap) -> DataFrame:
                     "sequence_path": part["sequence_path"].to_numpy(),
                     "n_bases": np.diff(offsets),
                     "content": [content_key(bases, offsets[i], offsets[i + 1], records[cuts[i] : cuts[i + 1]]) for i in range(len(part))],
+                    "n_prints": [len(np.unique(h[a:b])) for a, b in zip(bounds[:-1], bounds[1:])],
                     "prints": [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])],
                     "places": [place[a:b] for a, b in zip(bounds[:-1], bounds[1:])],
                 })
@@ -86,7 +87,7 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     neither class is rich, a pair shares a print that is not crowded too; its crowded ones are looked up for that pair.
     """
     # nearly all prints are of one class only: one shuffle serves to find the others and to keep their rows
-    seeds = printed.select(F.col("content").alias("class"), "n_bases", F.size("prints").alias("n_prints"), F.explode(F.arrays_zip("prints", "places")).alias("_s")).select(
+    seeds = printed.select(F.col("content").alias("class"), "n_bases", "n_prints", F.explode(F.arrays_zip("prints", "places")).alias("_s")).select(
         "class", "n_bases", "n_prints", F.col("_s.prints").alias("print"), F.col("_s.places").alias("place")
     ).repartition("print")
     # the checksum makes this side read every column, so that both sides of the join read the same shuffle

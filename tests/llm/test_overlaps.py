@@ -137,6 +137,18 @@ def test_crowds_change_no_candidate(spark, crowd, evidence):
     assert every and some == every
 
 
+def test_files_of_repeats_are_found(spark):
+    rng = random.Random(9)
+    files, rows = [], []
+    for n, (unit, times) in enumerate([(200, 20), (100, 30), (48, 60)]):
+        base = bases(rng, unit) * times
+        for i in range(6):
+            files.append((f"p{n}_{i}", ">x\n" + mutated(rng, base, 0.015 * (i % 2) + 0.0005 * i), None))
+            rows.append((f"g{n}_{i}", f"p{n}_{i}", "train" if i < 3 else "test_outside", None, None))
+    got = {(r[0], r[1]) for r in ov.cross_split_pairs(spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(files, FILES)).collect()}
+    assert got == {(f"g{n}_{i}", f"g{n}_{j}") for n in range(3) for i in range(3) for j in range(3, 6)}
+
+
 def test_empty_tables(spark):
     manifest, files = spark.createDataFrame([], MANIFEST), spark.createDataFrame([], FILES)
     assert ov.cross_split_pairs(manifest, files).count() == 0
