@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 10
+BUCKET_BITS = 12
 
 
 def permutation(seed: int, *keys: str) -> Column:
@@ -13,17 +13,17 @@ def permutation(seed: int, *keys: str) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
 
 
-def running_total(df: DataFrame, group: list[str], keys: list[str], value: str | None = None, seed: int = 0, name: str = "before") -> DataFrame:
+def running_total(df: DataFrame, group: list[str], keys: list[str], value: str | None = None, seed: int = 0, name: str = "before", bits: int = BUCKET_BITS) -> DataFrame:
     """Add the sum of `value` (or the count) over the rows that come before in the group's permuted order.
 
-    The order is by a hash of `keys`, whose top bits cut every group into 1,024 buckets of like size. Bucket sums
+    The order is by a hash of `keys`, whose top bits cut every group into 2 ** bits buckets of like size. Bucket sums
     are small and are summed up first; only inside a bucket rows are sorted. So a group that holds a third of all
     rows is spread over many tasks. Rows equal in all keys follow each other in any order; `group` and `keys` must
     not be null in ways that matter: nulls form a group of their own.
     """
     amount = F.lit(1).cast("long") if value is None else F.coalesce(F.col(value).cast("long"), F.lit(0).cast("long"))
     by = [*group, "_bucket"]
-    rows = df.withColumn("_order", permutation(seed, *keys)).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - BUCKET_BITS)).withColumn("_amount", amount)
+    rows = df.withColumn("_order", permutation(seed, *keys)).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits)).withColumn("_amount", amount)
     sums = rows.groupBy(*by).agg(F.sum("_amount").alias("_sum"))
     upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*[F.col(c).alias(f"_s_{c}") for c in by], F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))

@@ -75,6 +75,26 @@ def skewed_aggregate(
     return light.unionByName(joined)
 
 
+def looked_up(rows: DataFrame, key: str, values: DataFrame, kind: str = "inner", how: HeavyKeys = HeavyKeys(), n_rows: int | None = None, least: int = 1_000_000) -> DataFrame:
+    """Rows joined with a table of unique keys, where a few keys may hold most of the rows.
+
+    A sketch of the rows finds at most 2 / share heavy keys; their values are broadcast, so their rows stay where they are.
+    All other rows take the ordinary shuffle. `kind` is inner or left; null keys match nothing. `rows` is read several times and
+    should be a table. Both sides have `key`; no other column name may be common to them. Up to `least` rows no key can
+    fill a task, so these are joined right away; n_rows, a bound on the rows where the caller knows one, saves counting them.
+    """
+    if (rows.count() if n_rows is None else n_rows) <= least:
+        return rows.join(values, key, kind)
+    heavy = rows.sparkSession.createDataFrame([(r["_heavy"],) for r in heavy_keys(rows.where(F.col(key).isNotNull()), [key], how).collect()], "_heavy long")  # at most `most` keys
+    hashed = rows.withColumn("_key", F.xxhash64(key))
+    here = F.broadcast(values.join(F.broadcast(heavy), F.xxhash64(key) == F.col("_heavy"), "left_semi"))
+    there = values.join(F.broadcast(heavy), F.xxhash64(key) == F.col("_heavy"), "left_anti")
+    apart = F.col("_key") == F.col("_heavy")
+    few = hashed.join(F.broadcast(heavy), apart, "left_semi").join(here, key, kind)
+    rest = hashed.join(F.broadcast(heavy), apart, "left_anti").join(there, key, kind)
+    return few.unionByName(rest).drop("_key")
+
+
 def resistance_by_key(manifest: DataFrame) -> DataFrame:
     """Rows, genomes and resistance rate of every (species, antibiotic), both in key form and not blank.
 

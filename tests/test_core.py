@@ -13,7 +13,7 @@ from strandline.operators import relational as rel
 from strandline.operators import sequences as seq
 from strandline.operators import statistics as sta
 from strandline.operators.ordering import numbered, running_total
-from strandline.operators.skew import HeavyKeys, heavy_keys, keys_over_share, resistance_by_key, skewed_aggregate
+from strandline.operators.skew import HeavyKeys, heavy_keys, keys_over_share, looked_up, resistance_by_key, skewed_aggregate
 
 MANIFEST = "row_id long, genome_id string, species string, antibiotic string, phenotype int, partition_label string"
 
@@ -259,3 +259,12 @@ def test_quota_plan_and_sample(spark):
     got = rel.sample_planned(df, "g", "y", "id", plan).collect()
     assert Counter((r["g"], r["y"]) for r in got) == {("a", 0): 10, ("a", 1): 30, ("b", 1): 3} and len({r["id"] for r in got}) == 43
     assert rel.sample_planned(df.limit(0), "g", "y", "id", plan).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["inner", "left"])
+def test_looked_up_equals_a_join_whatever_the_skew(spark, kind):
+    rows = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i % 50}", i) for i in range(200)] + [("gone", 1), (None, 2), (None, 3)], "k string, i int")
+    values = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)] + [("other", 9)], "k string, v int")
+    got, want = (sorted(map(str, df.select("k", "i", "v").collect())) for df in (looked_up(rows, "k", values, kind, least=0), rows.join(values, "k", kind)))
+    assert got == want
+    assert looked_up(rows.limit(0), "k", values, kind, least=-1).count() == 0
