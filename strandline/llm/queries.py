@@ -3,14 +3,41 @@
 from __future__ import annotations
 
 from strandline.llm import grouped_splits, mixing, overlaps, packing, sampling, splitting, truncation
+from strandline.runtime import cut, table
+
+# The curriculum of the registered queries: the portal early, the curated mirror and patents late.
+TILTS = {"court_portal": -0.5, "law_school_mirror": 0.6, "patent_bench": 0.4}
+
+
+def _mix_parts(spark, folder):
+    sized = cut(mixing.sized_documents(table(spark, folder, "documents", ["doc_id", "source", "text"])))
+    return sized, mixing.mix_plan(sized, table(spark, folder, "mix_targets"), TILTS)
+
+
+def p7_found(spark, folder):
+    """Sources whose demand runs past the last of their permitted uses in the mix."""
+    sized, plan = _mix_parts(spark, folder)
+    return mixing.shares(mixing.placed(sized, plan), plan).where("ran_out").select("source")
+
+
+def p7_mix(spark, folder):
+    """The mixed corpus in training order."""
+    return mixing.mix(*_mix_parts(spark, folder))
+
+
+def p7_shares(spark, folder):
+    """Shares really reached."""
+    sized, plan = _mix_parts(spark, folder)
+    return mixing.shares(mixing.placed(sized, plan), plan)
+
 
 QUERIES = {f.__name__: f for f in (
     sampling.p1_found, sampling.p1_sample, sampling.p1_report,
     splitting.p3_found, splitting.p3_pieces, splitting.p3_bases,
     overlaps.p4_found, overlaps.p4_pairs, overlaps.p4_report,
-    grouped_splits.p5_found, grouped_splits.p5_assignment, grouped_splits.p5_forest,
+    grouped_splits.p5_found, grouped_splits.p5_assignment, grouped_splits.p5_shares, grouped_splits.p5_forest,
     packing.p6_found, packing.p6_containers, packing.p6_fill,
-    mixing.p7_found, mixing.p7_mix, mixing.p7_shares,
+    p7_found, p7_mix, p7_shares,
     truncation.p8_found, truncation.p8_by_source,
 )}
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import grouped_splits as gs
 
@@ -66,15 +67,43 @@ def test_breaks_nulls_and_repeats(spark):
         ("4", "C", "val_outside"), ("4", "C", "val_overlapped"), ("4", "C", "val_overlapped"), ("5", "C", "holdout"), (None, "D", "train"), (None, "D", "test_outside"), (None, None, "train"), ("6", "C", None),
     ]
     entity = gs.entity_rows(spark.createDataFrame([(*r, "k", 1) for r in rows], MANIFEST))
-    membership, _ = gs.components(entity)
-    got = sorted((r["entity_kind"], r["entity_key"]) for r in gs.breaks(entity, membership).collect())
+    membership, forest = gs.components(entity)
+    got = sorted((r["entity_kind"], r["entity_key"]) for r in gs.breaks(forest).collect())
     assert got == [("genome", "1.1"), ("genome", "3"), ("species", "a"), ("species", "d")]
+    assert gs.breaks(forest.where(F.col("w") > gs.TIES)).count() == 0  # they come from the forest and from nothing else
+    root = {r["vertex"]: r["root"] for r in membership.collect()}
+    assert root["g:1.1"] == root["s:a"] and root["g:1.10"] == root["g:2"] and len({*root.values()}) == 5
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_breaks_and_components_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    labels = ["train", "val_outside", "val_overlapped", "test_outside", "test_overlapped", "none", None]
+    rows = [(rng.choice([None, *(f"g|{i}" for i in range(30))]), rng.choice([None, *(f"s{i}" for i in range(12))]), rng.choice(labels)) for _ in range(70)]
+    entity = gs.entity_rows(spark.createDataFrame([(*r, "k", 1) for r in rows], MANIFEST))
+    membership, forest = gs.components(entity)
+    known = [r for r in rows if r[2] in labels[:5]]
+    torn = {("genome", g) for g in {r[0] for r in known} - {None} if len({r[2].split("_")[0] for r in known if r[0] == g}) > 1}
+    torn |= {("species", x) for x in {r[1] for r in known} - {None} if {"train"} < ({"train"} & {r[2] for r in known if r[1] == x}) | {"outside" for r in known if r[1] == x and r[2].endswith("outside")}}
+    assert {(r["entity_kind"], r["entity_key"]) for r in gs.breaks(forest).collect()} == torn
+    owner, used = union_find([(f"g:{g}", f"s:{x}", 0) for g, x, _ in rows if g and x])
+    got = {r["vertex"]: r["root"] for r in membership.collect()}
+    assert all((got[a] == got[b]) == (owner[a] == owner[b]) for a in owner for b in owner)
+    assert forest.where(F.col("w") > gs.TIES).count() == len(used)
+
+
+def test_reached_shares_and_oversized_components(spark):
+    rows = [(f"g{i}", "big" if i < 60 else f"s{i}", "train", "k", 1) for i in range(100)]
+    entity = gs.entity_rows(spark.createDataFrame(rows, MANIFEST))
+    got = {r["split_name"]: r for r in gs.reached(entity, gs.components(entity)[0], spark.createDataFrame([("a", 0.5), ("b", 0.5)], TARGETS)).collect()}
+    big = max(got.values(), key=lambda r: r["largest"])
+    assert big["largest"] == 60 and big["too_large"] and sum(r["n_rows"] for r in got.values()) == 100 and sorted(r["n_rows"] for r in got.values()) == [40, 60]
 
 
 def test_empty(spark):
     entity = gs.entity_rows(spark.createDataFrame([], MANIFEST))
     membership, forest = gs.components(entity)
-    assert membership.count() == forest.count() == gs.breaks(entity, membership).count() == 0
+    assert membership.count() == forest.count() == gs.breaks(forest).count() == 0
     assert gs.assign(entity, membership, spark.createDataFrame(SHARES, TARGETS)).count() == 0
     with pytest.raises(ValueError):
         gs.deal(spark.createDataFrame([], "root string, n long"), spark.createDataFrame([], TARGETS))

@@ -59,8 +59,7 @@ def test_mix_reaches_shares_and_respects_repeats(spark):
     plan = mix.mix_plan(sized, targets)
     got = {r["source"]: r for r in plan.collect()}
     assert set(got) == {"big", "small", "none"}
-    assert got["small"]["lacking"] > 0 and got["none"]["lacking"] > 0 and got["big"]["lacking"] == 0
-    mixed = mix.mix(sized, plan, {"big": -0.5}).collect()
+    mixed = mix.mix(sized, plan).collect()
     assert max(r["use"] for r in mixed) == 1
     total = got["big"]["tokens"] + got["small"]["tokens"]
     by = {s: sum(r["tokens"] for r in mixed if r["source"] == s) for s in ("big", "small")}
@@ -68,17 +67,47 @@ def test_mix_reaches_shares_and_respects_repeats(spark):
     assert len({(r["doc_id"], r["use"]) for r in mixed}) == len(mixed)
     places = [r["position"] for r in mixed]
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
-    early = sum(r["tokens"] for r in mixed if r["source"] == "big" and r["position"] < 0.5) / by["big"]
-    assert early == pytest.approx(0.5 + 0.5 / 4, abs=0.02)  # (1 + 0.5) / 2 - 0.5 / 4
-    shares = {r["source"]: r for r in mix.shares(mix.mix(sized, plan, {}), plan).collect()}
+    shares = {r["source"]: r for r in mix.shares(mix.placed(sized, plan), plan).collect()}
+    assert {s for s, r in shares.items() if r["ran_out"]} == {"small", "none"}
     assert sum(r["actual_share"] for r in shares.values()) == pytest.approx(1) and shares["none"]["actual_share"] == 0
+    assert shares["none"]["last_met"] == 0 and shares["big"]["last_met"] == 1 and shares["small"]["last_met"] == pytest.approx(by["small"] / (0.3 * total), abs=1e-3)
+
+
+def test_weights_add_up_at_every_point(spark):
+    rng = random.Random(5)
+    rows = [(i, "x" * rng.randint(1, 40), rng.choice("aaabbcd")) for i in range(12000)]
+    targets = spark.createDataFrame([("a", 0.3, 1, 1), ("b", 0.3, 2, 1), ("c", 0.2, 2, 1), ("d", 0.2, 2, 1)], TARGETS)
+    sized = mix.sized_documents(docs(spark, rows))
+    plan = mix.mix_plan(sized, targets, {"a": -0.9, "b": 0.4, "c": 0.1})
+    tilts = {r["source"]: (r["tilt"], r["budget"]) for r in plan.collect()}
+    assert sum(t * b for t, b in tilts.values()) == pytest.approx(0, abs=1e-6) and tilts["d"][0] == 0 and tilts["b"][0] == pytest.approx(0.4)
+    mixed = mix.mix(sized, plan).collect()
+    total = sum(r["tokens"] for r in mixed)
+    for i in range(5):
+        part = [r for r in mixed if i / 5 <= r["position"] < (i + 1) / 5]
+        n = sum(r["tokens"] for r in part)
+        assert n / total == pytest.approx(0.2, rel=0.01)
+        assert sum(r["tokens"] for r in part if r["source"] == "d") / n == pytest.approx(0.2, rel=0.01)
+        # the integral of 1 - k + 2 k t over the fifth
+        assert sum(r["tokens"] for r in part if r["source"] == "a") / n == pytest.approx(0.3 * (1 + tilts["a"][0] * ((2 * i + 1) / 5 - 1)), rel=0.02)
+    one_sided = mix.mix_plan(sized, targets, {"a": 0.5, "b": 0.2}).collect()
+    assert all(r["tilt"] == 0 for r in one_sided)
+
+
+def test_demand_just_met_is_no_case(spark):
+    rows = [(i, "x" * 10, "a") for i in range(10)] + [(100, "x" * 100, "b")]
+    for share, ran_out in ((0.499, False), (0.5, False), (0.501, True)):
+        targets = spark.createDataFrame([("a", share, 1, 1), ("b", 1 - share, 2, 1)], TARGETS)
+        sized = mix.sized_documents(docs(spark, rows))
+        plan = mix.mix_plan(sized, targets)
+        assert {r["source"]: r["ran_out"] for r in mix.shares(mix.placed(sized, plan), plan).collect()} == {"a": ran_out, "b": False}
 
 
 def test_mix_of_nothing(spark):
     sized = mix.sized_documents(docs(spark, []))
     targets = spark.createDataFrame([("a", 1.0, 2, 1)], TARGETS)
-    plan = mix.mix_plan(sized, targets)
-    assert mix.mix(sized, plan, {}).count() == 0 and plan.where("lacking > 0").count() == 0
+    plan = mix.mix_plan(sized, targets, {"a": 1.0})
+    assert mix.mix(sized, plan).count() == 0 and mix.shares(mix.placed(sized, plan), plan).where("ran_out").count() == 0
     assert mix.mix_plan(sized, targets.limit(0)).count() == 0
 
 
