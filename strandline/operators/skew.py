@@ -95,6 +95,26 @@ def looked_up(rows: DataFrame, key: str, values: DataFrame, kind: str = "inner",
     return few.unionByName(rest).drop("_key")
 
 
+def blocked_join(left: DataFrame, right: DataFrame, key: str, size: int = 512) -> DataFrame:
+    """Inner join on a key that may hold many rows on both sides: no task gets more than about size x size pairs of a key.
+
+    Where a key's rows of both sides would make more pairs, its left rows are dealt to blocks of about `size` and so are its right rows;
+    every left row is repeated for each right block and the other way round, and blocks meet by (key, block, block). All
+    other keys join as usual. Pairs come out as often as a plain join gives them; null keys match nothing.
+    Both sides have `key`, and should be tables, as they are read twice; no other column name may be common to them.
+    """
+    n_left, n_right = (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n)) for df, n in ((left, "_nl"), (right, "_nr")))
+    crowded = n_left.join(n_right, key).where(F.col("_nl") * F.col("_nr") > size * size).select(key, F.ceil(F.col("_nl") / size).alias("_bl"), F.ceil(F.col("_nr") / size).alias("_br"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(*df.columns), F.coalesce(F.col(own), F.lit(1)))
+        tagged = df.join(crowded, key, "left").withColumn(f"_i{own}", place)
+        blocks = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(other), F.lit(1).cast("long")) - 1)
+        return tagged.withColumn(f"_i{other}", F.explode(blocks)).drop("_bl", "_br")
+
+    return dealt(left, "_bl", "_br").join(dealt(right, "_br", "_bl"), [key, "_i_bl", "_i_br"]).drop("_i_bl", "_i_br")
+
+
 def resistance_by_key(manifest: DataFrame) -> DataFrame:
     """Rows, genomes and resistance rate of every (species, antibiotic), both in key form and not blank.
 

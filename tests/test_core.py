@@ -13,7 +13,7 @@ from strandline.operators import relational as rel
 from strandline.operators import sequences as seq
 from strandline.operators import statistics as sta
 from strandline.operators.ordering import numbered, running_total
-from strandline.operators.skew import HeavyKeys, heavy_keys, keys_over_share, looked_up, resistance_by_key, skewed_aggregate
+from strandline.operators.skew import HeavyKeys, blocked_join, heavy_keys, keys_over_share, looked_up, resistance_by_key, skewed_aggregate
 
 MANIFEST = "row_id long, genome_id string, species string, antibiotic string, phenotype int, partition_label string"
 
@@ -268,3 +268,11 @@ def test_looked_up_equals_a_join_whatever_the_skew(spark, kind):
     got, want = (sorted(map(str, df.select("k", "i", "v").collect())) for df in (looked_up(rows, "k", values, kind, least=0), rows.join(values, "k", kind)))
     assert got == want
     assert looked_up(rows.limit(0), "k", values, kind, least=-1).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 512])
+def test_blocked_join_equals_a_join(spark, size):
+    left = spark.createDataFrame([("hot", i) for i in range(30)] + [("a", 1), ("a", 1), ("b", 2), (None, 3)], "k string, x int")
+    right = spark.createDataFrame([("hot", i) for i in range(20)] + [("a", 5), ("a", 5), ("c", 2), (None, 3)], "k string, y int")
+    got, want = (sorted(map(str, df.select("k", "x", "y").collect())) for df in (blocked_join(left, right, "k", size), left.join(right, "k")))
+    assert got == want
