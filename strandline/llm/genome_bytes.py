@@ -82,6 +82,20 @@ def _codes(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return f, r, bad[k:] == bad[: len(bad) - k]
 
 
+def _spaced(bases: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _codes, of the bases at the places of a shape that reads the same from both ends."""
+    c = _CODE[bases]
+    n, top = len(c) - shape[-1], len(shape) - 1
+    fwd = (c & 3).astype(np.uint64)
+    rev, bad = fwd ^ np.uint64(3), c > 3
+    f, r, off = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
+    for i, p in enumerate(shape):
+        f |= fwd[p : p + n] << np.uint64(2 * (top - i))
+        r |= rev[p : p + n] << np.uint64(2 * i)
+        off |= bad[p : p + n]
+    return f, r, ~off
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread codes over 63 bits."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -100,35 +114,42 @@ def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     return x
 
 
-def winnow(bases: np.ndarray, offsets: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowed strand-neutral k-mers of many sequences laid end to end.
+def winnow(bases: np.ndarray, offsets: np.ndarray, seed: int | tuple[int, ...], windows: int | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed strand-neutral seeds of many sequences laid end to end.
 
-    Returns hash, sequence number, place of the k-mer in its sequence and whether the other strand's code was
-    the smaller. Of every w neighbouring k-mers the smallest hash is chosen, so two sequences with
-    w + k - 1 equal bases in a row share a choice.
+    A seed is `seed` bases in a row, or the bases at the places of a shape that reads the same from both ends. Returns
+    hash, sequence number, place of the seed in its sequence and whether the other strand's code was the smaller, by
+    sequence and place. Of every w neighbouring seeds the smallest hash is chosen, so two sequences with w + span - 1
+    equal bases in a row share a choice. w may differ between sequences: what a wide window chooses, a narrow one chooses too.
     """
     none = np.zeros(0, np.int64)
-    n = len(bases) - k + 1
-    if n < 1:
+    span = seed if isinstance(seed, int) else seed[-1] + 1
+    if len(bases) < span:
+        return none, none, none, none.astype(bool)
+    f, r, good = _codes(bases, seed) if isinstance(seed, int) else _spaced(bases, seed)
+    h = np.where(good, np.minimum(_mix(np.minimum(f, r).astype(np.uint64)), NO_HASH - 1), NO_HASH)
+    every = np.maximum(np.diff(offsets) - span + 1, 0)
+    windows = np.broadcast_to(windows, every.shape)
+    parts = []
+    for w in np.unique(windows[every > 0]):
+        files = np.flatnonzero((windows == w) & (every > 0))
+        gap, count = int(w) - 1, every[files]
+        # files are set w - 1 places apart, so no window spans two of them
+        moved = np.append(0, np.cumsum(count + gap))
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        spread = np.full(moved[-1] + gap, NO_HASH)
+        spread[inner + np.repeat(moved[:-1] + gap, count)] = h[inner + np.repeat(offsets[:-1][files], count)]
+        top = _sliding(_sliding(spread, int(w), np.minimum), int(w), np.maximum)
+        chosen = np.flatnonzero((top == spread[gap : gap + len(top)]) & (top != NO_HASH)) + gap
+        at = np.searchsorted(moved + gap, chosen, side="right") - 1
+        parts.append((spread[chosen], files[at], chosen - (moved + gap)[at]))
+    if not parts:
         return none, none, none, none.astype(bool)
-    f, r, good = _codes(bases, k)
-    h = _mix(np.minimum(f, r).astype(np.uint64))
-    gap = w - 1
-    # files are set w - 1 places apart, so no window spans two of them
-    count = np.maximum(np.diff(offsets) - k + 1, 0)
-    moved = np.append(0, np.cumsum(count + gap))
-    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    source = inner + np.repeat(offsets[:-1], count)
-    spread = np.full(moved[-1] + gap, NO_HASH)
-    target = inner + np.repeat(moved[:-1] + gap, count)
-    spread[target] = np.where(good[source], np.minimum(h[source], NO_HASH - 1), NO_HASH)
-    least = _sliding(spread, w, np.minimum)
-    top = _sliding(least, w, np.maximum)
-    chosen = np.flatnonzero((top == spread[gap : gap + len(top)]) & (top != NO_HASH)) + gap
-    seq = np.searchsorted(moved + gap, chosen, side="right") - 1
-    place = chosen - (moved + gap)[seq]
+    chosen, seq, place = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((place, seq))
+    chosen, seq, place = chosen[by], seq[by], place[by]
     at = offsets[seq] + place
-    return spread[chosen], seq, place, r[at] < f[at]
+    return chosen, seq, place, r[at] < f[at]
 
 
 def _mark(a: np.ndarray, b: np.ndarray, diagonal: int, lo: int, hi: int, hit: np.ndarray, window: int, least: int) -> None:
@@ -147,12 +168,13 @@ def _mark(a: np.ndarray, b: np.ndarray, diagonal: int, lo: int, hi: int, hit: np
     hit[lo:hi] |= same & (np.cumsum(edge[:-1]) > 0)
 
 
-def coverage(a: np.ndarray, b: np.ndarray, seed: int = 11, window: int = 24, least: int = 17, reach: int = 64) -> int:
+def coverage(a: np.ndarray, b: np.ndarray, seed: int | None = None, window: int = 24, least: int = 17, reach: int = 64) -> int:
     """Number of bases of a that also stand in b, base for base, on either strand.
 
-    Exact seeds are chained on their diagonals; each chain is extended base by base over `reach` bases to both
-    sides, and equal bases count inside windows that are dense in matches.
+    Exact seeds of 11 bases, and more in files of millions so that chance hits stay in proportion to them, are chained on their diagonals; each chain is extended
+    base by base over `reach` bases to both sides, and equal bases count inside windows that are dense in matches.
     """
+    seed = seed or min(max(11, int(np.log2(len(b) + 1) / 2) + 1), 16)
     hit = np.zeros(len(a), bool)
     if len(a) < window or len(b) < window:
         return len(a) if a.tobytes() in b.tobytes() or reverse_complement(a.tobytes()) in b.tobytes() else 0
@@ -177,7 +199,9 @@ def coverage(a: np.ndarray, b: np.ndarray, seed: int = 11, window: int = 24, lea
         # a chain: seeds of one diagonal no more than `reach` apart
         new = np.flatnonzero(np.append(True, (np.diff(d) != 0) | (np.diff(qa) > reach)))
         stop = np.append(new[1:], len(d))
+        if n.sum() >= 64:
+            several = stop - new > 1
+            new, stop = new[several], stop[several]
         for s, e in zip(new, stop):
-            if e - s > 1 or n.sum() < 64:
-                _mark(a, t, int(d[s]), int(qa[s]) - reach, int(qa[e - 1]) + seed + reach, hit, window, least)
+            _mark(a, t, int(d[s]), int(qa[s]) - reach, int(qa[e - 1]) + seed + reach, hit, window, least)
     return int(hit.sum())

@@ -34,7 +34,7 @@ def p7_shares(spark, folder):
 QUERIES = {f.__name__: f for f in (
     sampling.p1_found, sampling.p1_sample, sampling.p1_report,
     splitting.p3_found, splitting.p3_pieces, splitting.p3_bases,
-    overlaps.p4_found, overlaps.p4_pairs, overlaps.p4_report,
+    overlaps.p4_found, overlaps.p4_pairs, overlaps.p4_report, overlaps.p4_members,
     grouped_splits.p5_found, grouped_splits.p5_assignment, grouped_splits.p5_shares, grouped_splits.p5_forest,
     packing.p6_found, packing.p6_containers, packing.p6_fill,
     p7_found, p7_mix, p7_shares,

@@ -45,20 +45,42 @@ def test_content_key_ignores_order_and_strand():
     assert len(keys) == 1
 
 
-@pytest.mark.parametrize("k", [11, 16, 20, 31])
-def test_winnow_shares_prints_of_common_stretches(k):
+SHAPE = ov.Overlap().shape
+
+
+@pytest.mark.parametrize("seed", [11, 16, 20, 31, SHAPE])
+def test_winnow_shares_prints_of_common_stretches(seed):
+    k = seed if isinstance(seed, int) else seed[-1] + 1
     rng = random.Random(k)
     common = bases(rng, k + 30)
     texts = [bases(rng, 100) + common + bases(rng, 90), bases(rng, 70) + flip(common), "ACG", "N" * 200]
     b, offsets, _, _ = parse_batch([t.encode() for t in texts])
-    h, seq, place, _ = winnow(b, offsets, k, 30)
+    h, seq, place, _ = winnow(b, offsets, seed, 30)
     assert set(h[seq == 0]) & set(h[seq == 1])
     assert not (seq >= 2).any()
-    alone = winnow(*parse_batch([texts[1].encode()])[:2], k, 30)
+    alone = winnow(*parse_batch([texts[1].encode()])[:2], seed, 30)
     assert sorted(h[seq == 1]) == sorted(alone[0])  # a file's prints don't depend on its neighbours
     assert all(0 <= p <= len(texts[s]) - k for s, p in zip(seq, place))
 
 
+def test_wide_windows_choose_among_the_prints_of_narrow_ones():
+    rng = random.Random(12)
+    b, offsets, _, _ = parse_batch([bases(rng, n).encode() for n in (700, 30, 1500, 3000)])
+    sets = {}
+    for w in (6, 12, 48, np.array([6, 12, 12, 48])):
+        h, seq, place, _ = winnow(b, offsets, SHAPE, w)
+        assert (np.diff(seq * 10_000 + place) > 0).all()
+        sets[str(w)] = {*zip(seq.tolist(), h.tolist())}
+    assert sets["48"] < sets["12"] < sets["6"]
+    assert sets["[ 6 12 12 48]"] == {x for x in sets["6"] if x[0] == 0} | {x for x in sets["12"] if x[0] in (1, 2)} | {x for x in sets["48"] if x[0] == 3}
+
+
+def test_seed_reads_the_same_from_both_ends_and_survives_regular_differences():
+    assert len(SHAPE) == 20 and [SHAPE[-1] - p for p in reversed(SHAPE)] == list(SHAPE)
+    for period, places in [(n, [0]) for n in range(20, 60)] + [(40, [0, d]) for d in range(1, 21)]:
+        assert len({(m - p) % period for m in places for p in SHAPE}) <= 0.7 * period + 1e-9
+
+
 def test_coverage():
     rng = random.Random(2)
     x = bases(rng, 2000)
@@ -149,6 +171,74 @@ def test_files_of_repeats_are_found(spark):
     assert got == {(f"g{n}_{i}", f"g{n}_{j}") for n in range(3) for i in range(3) for j in range(3, 6)}
 
 
+def regular(s, step, start=0):
+    """Every step-th base changed."""
+    return "".join({"A": "C", "C": "G", "G": "T", "T": "A"}[c] if i >= start and (i - start) % step == step - 1 else c for i, c in enumerate(s))
+
+
+def found_of(spark, pairs, others=()):
+    """Which of the planted (train text, test text) pairs are found, among other texts of train."""
+    files = [(f"{side}{i}", ">x\n" + t, None) for i, pair in enumerate(pairs) for side, t in zip("ab", pair)] + [(f"o{i}", ">o\n" + t, None) for i, t in enumerate(others)]
+    rows = [(f"{side}{i:04}", f"{side}{i}", split, None, None) for i in range(len(pairs)) for side, split in (("a", "train"), ("b", "test_outside"))]
+    rows += [(f"o{i:04}", f"o{i}", "train" if i % 2 else "val_outside", None, None) for i in range(len(others))]
+    got = {(r[0], r[1]) for r in ov.cross_split_pairs(spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(files, FILES)).collect()}
+    return [i for i in range(len(pairs)) if (f"a{i:04}", f"b{i:04}") in got]
+
+
+def test_regular_differences_are_found(spark):
+    rng = random.Random(20)
+    texts = [bases(rng, n) for n in [300, 600, 900, 1400, 2000, 2600, 3500, 6000] for _ in range(10)]
+    pairs = [(t, regular(t, 20)) for t in texts]
+    true = [i for i, (x, y) in enumerate(pairs) if coverage(arr(x), arr(y)) >= 0.95 * len(x)]
+    found = found_of(spark, pairs)
+    assert len(true) > 70 and len(set(true) & set(found)) >= 0.99 * len(true) and all(i in true for i in found)
+
+
+def test_pairs_that_share_an_element_of_many_files_are_found(spark):
+    rng = random.Random(21)
+    element = bases(rng, 1000)
+    pairs = []
+    for _ in range(20):
+        own = bases(rng, 1200)
+        pairs.append((own + element, regular(own, 12) + element))
+    assert all(coverage(arr(x), arr(y)) >= 0.95 * 2200 for x, y in pairs)
+    carriers = [bases(rng, rng.randint(800, 1400)) + element + bases(rng, rng.randint(300, 900)) for _ in range(66)]
+    assert found_of(spark, pairs, carriers) == list(range(20))
+
+
+def test_recall_against_brute_force(spark):
+    rng = random.Random(22)
+    roots = [bases(rng, rng.choice([350, 700, 1200, 2500])) for _ in range(24)]
+    texts = []
+    for i in range(120):
+        s = mutated(rng, roots[i % 24], rng.choice([0.0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04, 0.05]))
+        s = s[rng.randint(0, len(s) // 8) :]
+        turn = rng.randint(0, len(s))
+        texts.append(rng.choice([s, flip(s), s[turn:] + s[:turn], s[:turn] + flip(s[turn:])]))
+    files = spark.createDataFrame([(f"p{i}", ">x\n" + t, None) for i, t in enumerate(texts)], FILES)
+    manifest = spark.createDataFrame([(f"g{i:03}", f"p{i}", rng.choice(["train", "test_outside"]), None, None) for i in range(120)], MANIFEST)
+    side = {r[0]: r[2] for r in manifest.collect()}
+    true = set()
+    for i in range(120):
+        for j in range(i + 1, 120):
+            x, y = sorted((texts[i], texts[j]), key=len)
+            if side[f"g{i:03}"] != side[f"g{j:03}"] and len(x) >= 0.8 * len(y) and coverage(arr(x), arr(y)) >= 0.95 * len(x):
+                true.add((f"g{i:03}", f"g{j:03}"))
+    got = {(r[0], r[1]) for r in ov.cross_split_pairs(manifest, files).collect()}
+    assert len(true) > 60 and got <= true and len(got) >= 0.99 * len(true)
+
+
+def test_blocks_of_one_key_give_every_pair_once(spark):
+    rng = random.Random(23)
+    base = bases(rng, 900)
+    files = [(f"p{i}", ">x\n" + (base if i < 30 else mutated(rng, base, 0.01)), None) for i in range(40)]
+    rows = [(f"g{i:02}", f"p{i}", "train" if i % 2 else "val_outside", None, None) for i in range(40)]
+    got = [(r[0], r[1]) for r in ov.cross_split_pairs(spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(files, FILES), ov.Overlap(crowd=2, block=3, block_bases=4000)).collect()]
+    assert len(got) == len(set(got)) == 400
+    links = {r["sequence_path"]: (r["class"], r["n_links"]) for r in ov.members(spark.createDataFrame(rows, MANIFEST), spark.createDataFrame(files, FILES)).collect()}
+    assert len(links) == 40 and len({c for c, _ in links.values()}) == 11 and links["p0"] == links["p29"] == (links["p0"][0], 10)
+
+
 def test_empty_tables(spark):
     manifest, files = spark.createDataFrame([], MANIFEST), spark.createDataFrame([], FILES)
     assert ov.cross_split_pairs(manifest, files).count() == 0
