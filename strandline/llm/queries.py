@@ -58,17 +58,21 @@ _ROWS = f"select genome_id, {_key('species')} as species, {_key('partition_label
 
 _SIZED = f"select doc_id, {_key('source')} as source, coalesce(strlen(text), 0) as tokens from documents"
 
-# the operator's rule on whole tables, with its production parameters: 20 final words, closings at nine ends in ten
-_FLAGS = f"""with words as (select doc_id, {_key('source')} as source, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)),
+# the operator's rule on whole tables, with its production parameters: 20 final words, endings of 40, closings at nine ends in ten
+_FLAGS = f"""with words as (select doc_id, {_key('source')} as source, {_key('lang')} as lang, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(trim(text, ' '),
     '(?m)^\\p{{L}}+ [0-9]+ \\p{{L}}+ [0-9]+\\b.*$', ' ', 'g'), '[0-9]+', '9', 'g'), '[\\n\\r]\\s*', ' ¶ ', 'g'), '[^\\p{{L}}\\p{{N}}¶]+'), lambda x: x <> '') as w
   from documents where regexp_matches(text, '\\S')),
-grams as (select doc_id, source, list_transform(range(greatest(len(w) - 3, 0) + 1), lambda i: concat_ws(' ', w[i + 1], w[i + 2], w[i + 3])) as g from words),
-finals as (select doc_id, source, list_distinct(g[greatest(len(g) - 17, 1):]) as tail from grams),
-at_ends as (select t, count(*) as e from (select unnest(tail) as t from finals) group by t having count(*) >= greatest(3, (select count(*) from finals) // 2000)),
-inside as (select t, count(*) as i from (select unnest(list_distinct(g[1:greatest(len(g) - 18, 0)])) as t from grams) where t in (select t from at_ends) group by t),
-closings as (select t from at_ends left join inside using (t) where e >= 0.9 * (e + coalesce(i, 0))),
-complete as (select distinct doc_id from (select doc_id, unnest(tail) as t from finals) where t in (select t from closings)),
-flags as (select doc_id, source, doc_id not in (select doc_id from complete) as truncated from finals)"""
+ended as (select *, array_to_string(w[greatest(len(w) - 39, 1):], ' ') as ending, w[greatest(len(w) - 19, 1):] as z from words),
+finals as (select doc_id, source, lang, ending, list_transform(range(greatest(len(z) - 3, 0) + 1), lambda i: concat_ws(' ', z[i + 1], z[i + 2], z[i + 3])) as tail from ended),
+once as (select source, lang, ending, any_value(tail) as tail from finals group by all),
+least as (select source, lang, greatest(3, 0.3::double * sqrt(count(*))) as l from once group by all),
+c as (select source, lang, t, count(*) as n from (select source, lang, unnest(list_distinct(tail)) as t from once) group by all),
+at_ends as (select t, sum(n) as e from c join least l on c.source is not distinct from l.source and c.lang is not distinct from l.lang group by t having bool_or(n >= l)),
+inside as (select t, count(distinct ending) as i from (select ending, unnest(list_transform(range(greatest(len(w) - 20, 0)), lambda i: concat_ws(' ', w[i + 1], w[i + 2], w[i + 3]))) as t from ended) where t in (select t from at_ends) group by t),
+known as (select t, e::double / (e + coalesce(i, 0)) as share from at_ends left join inside using (t)),
+j as (select doc_id, max(share) as most, min(share) as least, arg_max(share, place) filter (where share is not null) as last
+  from (select doc_id, unnest(tail) as t, unnest(range(len(tail))) as place from finals) left join known using (t) group by doc_id),
+flags as (select doc_id, source, most is null or (most < 0.9::double and (least <= 0.1::double or last < 0.5)) as truncated from finals join j using (doc_id))"""
 
 ORACLE = {
     "p8_found": f"{_FLAGS} select doc_id from flags where truncated",

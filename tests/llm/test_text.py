@@ -7,7 +7,7 @@ from strandline.llm import mixing as mix
 from strandline.llm import packing as pk
 from strandline.llm import truncation as tr
 
-DOCS = "doc_id long, text string, source string, part string, use string"
+DOCS = "doc_id long, text string, source string, part string, lang string"
 
 
 def docs(spark, rows):
@@ -131,6 +131,7 @@ def test_truncation(spark):
     assert {i for i, r in flags.items() if r["truncated"]} == {*cut_ids, 403}
     assert not {400, 401} & set(flags) and flags[402]["source"] is None
     by = {r["source"]: (r["n_texts"], r["n_truncated"]) for r in tr.by_source(tr.truncated(docs(spark, rows))).collect()}
+    assert {flags[i]["evidence"] for i in flags if not flags[i]["truncated"]} == {None} and flags[403]["evidence"] == "unseen" and sum(flags[i]["evidence"] == "inner" for i in cut_ids) > 4
     assert by["b"] == (30, 30) and by["a"] == (162, 1) and by[None] == (1, 0)
     assert tr.truncated(docs(spark, [])).count() == 0
 
@@ -146,12 +147,22 @@ def test_copies_and_versions_of_a_cut_text_are_found(spark):
     assert len(flags) == 115 and {i for i, cut in flags.items() if cut} == {i for i in flags if i >= 200}
 
 
+def test_a_small_sources_own_closing_counts_beside_large_ones(spark):
+    rng = random.Random(4)
+    rows = [(i, ruling(rng, f"Filed by clerk {rng.choice(['Norton', 'Draberg'])} in the northern registry."), "rare") for i in range(9)]
+    rows += [(9 + i, ruling(rng, "Filed by clerk Norton in the northern registry.")[:500], "rare") for i in range(3)]
+    rows += [(1000 + i, ruling(rng, "So ordered."), "large") for i in range(6000)]
+    flags = {r["doc_id"]: r["truncated"] for r in tr.truncated(docs(spark, rows)).collect()}
+    assert {i for i, cut in flags.items() if cut} == {9, 10, 11}
+
+
 @pytest.mark.parametrize("reach", [1, 8, 30, 90, 5000])
 def test_last_lines_hold_the_final_words_of_the_whole_text(spark, reach):
     rng = random.Random(reach)
     parts = ["one", "Zwei", "s48A", "\n", "\r\n", "\n\n", " ", "…", "¶ 7", "12.5", "Page 2 of 3", "\nPage 1 of 9 x-1\n", "é" * 40, "\t", "a" * 100]
     texts = ["".join(rng.choice(parts) + rng.choice([" ", "", " "]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [None, "", " \n ", "x", "\n" * 50, "long " * 2000]
     df = docs(spark, [(i, t, None) for i, t in enumerate(texts)])
+    assert tr.truncated(df).count() == sum(bool(t and t.strip()) for t in texts)
     last = spark.sql(tr._final_words(20, reach), tr.PATTERNS, docs=df)
     whole = spark.sql(f"select doc_id, {tr._words('trim(text)')} as w from {{docs}} where text rlike :ink", tr.PATTERNS, docs=df)
     assert {r["doc_id"]: r["w"] for r in last.collect()} == {r["doc_id"]: r["w"][-20:] for r in whole.collect()}
