@@ -22,7 +22,9 @@ class Overlap:
     more), or in any two places of every 40, leave at least 30 % of these whole, as random ones leave 36 %; they can leave
     none of 20 bases in a row. window: winnowing; narrow: narrower windows of files of fewer bases. shorter: bases the file with
     fewer has, as a share of the other's. covered: share of its bases that stand in the other. evidence: share of its
-    distinct fingerprints a pair has to share to be aligned; with 30 % whole, about 18 % are shared. crowd: (train files x
+    distinct fingerprints that the file with fewer bases has to share to be aligned; with 30 % whole, about 18 % are shared. spread: fifteenths
+    of that file in which they have to stand (fewer in files of few prints): nearly equal files share them all over, those that have
+    but an element in common in one place. all_over: fifteenths that are evidence by themselves, as files of repeats have few distinct prints. crowd: (train files x
     other files) of a fingerprint beyond which it is crowded. few: sequences up to which keys are broadcast. block: pairs of
     one key in a task. block_bases: bases that an aligning task is given.
     """
@@ -33,6 +35,8 @@ class Overlap:
     shorter: float = 0.8
     covered: float = 0.95
     evidence: float = 0.05
+    spread: int = 4
+    all_over: int = 12
     crowd: int = 1024
     few: int = 200_000
     block: int = 512
@@ -50,7 +54,7 @@ class Overlap:
         return out
 
 
-PRINTS = "sequence_path string, n_bases long, content long, n_prints int, prints array<bigint>, places array<int>"
+PRINTS = "sequence_path string, n_bases long, content long, n_prints int, prints array<bigint>, places array<int>, parts array<smallint>"
 HOT = HeavyKeys(share=0.001)  # a fingerprint of a third of all files is some thousandths of all rows
 
 
@@ -78,6 +82,9 @@ def fingerprints(files: DataFrame, how: Overlap) -> DataFrame:
                 # a print that a file has several times counts once, at its first place
                 by = np.lexsort((place, h, seq))
                 new = np.append(True, (np.diff(seq[by]) != 0) | (np.diff(h[by]) != 0))[: len(by)]
+                # one bit for each fifteenth of the file in which a print stands
+                bits = np.int32(1) << (place[by] * 15 // np.maximum(np.diff(offsets), 1)[seq[by]]).astype(np.int32)
+                bits = (np.bitwise_or.reduceat(bits, np.flatnonzero(new)) if len(by) else bits).astype(np.int16)
                 h, seq = h[by][new], seq[by][new]
                 place = np.where(flip, -1 - place, place).astype(np.int32)[by][new]
                 bounds = np.searchsorted(seq, np.arange(len(part) + 1))
@@ -88,6 +95,7 @@ def fingerprints(files: DataFrame, how: Overlap) -> DataFrame:
                     "n_prints": np.diff(bounds),
                     "prints": [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])],
                     "places": [place[a:b] for a, b in zip(bounds[:-1], bounds[1:])],
+                    "parts": [bits[a:b] for a, b in zip(bounds[:-1], bounds[1:])],
                 })
 
     return files.select("sequence_path", F.col("fasta").cast("binary").alias("fasta")).where("fasta is not null").mapInPandas(run, PRINTS)
@@ -108,12 +116,12 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     Fingerprints of one side are joined with those of the other. A crowded fingerprint, such as a mobile element in
     thousands of genomes, would join all of these with each other, so it is joined only where it can decide, which
     loses no pair. A pair that shares crowded prints only has to have the evidence in these alone, so the class with
-    fewer prints is rich: its crowded prints reach the evidence. Rich classes are joined by all their prints. Where
+    fewer bases is rich: its crowded prints reach the evidence, and stand in as many parts of it as are asked for. Rich classes are joined by all their prints. Where
     neither class is rich, a pair shares a print that is not crowded too; its crowded ones are looked up for that pair.
     """
     total = printed.agg(F.sum("n_prints")).first()[0] or 0
     parts = max(int(printed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 250_000)  # some megabytes a task
-    seeds = printed.select(F.col("content").alias("class"), F.explode(F.arrays_zip("prints", "places")).alias("_s")).select("class", F.col("_s.prints").alias("print"), F.col("_s.places").alias("place"))
+    seeds = printed.select(F.col("content").alias("class"), F.explode(F.arrays_zip("prints", "places", "parts")).alias("_s")).select("class", F.col("_s.prints").alias("print"), F.col("_s.places").alias("place"), F.col("_s.parts").alias("part"))
     # prints that many files hold are told apart, as the shuffle by print would put each into one task
     hot = cut(heavy_keys(seeds, ["print"], HOT))
     is_hot = F.xxhash64("print") == F.col("_heavy")
@@ -123,15 +131,20 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     several = rest.groupBy("print").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.bit_xor(F.xxhash64(*rest.columns)).alias("_sum")).where("_low <> _high")
     met_twice = rest.join(several.select("print", "_sum"), "print").drop("_sum").unionByName(seeds.join(F.broadcast(hot), is_hot, "left_semi"))
     # copies of one content are one class
-    own = cut(met_twice.groupBy("class", "print").agg(F.min("place").alias("place")))
+    own = cut(met_twice.groupBy("class", "print").agg(F.min("place").alias("place"), F.bit_or("part").alias("part")))
     sizes = printed.groupBy(F.col("content").alias("class")).agg(F.max("n_bases").alias("n_bases"), F.max("n_prints").alias("n_prints"))
     sides = classes.groupBy("class").agg(F.bool_or("in_train").alias("in_train"), F.bool_or("in_eval").alias("in_eval")).join(sizes, "class")
     own = cut(own.join(sides, "class"))
     counts = cut(own.groupBy("print").agg(F.count_if("in_train").alias("_t"), F.count_if("in_eval").alias("_e"), F.count("*").alias("_all")).where("_t > 0 and _e > 0 and _all > 1").select("print", (F.col("_t") * F.col("_e") > how.crowd).alias("crowded")))
     shared = cut(looked_up(own, "print", counts, how=HOT))
-    load = shared.groupBy("class", "n_prints").agg(F.count_if("crowded").alias("_c")).where("_c > 0")
-    rich_classes = cut(load.where(F.col("_c") >= how.evidence * F.col("n_prints")).select("class"))
-    fields = ["class", "place", "n_bases", "n_prints"]
+    load = shared.where("crowded").groupBy("class", "n_prints").agg(F.count("*").alias("_c"), F.bit_or("part").alias("_parts"))
+
+    def enough(n: str) -> Column:
+        parts = F.bit_count("_parts")
+        return ((F.col("_c") >= F.greatest(F.lit(1.0), how.evidence * F.col(n))) & (parts >= F.least(F.lit(how.spread), F.floor(F.col(n) / 8)))) | (parts >= how.all_over)
+
+    rich_classes = cut(load.where(enough("n_prints")).select("class"))
+    fields = ["class", "place", "n_bases", "n_prints", "part"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("print", *[F.col(c).alias(f"{c}_{name}") for c in fields])
@@ -145,9 +158,9 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
         at_a, at_b = (F.when(F.col(c) < 0, -1 - F.col(c)).otherwise(F.col(c)) for c in ("place_a", "place_b"))
         diagonal = F.when(flip, at_a + at_b).otherwise(at_a - at_b)
         both = joined.where((F.col("class_a") != F.col("class_b")) & (shorter >= longer * how.shorter))
-        swap = F.col("class_a") > F.col("class_b")
+        swap, fewer = F.col("class_a") > F.col("class_b"), F.struct("n_bases_a", "class_a") < F.struct("n_bases_b", "class_b")
         return both.select(
-            F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), F.col("print"), F.least("n_prints_a", "n_prints_b").alias("n"),
+            F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), F.col("print"), F.when(fewer, F.col("n_prints_a")).otherwise(F.col("n_prints_b")).alias("n"), F.when(fewer, F.col("part_a")).otherwise(F.col("part_b")).alias("part"),
             flip.alias("flip"), F.floor(F.when(swap & ~flip, -diagonal).otherwise(diagonal) / 64).alias("band"),
         )
 
@@ -158,8 +171,9 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     looked = open_pairs.select("a", "b").distinct().join(on_a, F.col("a") == F.col("class_a")).join(on_b, (F.col("b") == F.col("class_b")) & (F.col("print_a") == F.col("print")))
     pairs = open_pairs.unionByName(shares(looked)).unionByName(met(rich.where("in_train"), thick.where("in_eval"))).unionByName(met(thick.where("in_train"), rich.where("in_eval")))
     # a chain: prints of one strand and one band of diagonals; single prints count only where a class has few
-    chains = pairs.groupBy("a", "b", "flip", "band").agg(F.count_distinct("print").alias("_c"), F.max("n").alias("n"))
-    return cut(chains.groupBy("a", "b").agg(F.sum("_c").alias("_c"), F.max("_c").alias("_best"), F.max("n").alias("n")).where((F.col("_c") >= F.greatest(F.lit(1.0), how.evidence * F.col("n"))) & ((F.col("_best") > 1) | (F.col("n") < 20))).select("a", "b"))
+    chains = pairs.groupBy("a", "b", "flip", "band").agg(F.count_distinct("print").alias("_c"), F.max("n").alias("n"), F.bit_or("part").alias("_parts"))
+    whole = chains.groupBy("a", "b").agg(F.sum("_c").alias("_c"), F.max("_c").alias("_best"), F.max("n").alias("n"), F.bit_or("_parts").alias("_parts"))
+    return cut(whole.where(enough("n") & ((F.col("_best") > 1) | (F.col("n") < 20) | (F.bit_count("_parts") >= how.all_over))).select("a", "b"))
 
 
 def aligned(pairs: DataFrame, classes: DataFrame, files: DataFrame, how: Overlap) -> DataFrame:
