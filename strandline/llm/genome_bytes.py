@@ -85,15 +85,25 @@ def _codes(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _spaced(bases: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As _codes, of the bases at the places of a shape that reads the same from both ends."""
     c = _CODE[bases]
-    n, top = len(c) - shape[-1], len(shape) - 1
-    fwd = (c & 3).astype(np.uint64)
-    rev, bad = fwd ^ np.uint64(3), c > 3
-    f, r, off = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, bool)
-    for i, p in enumerate(shape):
-        f |= fwd[p : p + n] << np.uint64(2 * (top - i))
-        r |= rev[p : p + n] << np.uint64(2 * i)
-        off |= bad[p : p + n]
-    return f, r, ~off
+    n, half = len(c) - shape[-1], len(shape) // 2
+    digits = (c & 3).astype(np.uint32)
+    parts, off = [], np.zeros(n, bool)
+    for places in (shape[:half], shape[half:]):
+        code = np.zeros(n, np.uint32)
+        for p in places:
+            code <<= np.uint32(2)
+            code |= digits[p : p + n]
+        parts.append(code)
+    wrong = c > 3
+    for p in shape if wrong.any() else ():
+        off |= wrong[p : p + n]
+    width = 2 * len(shape)
+    f = (parts[0].astype(np.uint64) << np.uint64(2 * (len(shape) - half))) | parts[1]
+    # the other strand reads the same places backwards: complement all digits and turn their order round
+    r = f ^ np.uint64((1 << width) - 1)
+    for bits, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F)):
+        r = ((r >> np.uint64(bits)) & np.uint64(mask)) | ((r & np.uint64(mask)) << np.uint64(bits))
+    return f, r.byteswap() >> np.uint64(64 - width), ~off
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -127,7 +137,7 @@ def winnow(bases: np.ndarray, offsets: np.ndarray, seed: int | tuple[int, ...],
     if len(bases) < span:
         return none, none, none, none.astype(bool)
     f, r, good = _codes(bases, seed) if isinstance(seed, int) else _spaced(bases, seed)
-    h = np.where(good, np.minimum(_mix(np.minimum(f, r).astype(np.uint64)), NO_HASH - 1), NO_HASH)
+    h = np.where(good, _mix(np.minimum(f, r).astype(np.uint64)) >> 21, NO_HASH)  # 42 bits, as a seed of 20 bases has no more
     every = np.maximum(np.diff(offsets) - span + 1, 0)
     windows = np.broadcast_to(windows, every.shape)
     parts = []

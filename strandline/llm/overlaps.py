@@ -121,9 +121,15 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     """
     total = printed.agg(F.sum("n_prints")).first()[0] or 0
     parts = max(int(printed.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 250_000)  # some megabytes a task
-    seeds = printed.select(F.col("content").alias("class"), F.explode(F.arrays_zip("prints", "places", "parts")).alias("_s")).select("class", F.col("_s.prints").alias("print"), F.col("_s.places").alias("place"), F.col("_s.parts").alias("part"))
-    # prints that many files hold are told apart, as the shuffle by print would put each into one task
-    hot = cut(heavy_keys(seeds, ["print"], HOT))
+
+    def seeds_of(df: DataFrame) -> DataFrame:
+        """A row for each print of a file; place and parts share one number, as this is what is moved most."""
+        spot = F.shiftleft(F.col("_s.places").cast("long"), 16).bitwiseOR(F.col("_s.parts").cast("long"))
+        return df.select(F.col("content").alias("class"), F.explode(F.arrays_zip("prints", "places", "parts")).alias("_s")).select("class", F.col("_s.prints").alias("print"), spot.alias("spot"))
+
+    seeds = seeds_of(printed)
+    # prints that many files hold are told apart by a sample, as the shuffle by print would put each into one task
+    hot = cut(heavy_keys(seeds_of(printed.sample(0.1, 7)), ["print"], HOT))
     is_hot = F.xxhash64("print") == F.col("_heavy")
     # nearly all other prints are of one class only: one shuffle serves to find the others and to keep their rows
     rest = seeds.join(F.broadcast(hot), is_hot, "left_anti").repartition(parts, "print")
@@ -131,7 +137,8 @@ def candidates(printed: DataFrame, classes: DataFrame, how: Overlap) -> DataFram
     several = rest.groupBy("print").agg(F.min("class").alias("_low"), F.max("class").alias("_high"), F.bit_xor(F.xxhash64(*rest.columns)).alias("_sum")).where("_low <> _high")
     met_twice = rest.join(several.select("print", "_sum"), "print").drop("_sum").unionByName(seeds.join(F.broadcast(hot), is_hot, "left_semi"))
     # copies of one content are one class
-    own = cut(met_twice.groupBy("class", "print").agg(F.min("place").alias("place"), F.bit_or("part").alias("part")))
+    place, part = F.shiftright("spot", 16).cast("int"), F.col("spot").bitwiseAND(F.lit(0x7FFF)).cast("int")
+    own = cut(met_twice.groupBy("class", "print").agg(F.min(place).alias("place"), F.bit_or(part).alias("part")))
     sizes = printed.groupBy(F.col("content").alias("class")).agg(F.max("n_bases").alias("n_bases"), F.max("n_prints").alias("n_prints"))
     sides = classes.groupBy("class").agg(F.bool_or("in_train").alias("in_train"), F.bool_or("in_eval").alias("in_eval")).join(sizes, "class")
     own = cut(own.join(sides, "class"))
