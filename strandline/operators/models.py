@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -92,7 +93,7 @@ def suite(dims: int | None = None, seed: int = 42) -> dict:
         "logistic_l2": LogisticRegression(weightCol="weight", regParam=0.01, elasticNetParam=0.0, maxIter=50),
         "logistic_l1": LogisticRegression(weightCol="weight", regParam=0.01, elasticNetParam=1.0, maxIter=50),
         "linear_svm": LinearSVC(weightCol="weight", regParam=0.01, maxIter=50),
-        "random_forest": RandomForestClassifier(weightCol="weight", numTrees=50, maxDepth=6, seed=seed),
+        "random_forest": RandomForestClassifier(weightCol="weight", numTrees=200, maxDepth=6, seed=seed),
         "boosted_trees": GBTClassifier(weightCol="weight", maxIter=10, maxDepth=3, seed=seed),
     }
 
@@ -121,14 +122,45 @@ def fit_predict(df: DataFrame, vector: str, label: str, split: str, model, scale
     return out.select(F.col(split).alias("split"), F.col(label).cast("int").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"), score.alias("y_score"))
 
 
-def evaluate_suite(df: DataFrame, vector: str, label: str, split: str, dims: int | None = None) -> DataFrame:
-    """Metrics of every model on every split, in one aggregation over all predictions."""
-    data, every = cut(df), None
-    for name, model in suite(dims).items():
-        p = fit_predict(data, vector, label, split, model).withColumn("model", F.lit(name))
-        every = p if every is None else every.unionByName(p)
-    every = cut(every)
-    return classification_summary(every, ["model", "split"]).join(ranking_summary(every, ["model", "split"]), ["model", "split"])
+def settings(n: int, dims: int | None = None, seed: int = 42) -> dict[str, dict]:
+    """Per model its settings by name: a grid of penalties where there is one, over n training rows, else the one of `suite`.
+
+    Strengths C are those of losses that are summed up over rows; Spark's are means, so they become 1 / (C n).
+    """
+    grids = {name: {"default": model} for name, model in suite(dims, seed).items()}
+    for name, mixing in (("logistic_l2", 0.0), ("logistic_l1", 1.0)):
+        grids[name] = {f"C={c}": LogisticRegression(weightCol="weight", regParam=1 / (c * max(n, 1)), elasticNetParam=mixing, maxIter=50) for c in (0.01, 0.1, 1.0, 10.0)}
+    grids["ridge"] = {f"alpha={a}": partial(ridge, strength=a / max(n, 1)) for a in (0.1, 1.0, 10.0)}
+    return grids
+
+
+def evaluate_suite(df: DataFrame, vector: str, label: str, split: str, dims: int | None = None, tune_on: str = "val_outside", models: dict[str, dict] | None = None) -> DataFrame:
+    """Metrics of every model on every split, in one aggregation over all predictions, with the setting chosen and an error if there was one.
+
+    Every setting is fitted on train; the one with the highest AUROC on `tune_on` is chosen (the first of equals, and the first where
+    there is none), and scored on all splits. A model that fails gives one row with its error and no split, and the others go on.
+    """
+    data, every, notes = cut(df), None, []
+    for name, grid in (models or settings(data.where(F.col(split) == "train").count(), dims)).items():
+        try:
+            fitted = {setting: fit_predict(data, vector, label, split, model) for setting, model in grid.items()}
+            chosen = next(iter(fitted))
+            if len(fitted) > 1:
+                tried = None
+                for setting, p in fitted.items():
+                    held = p.where(F.col("split") == tune_on).withColumn("setting", F.lit(setting))
+                    tried = held if tried is None else tried.unionByName(held)
+                scores = {r["setting"]: r["auroc"] for r in ranking_summary(tried, ["setting"]).collect() if r["auroc"] is not None}  # a row a setting
+                chosen = max(fitted, key=lambda x: scores.get(x, -1.0))
+            p = cut(fitted[chosen].withColumn("model", F.lit(name)).withColumn("chosen", F.lit(chosen)))
+            every = p if every is None else every.unionByName(p)
+        except Exception as e:  # whatever a model's training raises is its result
+            notes.append((name, f"{type(e).__name__}: {e}"[:200]))
+    errors = df.sparkSession.createDataFrame(notes, "model string, error string")
+    if every is None:
+        return errors
+    by = ["model", "chosen", "split"]
+    return classification_summary(every, by).join(ranking_summary(every, by), by).withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
 
 
 def cross_validated(df: DataFrame, vector: str, label: str, fold: str, folds: int, models: dict) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strandline.functions.keys import OUTSIDE_SPLITS, key_form, known_split, valid_phenotype
 from strandline.functions.scalars import comparable_id, hash_order, taxon_of
-from strandline.operators.ordering import running_total
+from strandline.operators.ordering import numbered, running_total
 
+# Columns of a manifest.
 REQUIRED = ("genome_id", "species", "antibiotic", "phenotype", "partition_label")
 OPTIONAL = ("sequence_path", "embedding_path", "source_dataset", "split_design")
 
@@ -41,10 +42,10 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def valid_positions(tokens: DataFrame, keys: list[str], order: str, mask: str) -> DataFrame:
-    """Rows whose mask is above 0.5 (null counts as valid), numbered anew from 0 in every sequence."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return tokens.where(F.coalesce(F.col(mask), F.lit(1.0)) > 0.5).withColumn("t", F.row_number().over(w).cast("long") - 1)
+def valid_positions(tokens: DataFrame, keys: list[str], order: str, mask: str, block: int = 4096) -> DataFrame:
+    """Rows whose mask is above 0.5 (null counts as valid), numbered anew from 0 in every sequence; a task sorts `block` places of one."""
+    kept = tokens.where(F.coalesce(F.col(mask), F.lit(1.0)) > 0.5).withColumnRenamed(order, "_place")
+    return numbered(kept, keys, ["_place"], F.floor(F.col("_place") / block), "t").drop("_place")
 
 
 def summary_by(df: DataFrame, by: list[str], distinct: str) -> DataFrame:
@@ -113,6 +114,12 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), (F.count("*") - F.count_distinct(every)).alias("n_duplicated"))
 
 
+def alike_ids(df: DataFrame, key: str) -> DataFrame:
+    """(norm, n_ids, ids): comparable forms that several different ids of one table share, with these ids in order."""
+    forms = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), comparable_id(F.col(key)).alias("norm")).distinct()
+    return forms.groupBy("norm").agg(F.count("*").alias("n_ids"), F.array_join(F.array_sort(F.collect_list("_id")), "; ").alias("ids")).where("n_ids > 1")
+
+
 def two_tier_lookup(ids: DataFrame, labels: DataFrame, key: str, value: str) -> DataFrame:
     """Value by exact id, else by comparable id; where several rows fit, the smallest value."""
     exact = labels.groupBy(key).agg(F.min(value).alias("_exact"))

@@ -6,8 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Coefficients of a published Chebyshev fit of erfc, good to 1.2e-7 of its value.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
+def complementary_error(z: Column) -> Column:
+    """erfc of values from 0 on."""
+    t = 1 / (1 + z / 2)
+    fit = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        fit = F.lit(c) + t * fit
+    return t * F.exp(-z * z + fit)
+
+
 def chi_square_yates(df: DataFrame, group: str, label: str) -> DataFrame:
-    """Yates-corrected chi-square of a 2 x 2 table: a boolean group against labels 0 and 1; null if a margin is empty."""
+    """Yates-corrected chi-square of a 2 x 2 table, its p-value and whether that is below 0.05: a boolean group against labels 0 and 1; null if a margin is empty."""
     c = {f"{g}{y}": F.count_if((F.col(group) == bool(g)) & (F.col(label) == y)).cast("double") for g in (0, 1) for y in (0, 1)}
     t = df.agg(*[v.alias(f"n{k}") for k, v in c.items()])
     n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
@@ -17,7 +30,9 @@ def chi_square_yates(df: DataFrame, group: str, label: str) -> DataFrame:
             e = F.try_divide((F.col(f"n{g}0") + F.col(f"n{g}1")) * (F.col(f"n0{y}") + F.col(f"n1{y}")), n)
             d = F.greatest(F.abs(F.col(f"n{g}{y}") - e) - 0.5, F.lit(0.0))
             cells.append(F.try_divide(d * d, e))
-    return t.select(F.round(cells[0] + cells[1] + cells[2] + cells[3], 6).alias("chi2"), n.cast("long").alias("n"))
+    p = complementary_error(F.sqrt(F.col("_x") / 2))
+    both = t.select((cells[0] + cells[1] + cells[2] + cells[3]).alias("_x"), n.cast("long").alias("n"))
+    return both.select(F.round("_x", 6).alias("chi2"), "n", F.round(p, 5).alias("p_value"), (p < 0.05).alias("significant"))
 
 
 def rate_comparison(full: DataFrame, part: DataFrame, by: str, label: str = "phenotype") -> DataFrame:
@@ -94,12 +109,16 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return inside.groupBy(b.alias("bin")).agg(F.count("*").alias("n")).withColumn("density", F.round(F.col("n") / (total * ((high - low) / bins)), 9))
 
 
-def representation_score(comparison: DataFrame, shares_full: DataFrame, shares_part: DataFrame, by: str, coverage: Column) -> DataFrame:
-    """20 points a group for like resistance, 20 for like group shares, 20 for coverage, as a percentage of what was to get."""
-    likeness = comparison.agg(F.sum(F.greatest(20.0 * (1 - F.abs("difference")), F.lit(0.0))).alias("_likeness"), F.count("*").alias("_groups"))
+def representation_score(comparison: DataFrame, shares_full: DataFrame, shares_part: DataFrame, by: str, coverage: Column, groups: int = 5) -> DataFrame:
+    """20 points for each of `groups` groups of like resistance, 20 for like group shares, 20 for coverage, as a percentage of all points.
+
+    A group that is empty in all rows or in the part gets none, and its share is not compared; what there is to get stays the same.
+    """
+    there = comparison.join(shares_full.select(by), by, "left_semi").join(shares_part.select(by), by, "left_semi")
+    likeness = there.agg(F.sum(F.greatest(20.0 * (1 - F.abs("difference")), F.lit(0.0))).alias("_likeness"))
     mixed = shares_full.select(by, F.col("share").alias("_f")).join(shares_part.select(by, F.col("share").alias("_p")), by)
     gap = mixed.agg(F.avg(F.abs(F.col("_f") - F.col("_p")))).scalar()
-    return likeness.select(F.round(100 * (F.col("_likeness") + 20.0 * (1 - gap) + 20.0 * F.least(coverage, F.lit(1.0))) / (20.0 * F.col("_groups") + 40.0), 6).alias("score"))
+    return likeness.select(F.round(100 * (F.col("_likeness") + 20.0 * (1 - gap) + 20.0 * F.least(coverage, F.lit(1.0))) / (20.0 * groups + 40.0), 6).alias("score"))
 
 
 def stage_decomposition(df: DataFrame, layer: str, stage: str, value: str, first: str, last: str) -> DataFrame:

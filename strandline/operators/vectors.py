@@ -16,30 +16,31 @@ from strandline.runtime import cut
 def moments(df: DataFrame, vector: str, dims: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and sample covariance of a vector column, in one pass.
 
-    Every task sums its own (count, sum, cross products) and only these dims x dims sums leave it; dims bounds what
-    the driver gets. Sums are taken around the task's first vector, which keeps them exact enough. Null vectors are left out.
+    Every task sums its own (count, sum, cross products) around one common vector, which keeps them exact enough. The sums of tasks
+    are added up in Spark, a row of the matrix at a time; the driver gets dims rows of dims numbers. Null vectors are left out.
     """
+    given = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    first = given.first()
+    if first is None:
+        return 0, np.zeros(dims), np.zeros((dims, dims))
+    shift = np.asarray(first["v"])
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total, cross, shift = 0, np.zeros(dims), np.zeros((dims, dims)), None
+        n, total, cross = 0, np.zeros(dims), np.zeros((dims, dims))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack([np.asarray(v, float) for v in pdf["v"]])
-            shift = x[0].copy() if shift is None else shift
-            x = x - shift
-            n, total, cross = n + len(x), total + x.sum(0), cross + x.T @ x
+            if len(pdf):
+                x = np.stack([np.asarray(v, float) for v in pdf["v"]]) - shift
+                n, total, cross = n + len(x), total + x.sum(0), cross + x.T @ x
         if n:
-            mean = total / n
-            yield pd.DataFrame({"n": [n], "mean": [shift + mean], "m2": [(cross - n * np.outer(mean, mean)).ravel()]})
+            yield pd.DataFrame({"i": np.arange(dims), "n": n, "s": total, "c": list(cross)})
 
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(part, "n long, mean array<double>, m2 array<double>")
-    n, mean, m2 = 0, np.zeros(dims), np.zeros((dims, dims))
-    for r in rows.toLocalIterator():  # one row of dims x dims sums a task
-        d = np.asarray(r["mean"]) - mean
-        m2 = m2 + np.asarray(r["m2"]).reshape(dims, dims) + np.outer(d, d) * (n * r["n"] / (n + r["n"]))
-        mean, n = mean + d * (r["n"] / (n + r["n"])), n + r["n"]
-    return n, mean, m2 / max(n - 1, 1)
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], "n": [pdf["n"].sum()], "s": [pdf["s"].sum()], "c": [np.sum(np.stack(pdf["c"]), 0)]})
+
+    schema = "i int, n long, s double, c array<double>"
+    rows = given.mapInPandas(part, schema).groupBy("i").applyInPandas(added, schema).toPandas().sort_values("i")  # dims rows
+    n, mean = int(rows["n"].iloc[0]), rows["s"].to_numpy() / rows["n"].iloc[0]
+    return n, shift + mean, (np.stack(rows["c"]) - n * np.outer(mean, mean)) / max(n - 1, 1)
 
 
 def covariance(df: DataFrame, vector: str, dims: int) -> DataFrame:
@@ -191,47 +192,50 @@ def series_features(tokens: DataFrame, keys: list[str], column: str, block: int
     return shares.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_share")))["_share"].alias("features"))
 
 
-def silhouettes(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, block: int = 512) -> DataFrame:
+def in_blocks(queries: DataFrame, base: DataFrame, run, schema: str, query_rows: int, base_rows: int) -> DataFrame:
+    """run(queries, rows) for every block of stated queries with every block of base, each a group of its own.
+
+    Both have an `id`, whose hash deals them to blocks of about so many rows: a task holds one block of each, nothing goes through
+    the driver, and the work is that of comparing the stated queries with all rows.
+    """
+    queries, base = cut(queries), cut(base)
+    n_q, n_b = (max(1, -(-df.count() // n)) for df, n in ((queries, query_rows), (base, base_rows)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumn("_q", dealt(n_q)).withColumn("_b", every(n_b))
+    right = base.withColumn("_b", dealt(n_b)).withColumn("_q", every(n_q))
+    return left.groupBy("_q", "_b").cogroup(right.groupBy("_q", "_b")).applyInPandas(run, schema)
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in column])
+
+
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances, a few rows of x at a time."""
+    step = max(1, (1 << 22) // max(q.size, 1))
+    return np.concatenate([np.sqrt(((q[:, None, :] - x[None, i : i + step, :]) ** 2).sum(2)) for i in range(0, len(x), step)], 1)
+
+
+def silhouettes(queries: DataFrame, base: DataFrame, key: str, vector: str, label: str, block: int = 1024) -> DataFrame:
     """(query, label, silhouette) of stated queries against all rows of base, with Euclidean distance.
 
-    Every task of base sums the distances from each query to its own rows of each cluster; only these sums are shuffled, a row
-    for each query and cluster. A query that is alone in its cluster, or in the only cluster, has 0. Rows with a null vector or label are left out.
+    A block of queries with a block of base sums the distances from each query to the block's rows of each cluster; only these
+    sums are shuffled. A query that is alone in its cluster, or in the only cluster, has 0. Rows with a null vector or label are left out.
     """
     held = (F.col(vector).isNotNull()) & F.col(label).isNotNull()
-    stated = cut(queries.where(held).select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.col(label).alias("_own")))
-    rows = base.where(held).select(F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("c"))
-    schema = f"query {dict(base.dtypes)[key]}, c {dict(base.dtypes)[label]}, total double, n long"
-
-    def sums(ids: list, q: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: dict = {}
-            for pdf in batches:
-                for name, g in pdf.groupby("c"):
-                    x = np.stack([np.asarray(v) for v in g["v"]])
-                    total, n = kept.get(name, (0.0, 0))
-                    kept[name] = (total + sum(np.sqrt(((q[:, None, :] - x[None, i : i + 64, :]) ** 2).sum(2)).sum(1) for i in range(0, len(x), 64)), n + len(x))
-            for name, (total, n) in kept.items():
-                yield pd.DataFrame({"query": ids, "c": name, "total": total, "n": n})
-
-        return rows.mapInPandas(run, schema)
-
-    found, ids, vectors = None, [], []
-
-    def flush() -> None:
-        nonlocal found, ids, vectors
-        if ids:
-            part = sums(ids, np.array(vectors))
-            found, ids, vectors = part if found is None else found.unionByName(part), [], []
-
-    for r in stated.toLocalIterator():  # one block at a time
-        ids.append(r["_id"])
-        vectors.append(r["_v"])
-        if len(ids) == block:
-            flush()
-    flush()
-    own = stated.select(F.col("_id").alias("query"), F.col("_own").alias("label"))
-    if found is None:
-        return own.select("query", "label", F.lit(0.0).alias("silhouette"))
+    rows = lambda df: df.where(held).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("c"))
+    stated = cut(rows(queries))
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": [], "c": [], "total": [], "n": []})]
+        if len(q) and len(x):
+            v = _stacked(q["v"])
+            out = [pd.DataFrame({"query": q["id"], "c": name, "total": _distances(v, _stacked(g["v"])).sum(1), "n": len(g)}) for name, g in x.groupby("c")]
+        return pd.concat(out)
+
+    found = in_blocks(stated, rows(base), run, f"query {dict(base.dtypes)[key]}, c {dict(base.dtypes)[label]}, total double, n long", block, 8 * block)
+    own = stated.select(F.col("id").alias("query"), F.col("c").alias("label"))
     met = found.groupBy("query", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(own, "query")
     inner = F.col("c") == F.col("label")
     a = F.max(F.when(inner & (F.col("n") > 1), F.col("total") / (F.col("n") - 1)))
@@ -239,50 +243,36 @@ def silhouettes(queries: DataFrame, base: DataFrame, key: str, vector: str, labe
     return met.groupBy("query", "label").agg(a.alias("_a"), b.alias("_b")).select("query", "label", F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)).alias("silhouette"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block: int = 512) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
     """(query, neighbour, score, rank): the k rows of base nearest to each query, itself left out.
 
-    The stated queries go out in blocks of `block` vectors; every task of base multiplies its rows with the block
-    and keeps its own k best a query, and only those are shuffled. cosine: highest first; euclidean: lowest first; scores
-    are rounded to 9 digits, ties go to the smaller id. Null vectors are left out; a zero vector has cosine 0.
+    A block of queries with a block of base keeps its own k best a query, and only those are shuffled. cosine: highest first;
+    euclidean: lowest first; scores are rounded to 9 digits, ties go to the smaller id. Null vectors are left out; a zero
+    vector has cosine 0.
     """
-    stated = cut(queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("_id"), F.col(vector).cast("array<double>").alias("_v")))
-    rows = base.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     kind = dict(base.dtypes)[key]
-    parts, ids, vectors = [], [], []
-
-    def search(ids: list, q: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                x, own = np.stack([np.asarray(v) for v in pdf["v"]]), pdf["id"].to_numpy()
-                if metric == "cosine":
-                    lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                    s = np.divide(q @ x.T, lengths, out=np.zeros(lengths.shape), where=lengths > 0)
-                else:
-                    s = -np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(2)) if len(q) * x.size < 1 << 24 else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0))
-                s = np.round(s, 9)
-                out = []
-                for i, name in enumerate(ids):
-                    other = np.flatnonzero(own != name)
-                    best = other[np.lexsort((own[other], -s[i][other]))[:k]]
-                    out.append(pd.DataFrame({"query": name, "neighbour": own[best], "score": np.abs(s[i][best]) if metric != "cosine" else s[i][best]}))
-                yield pd.concat(out)
-
-        return rows.mapInPandas(run, f"query {kind}, neighbour {kind}, score double")
-
-    for r in stated.toLocalIterator():
-        ids.append(r["_id"])
-        vectors.append(r["_v"])
-        if len(ids) == block:
-            parts.append(search(list(ids), np.array(vectors)))
-            ids.clear(), vectors.clear()
-    if ids or not parts:
-        parts.append(search(list(ids), np.array(vectors).reshape(len(ids), -1)) if ids else rows.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("score")).limit(0))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": [], "neighbour": [], "score": []})
+        if not len(q) or not len(x):
+            return empty
+        x = x.sort_values("id", ignore_index=True)  # a stable sort by score leaves ties to the smaller id
+        a, b, names, own = _stacked(q["v"]), _stacked(x["v"]), q["id"].to_numpy(), x["id"].to_numpy()
+        if metric == "cosine":
+            lengths = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+            far = -np.divide(a @ b.T, lengths, out=np.zeros(lengths.shape), where=lengths > 0)
+        else:
+            far = _distances(a, b)
+        far = np.round(far, 9)
+        far[names[:, None] == own[None, :]] = np.inf
+        best = np.argsort(far, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(far, best, 1)
+        out = pd.DataFrame({"query": np.repeat(names, best.shape[1]), "neighbour": own[best].ravel(), "score": score.ravel()})
+        out = out[np.isfinite(out["score"])]
+        return out.assign(score=-out["score"]) if metric == "cosine" else out
+
+    found = in_blocks(rows(queries), rows(base), run, f"query {kind}, neighbour {kind}, score double", block, 8 * block)
     order = F.desc("score") if metric == "cosine" else F.asc("score")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(order, "neighbour"))).where(F.col("rank") <= k)
 
@@ -295,6 +285,46 @@ def votes(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> Dat
     return v.join(own, "query").withColumn("y_pred", (F.col("n_one") > F.col("n_zero")).cast("int"))
 
 
+def match_flags(neighbours: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Neighbours with same_<column> for each of the columns: whether query and neighbour have the same value; null where one has none."""
+    mine = rows.select(F.col(key).alias("query"), *[F.col(c).alias(f"_q_{c}") for c in columns])
+    theirs = rows.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"_n_{c}") for c in columns])
+    both = neighbours.join(mine, "query").join(theirs, "neighbour")
+    return both.select(*neighbours.columns, *[(F.col(f"_q_{c}") == F.col(f"_n_{c}")).alias(f"same_{c}") for c in columns])
+
+
+def usage_summary(neighbours: DataFrame) -> DataFrame:
+    """How many rows are used as neighbours, how often in all, and their mean, largest and smallest use."""
+    used = neighbours.groupBy("neighbour").agg(F.count("*").alias("n"))
+    return used.agg(F.count("*").alias("n_used"), F.sum("n").alias("n_links"), F.round(F.avg("n"), 6).alias("mean_usage"), F.max("n").alias("max_usage"), F.min("n").alias("min_usage"))
+
+
+def purity_by_k(flagged: DataFrame, same: str, counts: list[int]) -> DataFrame:
+    """(k, purity, same_distance, other_distance): over the first k neighbours of all queries, in one pass."""
+    up_to = F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in counts]), lambda k: F.col("rank") <= k))
+    rows = flagged.select(up_to.alias("k"), F.col(same).alias("_same"), "score")
+    return rows.groupBy("k").agg(
+        F.round(F.avg(F.col("_same").cast("double")), 6).alias("purity"), F.round(F.avg(F.when(F.col("_same"), F.col("score"))), 6).alias("same_distance"),
+        F.round(F.avg(F.when(~F.col("_same"), F.col("score"))), 6).alias("other_distance"),
+    )
+
+
+def vote_grid(neighbours: DataFrame, labels: DataFrame, key: str, label: str, split: str, counts: list[int]) -> DataFrame:
+    """(k, weighting, split, n, accuracy): votes of the first k neighbours, each worth 1 (uniform) or one over its distance (distance).
+
+    All settings come from one neighbour table in one pass. A tie is 0; a distance counts as 1e-12 at least. Neighbours without a label do not vote.
+    """
+    theirs = labels.select(F.col(key).alias("neighbour"), F.col(label).alias("_y"))
+    mine = labels.select(F.col(key).alias("query"), F.col(label).alias("_own"), F.col(split).alias("split"))
+    up_to = F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in counts]), lambda k: F.col("rank") <= k))
+    inverse = 1 / F.greatest(F.col("score"), F.lit(1e-12))
+    votes = neighbours.join(theirs, "neighbour").where("_y is not null").select("query", "_y", "score", up_to.alias("k"))
+    both = F.inline(F.array(F.struct(F.lit("uniform").alias("weighting"), F.lit(1.0).alias("_w")), F.struct(F.lit("distance").alias("weighting"), inverse.alias("_w"))))
+    share = F.round(F.sum(F.col("_w") * F.col("_y")) / F.sum("_w"), 9)
+    called = votes.select("query", "_y", "k", both).groupBy("query", "k", "weighting").agg((share > 0.5).cast("int").alias("_p")).join(mine, "query")
+    return called.groupBy("k", "weighting", "split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("_p") == F.col("_own")).cast("double")), 6).alias("accuracy"))
+
+
 def spectrum_stats(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Effective rank and participation ratio of each group's centred matrix, from its Gram matrix of dims x dims.
 

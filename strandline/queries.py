@@ -247,6 +247,55 @@ def met13_votes(s, d):
     return vec.votes(n, v, "vec_id", "phenotype").select("query", "y_true", "n_one", "n_zero", "y_pred")
 
 
+@query(_KNN + """ select k.query, neighbour, rank, (q.label = b.label) as same_label, (q.phenotype = b.phenotype) as same_phenotype from k join v q on q.vec_id = k.query join v b on b.vec_id = k.neighbour""")
+def joi07_match_flags(s, d):
+    v, n = _knn(s, d)
+    return vec.match_flags(n, v, "vec_id", ["label", "phenotype"]).withColumn("rank", F.col("rank").cast("long")).drop("score")
+
+
+@query(_KNN + ", u as (select neighbour, count(*) as n from k group by 1) select count(*) as n_used, sum(n)::bigint as n_links, round(avg(n), 6) as mean_usage, max(n) as max_usage, min(n) as min_usage from u")
+def agg18_usage_summary(s, d):
+    return vec.usage_summary(_knn(s, d)[1])
+
+
+@query(_KNN + """, r as (select k.query, q.label, q.phenotype as y, (count(*) filter (where b.phenotype = 1) > count(*) filter (where b.phenotype = 0))::int as p from k join v q on q.vec_id = k.query join v b on b.vec_id = k.neighbour group by all)
+select label, y as phenotype, count(*) as total, count(*) filter (where y = p) as correct, round(count(*) filter (where y = p)::double / count(*), 6) as accuracy from r group by all""")
+def agg19_label_accuracy(s, d):
+    v, n = _knn(s, d)
+    voted = vec.votes(n, v, "vec_id", "phenotype").join(v.select(F.col("vec_id").alias("query"), "label"), "query")
+    right = F.count_if(F.col("y_true") == F.col("y_pred"))
+    return voted.groupBy("label", F.col("y_true").alias("phenotype")).agg(F.count("*").alias("total"), right.alias("correct"), F.round(right.cast("double") / F.count("*"), 6).alias("accuracy"))
+
+
+_EUC = f"""with {V}, x as (select q.vec_id as query, v.vec_id as neighbour, q.label = v.label as same, round(list_distance(q.v, v.v), 9) as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0),
+k as (select * from (select *, row_number() over (partition by query order by score, neighbour) as rank from x) where rank <= 9)"""
+
+
+@query(_EUC + """ select i as k, round(avg(same::int::double), 6) as purity, round(avg(score) filter (where same), 6) as same_distance, round(avg(score) filter (where not same), 6) as other_distance
+from k join (select unnest([1, 3, 5, 7, 9])::bigint as i) as n on rank <= i group by 1""")
+def met14_purity_by_k(s, d):
+    v = vectors(s, d)
+    n = vec.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "v", 9, "euclidean")
+    return vec.purity_by_k(vec.match_flags(n, v, "vec_id", ["label"]), "same_label", [1, 3, 5, 7, 9])
+
+
+@query(f"""with {V}, x as (select q.vec_id as query, v.vec_id as neighbour, q.phenotype as own, q.split, v.phenotype as y, round(list_distance(q.v, v.v), 9) as score from v q join v on v.vec_id <> q.vec_id and v.split = 'train' where q.vec_id % 100 = 0),
+k as (select * from (select *, row_number() over (partition by query order by score, neighbour) as rank from x) where rank <= 10),
+p as (select query, own, split, i as k, weighting, (round(sum(w * y) / sum(w), 9) > 0.5)::int as p from (select *, case weighting when 'uniform' then 1.0::double else 1 / greatest(score, 1e-12::double) end as w from k, (select unnest(['uniform', 'distance']) as weighting))
+  join (select unnest([3, 5, 7, 10])::bigint as i) as n on rank <= i group by all)
+select k, weighting, split, count(*) as n, round(avg((p = own)::int::double), 6) as accuracy from p group by all""")
+def mdl07_neighbour_grid(s, d):
+    v = vectors(s, d)
+    n = vec.nearest(v.where("vec_id % 100 = 0"), v.where("split = 'train'"), "vec_id", "v", 10, "euclidean")
+    return vec.vote_grid(n, v, "vec_id", "phenotype", "split", [3, 5, 7, 10])
+
+
+@query("""with n as (select lower(trim(genome_id)) as norm, genome_id from (select distinct genome_id from tiny_manifest where genome_id is not null)), k as (select genome_id, """ + _NORM.format("genome_id") + """ as norm from n)
+select norm, count(*) as n_ids, string_agg(genome_id, '; ' order by genome_id) as ids from k group by 1 having count(*) > 1""")
+def agg21_alike_ids(s, d):
+    return rel.alike_ids(table(s, d, "tiny_manifest", ["genome_id"]), "genome_id")
+
+
 @query(_KNN + " select neighbour, count(*) as n, round(count(*)::double / (select count(*) from k), 6) as share from k group by 1")
 def agg18_neighbour_usage(s, d):
     n = _knn(s, d)[1].select("neighbour")
@@ -339,8 +388,8 @@ def agg15_group_stats(s, d):
 
 @query("select t % 4 as layer, " + ", ".join(f"coalesce(max(x) filter (where e = '{e}'), 0) as {e}" for e in ("click", "error", "purchase", "signup", "view")) + " from (select row_number() over (partition by user_id order by ts, event_id) - 1 as t, value as x, event_type as e from events) group by 1")
 def agg14_pivot_max(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = table(s, d, "events").select(((F.row_number().over(w) - 1) % 4).cast("long").alias("layer"), "event_type", "value")
+    e = numbered(table(s, d, "events", ["user_id", "ts", "event_id", "event_type", "value"]), ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"))
+    t = e.select((F.col("t") % 4).alias("layer"), "event_type", "value")
     return t.groupBy("layer").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.max("value")).fillna(0.0)
 
 
@@ -468,15 +517,17 @@ def sta01_rate_comparison(s, d):
     return sta.rate_comparison(m, _part(m), "split")
 
 
-@query(f"""with {M}, c as (select (row_id % 3 = 0)::int as g, phenotype as y, count(*)::double as n from m group by all), e as (select g, y, n, sum(n) over (partition by g) * sum(n) over (partition by y) / sum(n) over () as e, sum(n) over () as t from c)
-select round(sum(power(greatest(abs(n - e) - 0.5, 0), 2) / e), 6) as chi2, max(t)::bigint as n from e""")
+@query(f"""with {M}, c as (select (row_id % 3 = 0)::int as g, phenotype as y, count(*)::double as n from m group by all), e as (select g, y, n, sum(n) over (partition by g) * sum(n) over (partition by y) / sum(n) over () as e, sum(n) over () as t from c),
+x as (select sum(power(greatest(abs(n - e) - 0.5, 0), 2) / e) as x, max(t)::bigint as n from e), z as (select x, n, sqrt(x / 2) as z, 1 / (1 + sqrt(x / 2) / 2) as t from x),
+p as (select x, n, t * exp(-z * z - 1.26551223::double + t * (1.00002368::double + t * (0.37409196::double + t * (0.09678418::double + t * (-0.18628806::double + t * (0.27886807::double + t * (-1.13520398::double + t * (1.48851587::double + t * (-0.82215223::double + t * 0.17087277::double))))))))) as p from z)
+select round(x, 6) as chi2, n, round(p, 5) as p_value, p < 0.05 as significant from p""")
 def sta02_chi_square(s, d):
     return sta.chi_square_yates(manifest(s, d).withColumn("g", F.col("row_id") % 3 == 0), "g", "phenotype")
 
 
-@query("select event_type, round(quantile_cont(abs(value), 0.95), 6) as p0_95, round(quantile_cont(abs(value), 0.99), 6) as p0_99, round(quantile_cont(abs(value), 0.999), 6) as p0_999 from events group by 1")
+@query("select event_type, round(quantile_cont(abs(value), 0.95), 6) as p0_95, round(quantile_cont(abs(value), 0.99), 6) as p0_99, round(quantile_cont(abs(value), 0.999), 6) as p0_999, round(quantile_cont(abs(value), 0.9999), 6) as p0_9999 from events group by 1")
 def sta08_percentiles(s, d):
-    return sta.percentiles(table(s, d, "events").withColumn("a", F.abs("value")), ["event_type"], "a", [0.95, 0.99, 0.999])
+    return sta.percentiles(table(s, d, "events").withColumn("a", F.abs("value")), ["event_type"], "a", [0.95, 0.99, 0.999, 0.9999])
 
 
 @query(f"with {T}, c as (select user_id, avg(x) as a, greatest(stddev_samp(x), 1e-6) as s from t group by 1) select user_id, round(max(abs((x - a) / s)), 6) as max_z, round(avg((abs((x - a) / s) > 3)::int::double), 6) as frac_z from t join c using (user_id) group by 1")
@@ -773,8 +824,8 @@ def met15_best_k(s, d):
 @query(f"""with {M}, f as (select split, avg(phenotype::double) as r, count(*)::double / (select count(*) from m) as share from m group by 1),
 p as (select split, avg(phenotype::double) as r, count(*)::double / (select count(*) from m where row_id % 3 = 0) as share from m where row_id % 3 = 0 group by 1),
 c as (select count(distinct species) filter (where row_id % 3 = 0)::double / count(distinct species) as c from m)
-select round(100 * (sum(greatest(20.0::double * (1 - abs(round(coalesce(p.r, 0) - f.r, 6))), 0)) + 20.0::double * (1 - avg(abs(round(f.share, 6) - round(p.share, 6)))) + 20.0::double * least(any_value(c), 1)) / (20.0::double * count(*) + 40.0), 6) as score
-from f left join p using (split), c""")
+select round(100 * (sum(greatest(20.0::double * (1 - abs(round(coalesce(p.r, 0) - f.r, 6))), 0)) + 20.0::double * (1 - avg(abs(round(f.share, 6) - round(p.share, 6)))) + 20.0::double * least(any_value(c), 1)) / 140.0::double, 6) as score
+from f join p using (split), c""")
 def sta03_representation(s, d):
     m = manifest(s, d)
     covered = m.agg((F.count_distinct(F.when(F.col("row_id") % 3 == 0, F.col("species"))).cast("double") / F.count_distinct("species")).alias("c")).scalar()

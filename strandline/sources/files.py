@@ -14,6 +14,7 @@ from strandline.operators.relational import REQUIRED
 
 MANIFEST = "genome_id string, species string, antibiotic string, phenotype int, partition_label string, sequence_path string, embedding_path string, source_dataset string, split_design string"
 
+# Id columns by preference.
 ID_ALIASES = ("genome_id", "genomeid", "genome", "id")
 
 

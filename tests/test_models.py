@@ -136,3 +136,21 @@ def test_fourier_features_approach_the_kernel():
     a, b = np.array([0.3, -1.0, 0.5]), np.array([-0.2, 0.4, 0.1])
     fa, fb = (np.sqrt(2 / 20000) * np.cos(x @ w + phase) for x in (a, b))
     assert abs(fa @ fb - np.exp(-((a - b) ** 2).sum() / 3)) < 0.03
+
+
+def test_a_failing_model_is_recorded_and_settings_are_tuned(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (240, 3))
+    y = (x[:, 0] + 0.3 * rng.normal(0, 1, 240) > 0).astype(int)
+    split = np.where(np.arange(240) % 4 == 0, "val_outside", "train")
+    df = spark.createDataFrame([(v.tolist(), int(k), s) for v, k, s in zip(x, y, split)], "v array<double>, y int, split string")
+
+    def broken(train, rows):
+        raise ValueError("no such model")
+
+    grid = {"ridge": {"a": models.ridge, "b": lambda t, r: models.ridge(t, r, 1e6)}, "broken": {"default": broken}}
+    got = {(r["model"], r["split"]): r for r in models.evaluate_suite(df, "v", "y", "split", models=grid).collect()}
+    assert set(got) == {("ridge", "train"), ("ridge", "val_outside"), ("broken", None)}
+    assert got["broken", None]["error"] == "ValueError: no such model" and got["ridge", "train"]["error"] is None
+    assert got["ridge", "val_outside"]["auroc"] > 0.9 and got["ridge", "train"]["chosen"] in ("a", "b")
+    assert set(models.settings(100)["logistic_l1"]) == {"C=0.01", "C=0.1", "C=1.0", "C=10.0"}
