@@ -68,7 +68,7 @@ once as (select source, lang, ending, any_value(tail) as tail from finals group
 least as (select source, lang, greatest(3, 0.3::double * sqrt(count(*))) as l from once group by all),
 c as (select source, lang, t, count(*) as n from (select source, lang, unnest(list_distinct(tail)) as t from once) group by all),
 at_ends as (select t, sum(n) as e from c join least l on c.source is not distinct from l.source and c.lang is not distinct from l.lang group by t having bool_or(n >= l)),
-inside as (select t, count(*) as i from (select unnest(list_transform(range(greatest(len(w) - 20, 0)), lambda i: concat_ws(' ', w[i + 1], w[i + 2], w[i + 3]))) as t from ended where doc_id in (select min(doc_id) from ended group by ending)) where t in (select t from at_ends) group by t),
+inside as (select t, count(*) as i from (select unnest(list_distinct(list_transform(range(greatest(len(w) - 20, 0)), lambda i: concat_ws(' ', w[i + 1], w[i + 2], w[i + 3])))) as t from ended where doc_id in (select min(doc_id) from ended group by ending)) where t in (select t from at_ends) group by t),
 known as (select t, e::double / (e + coalesce(i, 0)) as share from at_ends left join inside using (t)),
 j as (select doc_id, max(share) as most, min(share) as least, arg_max(share, place) filter (where share is not null) as last
   from (select doc_id, unnest(tail) as t, unnest(range(len(tail))) as place from finals) left join known using (t) group by doc_id),
