@@ -42,6 +42,24 @@ def genome_of_path(c: Column) -> Column:
     return F.when(found != "", found).otherwise(F.regexp_replace(name, "(_raw|_contigs)?[.].*$", ""))
 
 
+# Forms of the names of data files, of which the first that fits gives the id.
+FILE_FORMS = (
+    r"^([^_]+)_pca_stats_dim\d+\.(npz|csv)$",
+    r"^([^_]+)_mr_win\d+_s\d+\.npz$",
+    r"^([^_]+)_pooled_embeddings\.(npz|csv)$",
+    r"^([^_]+)_embeddings\.(h5|hdf5)$",
+    r"^([^_]+)\.npz$",
+    r"^([^_]+)\.csv$",
+    r"^([^_]+)\.h5$",
+)
+
+
+def id_of_data_file(c: Column) -> Column:
+    """Genome id in the last component of a path, by the first form that fits; null where none does."""
+    name = F.regexp_extract(c, "([^/]+)$", 1)
+    return F.coalesce(*[F.nullif(F.regexp_extract(name, form, 1), F.lit("")) for form in FILE_FORMS])
+
+
 def shortened(c: Column, most: int = 50) -> Column:
     """Names longer than `most` end in three dots at that length."""
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most - 3)), F.lit("..."))).otherwise(c)

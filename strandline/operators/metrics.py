@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import value_totals
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -34,12 +36,12 @@ def classification_summary(df: DataFrame, by: list[str], digits: int = 6) -> Dat
 def score_steps(df: DataFrame, by: list[str]) -> DataFrame:
     """Cumulative true and false positives at each distinct score, descending: the points of ROC and PR curves.
 
-    Rows are combined per score before they meet in a window, so a group costs its distinct scores, not its rows.
+    Scores are added up by `value_totals`, so neither rows nor distinct scores of a group meet in one task. Rows of other labels
+    than 0 and 1 and without a score are left out.
     """
-    at = df.where("y_true in (0, 1) and y_score is not null").groupBy(*by, "y_score").agg(F.sum("y_true").alias("p"), F.sum(1 - F.col("y_true")).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("y_score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return at.select(*by, "y_score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+    s = value_totals(df.where("y_true in (0, 1)"), by, "y_score", {"p": F.sum("y_true"), "n": F.sum(1 - F.col("y_true"))})
+    down = lambda c: F.col(f"{c}_total") - F.col(f"{c}_before")
+    return s.select(*by, "y_score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_total").alias("pos"), F.col("n_total").alias("neg"))
 
 
 def ranking_summary(df: DataFrame, by: list[str], digits: int = 6) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.keys import OUTSIDE_SPLITS, key_form, known_split, valid_phenotype
 from strandline.functions.scalars import comparable_id, hash_order, taxon_of
-from strandline.operators.ordering import numbered, running_total
+from strandline.operators.ordering import numbered, running_total, value_totals
 
 # Columns of a manifest.
 REQUIRED = ("genome_id", "species", "antibiotic", "phenotype", "partition_label")
@@ -214,10 +214,111 @@ def hash_split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42
     return df.withColumn("assigned", choice)
 
 
+# Levels of clusters, and the shares of validation and test of the named designs.
+CLUSTER_LEVELS = ("genus", "species", "taxa", "genome_id", "kma_cluster", "phylogeny")
+DESIGN_SHARES = {"genus": (0.2, 0.15), "taxa": (0.17, 0.13), "genome_id": (0.1, 0.1)}
+OTHER_SHARES = (0.2, 0.15)
+
+
+def clustered_split(df: DataFrame, cluster: str, shares: dict[str, float], least: int = 2, most: int | None = None, seed: int = 42) -> DataFrame:
+    """(cluster, n, assigned): whole clusters, in hash order, to each split of `shares` until it holds its share of the rows; the rest is train.
+
+    Clusters of fewer than `least` rows or more than `most` stay in train. The last cluster dealt to a split may carry it over
+    its share by that cluster's size. Rows without a cluster are left out. Sizes are added up by `value_totals`, so clusters
+    may be as many as rows.
+    """
+    if any(s < 0 for s in shares.values()) or sum(shares.values()) >= 1:
+        raise ValueError("shares must not be negative and must add up to less than 1")
+    if least < 1 or (most is not None and most < least):
+        raise ValueError("least must be positive and at most `most`")
+    sizes = df.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).scalar()
+    fits = (F.col("n") >= least) & (F.lit(True) if most is None else F.col("n") <= most)
+    place = F.conv(F.substr(hash_order(F.col(cluster), seed), F.lit(1), F.lit(12)), 16, 10).cast("long")
+    dealt = sizes.withColumn("_place", place).withColumn("_fits", fits)
+    before = value_totals(dealt.where("_fits"), [], "_place", {"_n": F.sum("n")}).select("_place", "_n_before")
+    choice, edge = F.lit("train"), sum(shares.values())
+    for name, share in reversed(shares.items()):
+        choice = F.when(F.col("_n_before") < F.lit(round(edge, 9)).cast("decimal(12,9)") * total, F.lit(name)).otherwise(choice)
+        edge -= share
+    return dealt.join(before, "_place", "left").select(cluster, "n", F.when(F.col("_fits"), choice).otherwise("train").alias("assigned"))
+
+
+def designed_split(df: DataFrame, level: str, least: int = 2, most: int | None = None, seed: int = 0) -> DataFrame:
+    """(cluster, n, assigned) of the named clustered design of a level: genus is the first word of the species, taxa what stands before an id's dot.
+
+    The other levels are columns. Each level has its own default shares of validation and test.
+    """
+    if level not in CLUSTER_LEVELS:
+        raise ValueError(f"no cluster level {level}")
+    column = {"genus": F.regexp_extract("species", "^([^_ ]+)", 1), "taxa": taxon_of(F.col("genome_id"))}.get(level, F.col(level) if level in df.columns else None)
+    if column is None:
+        raise ValueError(f"no column {level}")
+    val, test = DESIGN_SHARES.get(level, OTHER_SHARES)
+    return clustered_split(df.select(column.alias("cluster")), "cluster", {"validation": val, "test": test}, least, most, seed)
+
+
+def species_holdout(df: DataFrame, test: list[str], validation: list[str] = (), species: str = "species") -> DataFrame:
+    """Rows with `assigned`: whole species held out for test and validation, all others (and null ones) train. No test species, or one in both, is refused."""
+    if not test:
+        raise ValueError("no species to hold out")
+    if both := sorted(set(test) & set(validation)):
+        raise ValueError(f"held out twice: {', '.join(both)}")
+    return df.withColumn("assigned", F.when(F.col(species).isin(*validation), "validation").when(F.col(species).isin(*test), "test").otherwise("train"))
+
+
+def natural_extraction(df: DataFrame, used: DataFrame, target: int = 100, most_species: int = 20, overlap: int = 2, cap: int = 75, seed: int = 42) -> DataFrame:
+    """(split, species, genome_id) drawn without regard to labels from (genome_id, species, split), used genomes left out.
+
+    train: max(1, target // min(species of train, most_species)) genomes a species. Overlapped splits: up to `overlap` a species
+    of those drawn for train, `cap` in all. Outside splits: `cap` genomes of species that train has not. Draws follow the hash
+    order; every rank is pruned to its quota in each task before rows meet.
+    """
+    rows = df.select("split", "species", "genome_id").dropna().distinct()
+    held = rows.where("split = 'train'").select("species").distinct()
+    fresh = rows.join(used.select("genome_id").where("genome_id is not null").distinct(), "genome_id", "left_anti").withColumn("_h", hash_order(F.col("genome_id"), seed))
+    order = [F.col("_h"), F.col("genome_id"), F.col("species")]
+    kinds = held.agg(F.greatest(F.least(F.count("*"), F.lit(most_species)), F.lit(1)).alias("_k")).scalar()
+    train = top_per_group(fresh.where("split = 'train'"), ["species"], order, max(target, 1)).where(F.col("rank") <= F.greatest(F.floor(F.lit(target) / kinds), F.lit(1)))
+    near = fresh.where(F.col("split").isin("val_overlapped", "test_overlapped")).join(train.select("species").distinct(), "species", "left_semi")
+    near = top_per_group(top_per_group(near, ["split", "species"], order, overlap).drop("rank"), ["split"], order, cap)
+    far = top_per_group(fresh.where(F.col("split").isin(*OUTSIDE_SPLITS)).join(held, "species", "left_anti"), ["split"], order, cap)
+    names = ["split", "species", "genome_id"]
+    return train.select(*names).unionByName(near.select(*names)).unionByName(far.select(*names))
+
+
+def in_plan_order(df: DataFrame, column: str, plan: list[str]) -> DataFrame:
+    """Rows with `priority`, the place (from 1) of their value in a plan, in that order; values that are not in it come last, with null."""
+    place = F.nullif(F.array_position(F.array(*[F.lit(x) for x in plan]), F.col(column)), F.lit(0))
+    return df.withColumn("priority", place).orderBy(F.asc_nulls_last("priority"), column)
+
+
+def join_losses(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """One row on an inner join: rows of the left, those whose key the right has, and those that are lost; null keys are lost."""
+    known = right.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_known", F.lit(True))
+    kept = F.count("_known")
+    return left.select(key).join(known, key, "left").agg(F.count("*").alias("n_rows"), kept.alias("n_kept"), (F.count("*") - kept).alias("n_lost"))
+
+
+def species_report(df: DataFrame, by: list[str], most: int = 5) -> DataFrame:
+    """Per group its genomes, species, resistant and susceptible rows, the rate as text with one decimal, and the most frequent species by name."""
+    r, s = F.count_if(F.col("phenotype") == 1), F.count_if(F.col("phenotype") == 0)
+    counts = df.groupBy(*by).agg(F.count_distinct("genome_id").alias("n_genomes"), F.count_distinct("species").alias("n_species"), r.alias("n_resistant"), s.alias("n_susceptible"))
+    rate = F.round(F.try_divide(100.0 * F.col("n_resistant"), F.col("n_resistant") + F.col("n_susceptible")), 1)
+    return counts.join(joined_names(df, by, "species", most), by).withColumn("rate", F.concat(rate.cast("decimal(5,1)").cast("string"), F.lit("%")))
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """Fold 0 to k-1 of each row, dealt in hash order within a label; buckets keep a large label off one task."""
-    ranked = running_total(df.withColumn("_h", hash_order(F.col(key), seed)), [label], ["_h", key], name="_rank")
-    return ranked.withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_h", "_rank")
+    hashed = df.withColumn("_h", hash_order(F.col(key), seed))
+    return numbered(hashed, [label], ["_h", key], F.substr(F.col("_h"), F.lit(1), F.lit(3)), "_rank").withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_h", "_rank")
+
+
+def repeated_folds(df: DataFrame, label: str, key: str, k: int, repeats: int, seed: int = 42) -> DataFrame:
+    """Rows with `repeat` and `fold`: stratified folds dealt anew for each repeat, all repeats in one pass."""
+    each = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    hashed = each.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(":"), (F.col("repeat") + seed).cast("string"))))
+    return numbered(hashed, ["repeat", label], ["_h", key], F.substr(F.col("_h"), F.lit(1), F.lit(3)), "_rank").withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int")).drop("_h", "_rank")
 
 
 def registry_rounds(candidates: DataFrame, registry: DataFrame, key: str, name: str) -> DataFrame:

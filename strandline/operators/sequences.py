@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import with_percentiles
+
 
 def spans(length: Column, win: int, stride: int, cover_tail: bool = True) -> Column:
     """Windows (start, end) over a length, as an array: every `stride`, and one flush with the end if any is left over.
@@ -51,10 +53,10 @@ def chunks(df: DataFrame, key: str, text: str, size: int, least: int = 1) -> Dat
 def six_stats(values: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean, population deviation, maximum, minimum and exact quartiles per group."""
     c = F.col(column).cast("double")
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    agg = values.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"), q.alias("_q"))
+    agg = values.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"))
     r = lambda x: F.round(F.round(x, 12), 6).alias(x)  # the order in which Spark adds up must not tip a tie
-    return agg.select(*by, r("mean"), r("std"), r("max"), r("min"), F.round(F.get("_q", F.lit(0)), 6).alias("q25"), F.round(F.get("_q", F.lit(1)), 6).alias("q75"))
+    q = lambda i, n: F.round(F.round(F.get("_p", F.lit(i)), 12), 6).alias(n)
+    return with_percentiles(agg, values, by, c, [0.25, 0.75]).select(*by, r("mean"), r("std"), r("max"), r("min"), q(0, "q25"), q(1, "q75"))
 
 
 def mean_pool(vectors: DataFrame, by: list[str], vector: str, dims: int) -> DataFrame:
@@ -80,12 +82,12 @@ def zscored(values: DataFrame, by: list[str], column: str) -> DataFrame:
     return values.join(s, by).withColumn("z", (F.col(column) - F.col("_m")) / (F.col("_s") + 1e-8)).drop("_m", "_s")
 
 
-def position_bins(values: DataFrame, key: str, column: str, bins: int) -> DataFrame:
-    """Mean per bin of relative position: a sequence's ends fall into the first and the last bin."""
+def position_bins(values: DataFrame, key: str, column: str, bins: int, by: list[str] = ()) -> DataFrame:
+    """Mean per bin of relative position, and per class if `by` names columns of a sequence: its ends fall into the first and the last bin."""
     n = values.groupBy(key).agg((F.max("t") + 1).alias("_n"))
     b = F.when(F.col("_n") <= 1, 0).otherwise(F.floor(F.col("t") / (F.col("_n") - 1).cast("double") * (1 - 1e-9) * bins)).cast("int")
-    per = values.join(n, key).groupBy(key, b.alias("bin")).agg(F.avg(column).alias("_m"))
-    return per.groupBy("bin").agg(F.round(F.avg("_m"), 6).alias("mean"), F.count("*").alias("n_sequences"))
+    per = values.join(n, key).groupBy(*by, key, b.alias("bin")).agg(F.avg(column).alias("_m"))
+    return per.groupBy(*by, "bin").agg(F.round(F.avg("_m"), 6).alias("mean"), F.count("*").alias("n_sequences"))
 
 
 def even_rows(tokens: DataFrame, key: str, n: int) -> DataFrame:
@@ -125,12 +127,29 @@ def padded_windows(tokens: DataFrame, key: str, column: str, win: int) -> DataFr
 
 
 def selected_stats(values: DataFrame, by: list[str], column: str, names: list[str]) -> DataFrame:
-    """The named statistics per group, in the fixed order mean, max, std, min, median, whatever the order of names."""
+    """The named statistics per group, in the fixed order mean, max, std, min, median, q25, q75, whatever the order of names."""
     c = F.col(column).cast("double")
-    known = {"mean": F.avg(c), "max": F.max(c), "std": F.stddev_pop(c), "min": F.min(c), "median": F.percentile(c, F.lit(0.5))}
-    if unknown := sorted(set(names) - set(known)):
+    plain = {"mean": F.avg(c), "max": F.max(c), "std": F.stddev_pop(c), "min": F.min(c)}
+    ranked = {n: q for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75)) if n in names}
+    if unknown := sorted(set(names) - set(plain) - set(ranked)):
         raise ValueError(f"no statistic {', '.join(unknown)}")
-    return values.groupBy(*by).agg(*[F.round(F.round(f, 12), 6).alias(n) for n, f in known.items() if n in names])
+    agg = values.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.round(F.round(f, 12), 6).alias(n) for n, f in plain.items() if n in names]).drop("_rows")
+    if not ranked:
+        return agg
+    got = with_percentiles(agg, values, by, c, list(ranked.values()))
+    return got.select(*agg.columns, *[F.round(F.round(F.get("_p", F.lit(i)), 12), 6).alias(n) for i, n in enumerate(ranked)])
+
+
+ALPHABETS = {"dna": "ATCGN", "rna": "AUCGN", "protein": "ACDEFGHIKLMNPQRSTVWY"}  # fixed values: letters of each kind of sequence
+
+
+def permuted(c: Column, seed: int = 9) -> Column:
+    """The letters of a text in an order that looks random and depends on their places only."""
+    mixed = lambda i: (i.cast("long") * 2654435761 + seed) % (1 << 32)  # odd factors and shifted xor keep 32 bits one to one
+    place = lambda h: (h.bitwiseXOR(F.shiftright(h, 15)) * 1540483477) % (1 << 32)
+    letters = F.filter(F.split(c, ""), lambda x: x != "")
+    drawn = F.transform(letters, lambda x, i: F.struct(place(mixed(i)), x.alias("_x")))
+    return F.array_join(F.transform(F.array_sort(drawn), lambda t: t["_x"]), "")
 
 
 def kmer_counts(df: DataFrame, key: str, text: str, longest: int = 3, block: int = 1 << 16) -> DataFrame:

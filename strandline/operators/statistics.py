@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordering import with_percentiles
+
 
 # Coefficients of a published Chebyshev fit of erfc, good to 1.2e-7 of its value.
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
@@ -53,19 +55,27 @@ def coverage_of(full: DataFrame, part: DataFrame, by: str, value: str) -> DataFr
 
 
 def percentiles(df: DataFrame, by: list[str], column: str, points: list[float]) -> DataFrame:
-    """Exact interpolated percentiles per group; Spark counts equal values before the shuffle."""
-    p = F.percentile(F.col(column), F.array(*[F.lit(x) for x in points]))
-    return df.groupBy(*by).agg(p.alias("_p")).select(*by, *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{str(x).replace('.', '_')}") for i, x in enumerate(points)])
+    """Exact interpolated percentiles per group, by ranks among counted values, so no group's values meet in one task."""
+    groups = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    p = with_percentiles(groups, df, by, F.col(column), points)
+    return p.select(*by, *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{str(x).replace('.', '_')}") for i, x in enumerate(points)])
 
 
 def describe(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per group."""
     c = F.col(column)
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     r = lambda x, n: F.round(x, 6).alias(n)
-    return df.groupBy(*by).agg(F.count(c).alias("n"), r(F.avg(c), "mean"), r(F.stddev_samp(c), "std"), r(F.min(c), "min"), q.alias("_q"), r(F.max(c), "max")).select(
-        *by, "n", "mean", "std", "min", *[F.round(F.get("_q", F.lit(i)), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max"
-    )
+    plain = df.groupBy(*by).agg(F.count(c).alias("n"), r(F.avg(c), "mean"), r(F.stddev_samp(c), "std"), r(F.min(c), "min"), r(F.max(c), "max"))
+    return with_percentiles(plain, df, by, c, [0.25, 0.5, 0.75]).select(*by, "n", "mean", "std", "min", *[F.round(F.get("_p", F.lit(i)), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
+
+
+def matrix_summary(cells: DataFrame, dim: str, column: str) -> DataFrame:
+    """One row on a matrix of cells (dim, column): ranges of the means and population deviations of its columns, extremes, median, share of zeros."""
+    c = F.col(column)
+    per = cells.groupBy(dim).agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"), F.min(c).alias("_min"), F.max(c).alias("_max"), F.count_if(c == 0).alias("_zero"), F.count(c).alias("_n"))
+    r = lambda x, n: F.round(F.round(x, 12), 6).alias(n)
+    whole = per.agg(r(F.min("_m"), "mean_low"), r(F.max("_m"), "mean_high"), r(F.min("_s"), "std_low"), r(F.max("_s"), "std_high"), r(F.min("_min"), "min"), r(F.max("_max"), "max"), r(F.try_divide(F.sum("_zero"), F.sum("_n")), "sparsity"))
+    return with_percentiles(whole, cells, [], c, [0.5]).withColumn("median", F.round(F.get("_p", F.lit(0)), 6)).drop("_p")
 
 
 def kurtosis_of(df: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -121,21 +131,37 @@ def representation_score(comparison: DataFrame, shares_full: DataFrame, shares_p
     return likeness.select(F.round(100 * (F.col("_likeness") + 20.0 * (1 - gap) + 20.0 * F.least(coverage, F.lit(1.0))) / (20.0 * groups + 40.0), 6).alias("score"))
 
 
-def stage_decomposition(df: DataFrame, layer: str, stage: str, value: str, first: str, last: str) -> DataFrame:
-    """Mean and largest magnitude of two stages per layer, and the gain from the first to the last; null where one is missing."""
-    cells = []
-    for x in (first, last):
-        here = F.when(F.col(stage) == x, F.col(value))
-        cells += [F.avg(here).alias(f"_{x}"), F.round(F.avg(here), 6).alias(f"{x}_mean"), F.round(F.max(F.abs(here)), 6).alias(f"{x}_max")]
-    return df.groupBy(layer).agg(*cells).withColumn("gain", F.round(F.try_divide(f"_{last}", f"_{first}"), 6)).drop(f"_{first}", f"_{last}")
+def stage_decomposition(df: DataFrame, layer: str, stage: str, value: str, stages: list[str]) -> DataFrame:
+    """Mean and largest magnitude and tail ratio of each stage per layer, and the gains of mean and maximum from the first stage to the last.
+
+    The tail ratio is that of `tail_ratio`. Numbers of a stage that a layer lacks, and gains from or to it, are null.
+    """
+    staged = df.where(F.col(stage).isin(*stages)).select(layer, F.col(stage).alias("_stage"), F.abs(F.col(value).cast("double")).alias("_x"))
+    sizes = staged.groupBy(layer, "_stage").agg(F.count("_x").alias("_n"), F.avg("_x").alias("_mean"), F.max("_x").alias("_max"))
+    each = _with_tail(sizes, staged, [layer, "_stage"], F.col("_x"))
+    cells = [F.max(F.when(F.col("_stage") == s, F.col(f"_{n}"))).alias(f"{s}_{n}") for s in stages for n in ("mean", "max", "tail")]
+    wide = each.groupBy(layer).agg(*cells)
+    gains = [F.round(F.col(f"{stages[-1]}_{n}") / (F.col(f"{stages[0]}_{n}") + 1e-12), 6).alias(f"gain_{n}") for n in ("mean", "max")]
+    return wide.select(layer, *[F.round(f"{s}_{n}", 6).alias(f"{s}_{n}") for s in stages for n in ("mean", "max", "tail")], *gains)
+
+
+def _with_tail(sizes: DataFrame, df: DataFrame, by: list[str], magnitude: Column) -> DataFrame:
+    """Groups with their number of values _n, with _tail: the 99.9th (the 99th below 1,000 values) over the 95th percentile."""
+    p = with_percentiles(sizes, df, by, magnitude, [0.95, 0.99, 0.999])
+    return p.withColumn("_tail", F.try_divide(F.when(F.col("_n") < 1000, F.col("_p")[1]).otherwise(F.col("_p")[2]), F.col("_p")[0])).drop("_p")
 
 
 def tail_ratio(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean and largest magnitude, and the 99.9th (the 99th below 1,000 values) over the 95th percentile of magnitudes."""
     x = F.abs(F.col(column).cast("double"))
-    p = F.percentile(x, F.array(*[F.lit(q) for q in (0.95, 0.99, 0.999)]))
-    agg = df.groupBy(*by).agg(F.count(x).alias("_n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.max(x), 6).alias("max"), p.alias("_p"))
-    return agg.select(*by, "mean", "max", F.round(F.try_divide(F.when(F.col("_n") < 1000, F.col("_p")[1]).otherwise(F.col("_p")[2]), F.col("_p")[0]), 6).alias("tail_ratio"))
+    sizes = df.groupBy(*by).agg(F.count(x).alias("_n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.max(x), 6).alias("max"))
+    return _with_tail(sizes, df, by, x).select(*by, "mean", "max", F.round("_tail", 6).alias("tail_ratio"))
+
+
+def mask_leak(df: DataFrame, by: list[str], valid: Column, column: str, limit: float = 1e-6) -> DataFrame:
+    """Largest magnitude on places that are padding (not valid; null counts as padding), and whether it is above the limit."""
+    top = F.max(F.abs(column))
+    return df.where(~F.coalesce(valid, F.lit(False))).groupBy(*by).agg(F.round(top, 6).alias("max_padded"), F.coalesce(top > limit, F.lit(False)).alias("leaks"))
 
 
 # Magnitudes at which 32-bit floats stop holding every integer, and ten times 2 to the 20th.

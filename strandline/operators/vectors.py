@@ -68,9 +68,9 @@ def projected(df: DataFrame, vector: str, mean: np.ndarray, axes: np.ndarray, na
     return df.withColumn(name, F.array(*parts))
 
 
-def standardised(df: DataFrame, vector: str, dims: int) -> DataFrame:
-    """The vectors less their mean, over their sample deviation (at least 1e-6); null vectors stay null."""
-    _, mean, cov = moments(df, vector, dims)
+def standardised(df: DataFrame, vector: str, dims: int, fitted_on: DataFrame | None = None) -> DataFrame:
+    """The vectors less the mean, over the sample deviation (at least 1e-6), of the rows they are fitted on (all rows unless given); null vectors stay null."""
+    _, mean, cov = moments(df if fitted_on is None else fitted_on, vector, dims)
     parts = (F.array(*[F.lit(float(x)) for x in row]) for row in (mean, np.maximum(np.sqrt(np.diag(cov)), 1e-6)))
     offset, scale = parts
     centred = F.zip_with(F.col(vector).cast("array<double>"), offset, lambda a, b: a - b)
@@ -88,6 +88,17 @@ def sparse_axes(dims: int, k: int, seed: int = 42, density: float | None = None)
     return out
 
 
+def gaussian_axes(dims: int, k: int, seed: int = 42) -> np.ndarray:
+    """k dense random axes with entries of N(0, 1 / k), from two md5 digits of (seed, axis, dimension) by the Box-Muller transform."""
+    out = np.zeros((k, dims))
+    for i in range(k):
+        for j in range(dims):
+            h = hashlib.md5(f"{seed}:{i}:{j}".encode()).hexdigest()
+            u, v = ((int(h[at : at + 6], 16) + 0.5) / (1 << 24) for at in (0, 6))
+            out[i, j] = np.sqrt(-2 * np.log(u) / k) * np.cos(2 * np.pi * v)
+    return out
+
+
 def _kernels() -> np.ndarray:
     """The 84 kernels of length 9 with three weights 2 and six weights -1."""
     from itertools import combinations

@@ -616,17 +616,21 @@ def spl01_hash_split(s, d):
     return rel.hash_split(manifest(s, d).select("genome_id").distinct(), "genome_id", {"val": 0.1, "test": 0.1})
 
 
-@query(f"with {M} select distinct genome_id, case when species in ('brulospira_miraris') then 'val' when species in ('quorella_solentis') then 'test' else 'train' end as assigned from m")
+@query(f"with {M} select distinct genome_id, case when species in ('brulospira_miraris') then 'validation' when species in ('quorella_solentis') then 'test' else 'train' end as assigned from m")
 def spl03_species_holdout(s, d):
-    choice = F.when(F.col("species").isin("brulospira_miraris"), "val").when(F.col("species").isin("quorella_solentis"), "test").otherwise("train")
-    return manifest(s, d).select("genome_id", choice.alias("assigned")).distinct()
+    return rel.species_holdout(manifest(s, d), ["quorella_solentis"], ["brulospira_miraris"]).select("genome_id", "assigned").distinct()
 
 
-@query()
+@query(f"with {M} select row_id, phenotype, ((row_number() over (partition by phenotype order by md5(row_id || ':42'), row_id) - 1) % 5)::int as fold from m")
 def spl05_folds(s, d):
     return rel.stratified_folds(manifest(s, d).select("row_id", "phenotype"), "phenotype", "row_id", 5)
 
 
+@query(f"with {M}, r as (select row_id, phenotype, unnest(range(2))::int as repeat from m) select row_id, phenotype, repeat, ((row_number() over (partition by repeat, phenotype order by md5(row_id || ':' || (repeat + 42)), row_id) - 1) % 5)::int as fold from r")
+def spl05_repeated_folds(s, d):
+    return rel.repeated_folds(manifest(s, d).select("row_id", "phenotype"), "phenotype", "row_id", 5, 2)
+
+
 # ---------------------------------------------------------------- windows and vectors
 
 _SPANS = """n as (select user_id, count(*) as n from events group by 1), sp as (select user_id, n, unnest(case when n < 16 then [[0, n]] else list_concat(list_transform(range((n - 16) // 8 + 1), lambda i: [i * 8, i * 8 + 16]),
@@ -747,9 +751,11 @@ def str01_phenotypes(s, d):
     return table(s, d, "tiny_manifest", ["row_id", "phenotype"]).select("row_id", sc.phenotype_of_text(raw).alias("phenotype"))
 
 
-@query(f"select distinct genome_id, {_NORM.format('genome_id')} as norm, split_part(genome_id, '.', 1) as taxon from tiny_manifest where contains(genome_id, '.')")
+@query(f"select distinct genome_id, {_NORM.format('genome_id')} as norm, case when contains(genome_id, '.') then split_part(genome_id, '.', 1) else left(genome_id, 10) end as taxon from (select genome_id from tiny_manifest union all select species from tiny_manifest)")
 def str02_str04_ids(s, d):
-    return table(s, d, "tiny_manifest", ["genome_id"]).where(F.col("genome_id").contains(".")).select("genome_id", sc.comparable_id(F.col("genome_id")).alias("norm"), sc.taxon_of(F.col("genome_id")).alias("taxon")).distinct()
+    m = table(s, d, "tiny_manifest", ["genome_id", "species"])
+    ids = m.select("genome_id").union(m.select("species"))  # names without a dot, too
+    return ids.select("genome_id", sc.comparable_id(F.col("genome_id")).alias("norm"), sc.taxon_of(F.col("genome_id")).alias("taxon")).distinct()
 
 
 @query("select distinct sequence_path, case when length(sequence_path) > 30 then left(sequence_path, 27) || '...' else sequence_path end as short from sequences")
@@ -757,10 +763,11 @@ def str06_shortened(s, d):
     return table(s, d, "sequences", ["sequence_path"]).select("sequence_path", sc.shortened(F.col("sequence_path"), 30).alias("short")).distinct()
 
 
-@query("select sequence_path, list_sum(list_transform(range(length(sequence_path)), lambda i: ascii(sequence_path[i + 1])))::bigint as total, least(length(sequence_path), 32) as valid_len from sequences where strlen(sequence_path) = length(sequence_path)")
+@query("""with b as (select row_id, species, hex(encode(species)) as h from tiny_manifest where species is not null), c as (select row_id, list_transform(range(length(h) // 2), lambda i: ('0x' || h[i * 2 + 1:i * 2 + 2])::bigint) as c from b)
+select row_id, coalesce(list_sum(c), 0)::bigint as total, len(c)::bigint as n_bytes, list_resize(c, 32, 0)[1:32] as padded from c""")
 def str08_str09_tokens(s, d):
-    p = table(s, d, "sequences", ["sequence_path"]).where(F.octet_length("sequence_path") == F.length("sequence_path"))
-    return p.select("sequence_path", F.aggregate(sc.byte_tokens(F.col("sequence_path")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.least(F.length("sequence_path"), F.lit(32)).cast("long").alias("valid_len"))
+    b = table(s, d, "tiny_manifest", ["row_id", "species"]).where("species is not null").withColumn("b", sc.byte_tokens(F.col("species")))
+    return b.select("row_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("b").cast("long").alias("n_bytes"), sc.padded(F.col("b"), 32).cast("array<long>").alias("padded"))
 
 
 # ---------------------------------------------------------------- models
@@ -832,11 +839,17 @@ def sta03_representation(s, d):
     return sta.representation_score(sta.rate_comparison(m, _part(m), "split"), rel.value_shares(m, "split"), rel.value_shares(_part(m), "split"), "split", covered)
 
 
-@query("""select user_id % 8 as layer, round(avg(value) filter (where event_type = 'view'), 6) as view_mean, round(max(abs(value)) filter (where event_type = 'view'), 6) as view_max, round(avg(value) filter (where event_type = 'purchase'), 6) as purchase_mean,
-round(max(abs(value)) filter (where event_type = 'purchase'), 6) as purchase_max, round(avg(value) filter (where event_type = 'purchase') / avg(value) filter (where event_type = 'view'), 6) as gain from events group by 1""")
+_STAGES = ["view", "click", "signup", "purchase"]
+_STAGE = """max(case when stage = '{0}' then round(m, 6) end) as {0}_mean, max(case when stage = '{0}' then round(x, 6) end) as {0}_max, max(case when stage = '{0}' then round(tail, 6) end) as {0}_tail"""
+
+
+@query(f"""with g as (select user_id % 8 as layer, event_type as stage, avg(abs(value)) as m, max(abs(value)) as x, quantile_cont(abs(value), [0.95, 0.99, 0.999]) as p, count(value) as n from events group by all),
+t as (select *, case when n < 1000 then p[2] else p[3] end / nullif(p[1], 0) as tail from g)
+select layer, {", ".join(_STAGE.format(x) for x in _STAGES)}, round(max(case when stage = 'purchase' then m end) / (max(case when stage = 'view' then m end) + 1e-12), 6) as gain_mean,
+  round(max(case when stage = 'purchase' then x end) / (max(case when stage = 'view' then x end) + 1e-12), 6) as gain_max from t group by 1""")
 def sta15_decomposition(s, d):
     e = table(s, d, "events", ["user_id", "event_type", "value"]).withColumn("layer", F.col("user_id") % 8)
-    return sta.stage_decomposition(e, "layer", "event_type", "value", "view", "purchase")
+    return sta.stage_decomposition(e, "layer", "event_type", "value", _STAGES)
 
 
 @query("select layer, user_id, event_id, x, r as rank from (select user_id % 8 as layer, user_id, event_id, round(abs(value), 6) as x, row_number() over (partition by user_id % 8 order by abs(value) desc, event_id) as r from events) where r <= 5")
@@ -846,9 +859,9 @@ def sta16_culprits(s, d):
     return top.select("layer", "user_id", "event_id", F.round("a", 6).alias("x"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"with {T} select user_id, round(max(abs(x)), 6) as max_padded from t where t % 5 = 0 group by 1")
+@query(f"with {T} select user_id, round(max(abs(x)), 6) as max_padded, max(abs(x)) > 1e-6 as leaks from t where t % 5 = 0 group by 1")
 def sta19_mask_leak(s, d):
-    return tokens(s, d).where("t % 5 = 0").groupBy("user_id").agg(F.round(F.max(F.abs("x")), 6).alias("max_padded"))
+    return sta.mask_leak(tokens(s, d), ["user_id"], F.col("t") % 5 != 0, "x")
 
 
 @query(f"""with {M}, g as (select distinct split, genome_id, phenotype from m), c as (select split, count(*) filter (where phenotype = 1) as r, count(*) filter (where phenotype = 0) as z from g group by 1),
@@ -1022,7 +1035,177 @@ def vec03_selected_stats(s, d):
 
 @query()
 def prj03_standardised_axes(s, d):
-    v = vectors(s, d).where("split = 'train'")
-    z = vec.standardised(v, "v", 64)
-    mean, axes, share = vec.principal_axes(z, "v", 64, 5)
+    v = vectors(s, d)
+    z = vec.standardised(v, "v", 64, v.where("split = 'train'"))
+    mean, axes, share = vec.principal_axes(z.where("split = 'train'"), "v", 64, 5)
     return vec.projected(z, "v", mean, axes).select("vec_id", F.transform("projected", lambda x: F.round(x, 6)).alias("projected"), F.lit(round(float(share[:5].sum()), 6)).alias("variance_held"))
+
+
+_GAUSS = """h as (select i, j, md5('42:' || i || ':' || j) as h from range(8) a(i), range(64) b(j)), e as (select i, j, (('0x' || substr(h, 1, 6))::bigint + 0.5::double) / 16777216.0::double as a, (('0x' || substr(h, 7, 6))::bigint + 0.5::double) / 16777216.0::double as b from h),
+w as (select i, j, sqrt(-2 * ln(a) / 8) * cos(2 * pi() * b) as w from e)"""
+
+
+@query(f"with {V}, {_GAUSS} select vec_id, i, round(sum(v[j + 1] * w), 6) as x from v, w group by all")
+def prj04_gaussian_projection(s, d):
+    import numpy as np
+
+    p = vec.projected(vectors(s, d), "v", np.zeros(64), vec.gaussian_axes(64, 8))
+    return p.select("vec_id", F.posexplode("projected").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"with {V}, {_RP}, k as (select * from v where vec_id % 5 <> 0 qualify row_number() over (partition by label order by md5(vec_id || ':42'), vec_id) <= 32) select label, vec_id, i, round(sum(v[j + 1] * w), 6) as x from k, w group by all")
+def prj05_masked_sample(s, d):
+    import numpy as np
+
+    valid = vectors(s, d).where("vec_id % 5 <> 0")
+    drawn = rel.sample_per_group(valid, ["label"], "vec_id", 32)
+    p = vec.projected(drawn, "v", np.zeros(64), vec.sparse_axes(64, 8))
+    return p.select("label", "vec_id", F.posexplode("projected").alias("i", "x")).select("label", "vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+# ---------------------------------------------------------------- reports, designs and checks
+
+
+@query(r"""select distinct coalesce(""" + ", ".join(f"nullif(regexp_extract(n, '{x}', 1), '')" for x in sc.FILE_FORMS) + """) as genome_id from (select regexp_extract(embedding_path, '([^/]+)$', 1) as n from tiny_manifest union all select regexp_extract(sequence_path, '([^/]+)$', 1) from tiny_manifest)""")
+def src13_ids_from_data_files(s, d):
+    m = table(s, d, "tiny_manifest", ["embedding_path", "sequence_path"])
+    return m.select(F.explode(F.array("embedding_path", "sequence_path")).alias("path")).select(sc.id_of_data_file(F.col("path")).alias("genome_id")).distinct()
+
+
+@query(f"with {P}, g as (select p.*, species from p join m using (row_id)), c as (select species, grp, count(*) as n, sum(y_true) as n_one from g group by all) select species, grp, n, n_one::bigint as n_one from c where n_one > 0 and n_one < n")
+def flt10_known_metric(s, d):
+    m = manifest(s, d).select("row_id", "species")
+    ranked = predictions(s, d).join(m, "row_id")
+    auroc = met.ranking_summary(ranked, ["species", "grp"]).dropna(subset=["auroc"])
+    return ranked.groupBy("species", "grp").agg(F.count("*").alias("n"), F.sum("y_true").alias("n_one")).join(auroc, ["species", "grp"], "left_semi")
+
+
+@query(f"with {_SEQ}, c as (select sequence_path, unnest(range((length(q) + 399) // 400)) as i, q from s where length(q) >= 100) select sequence_path, i as window_idx, md5(substr(q, i * 400 + 1, 400)) as bases_md5 from c where length(substr(q, i * 400 + 1, 400)) >= 50")
+def flt08_sequence_chunks(s, d):
+    q = src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"])).where(F.length("sequence") >= 100)
+    return seq.chunks(q, "sequence_path", "sequence", 400, 50).select("sequence_path", "window_idx", F.md5("chunk").alias("bases_md5"))
+
+
+@query("select count(*) as n_rows, count(*) filter (where genome_id in (select genome_id from genome_metadata where genome_id is not null)) as n_kept, count(*) - count(*) filter (where genome_id in (select genome_id from genome_metadata where genome_id is not null)) as n_lost from kover_labels")
+def joi01_rows_lost(s, d):
+    return rel.join_losses(table(s, d, "kover_labels", ["genome_id"]), metadata(s, d), "genome_id")
+
+
+@query(f"with {M} select split, count(*) as n from m group by 1 order by split")
+def srt02_sorted_splits(s, d):
+    return manifest(s, d).groupBy("split").agg(F.count("*").alias("n")).orderBy("split")
+
+
+_PLAN_ORDER = ["train", "test_overlapped", "test_outside", "val_overlapped", "val_outside"]
+
+
+@query(f"with {M} select split, count(*) as n, list_position({_PLAN_ORDER}, split)::bigint as priority from m group by 1 order by priority")
+def srt03_plan_order(s, d):
+    return rel.in_plan_order(manifest(s, d).groupBy("split").agg(F.count("*").alias("n")), "split", _PLAN_ORDER)
+
+
+@query(f"with {M} select count(*) as n_rows, count(distinct genome_id) as n_genomes, count(distinct species) as n_species, {_RATES} from m")
+def agg07_totals(s, d):
+    m = manifest(s, d)
+    return rel.rates_by(m, []).withColumns({"n_rows": m.agg(F.count("*")).scalar(), "n_genomes": m.agg(F.count_distinct("genome_id")).scalar(), "n_species": m.agg(F.count_distinct("species")).scalar()})
+
+
+@query(f"""with {M}, g as (select distinct source_dataset from m), x as (select source_dataset, unnest({list(SPLIT_GROUP)}) as split from g), c as (select source_dataset, split, count(*) as n, sum(phenotype) as r from m group by all)
+select x.source_dataset, x.split, coalesce(n, 0) as n, coalesce(r, 0)::bigint as n_resistant, coalesce(round(100.0::double * r / n, 2), 0) as resistant_pct from x left join c on c.split = x.split and c.source_dataset is not distinct from x.source_dataset""")
+def agg10_filled_rates(s, d):
+    m = manifest(s, d)
+    every = m.select("source_dataset").distinct().withColumn("split", F.explode(F.array(*[F.lit(x) for x in SPLIT_GROUP])))
+    filled = every.withColumn("_r", F.lit(0).cast("long")).withColumn("_n", F.lit(0).cast("long")).unionByName(m.select("source_dataset", "split", F.col("phenotype").cast("long").alias("_r"), F.lit(1).cast("long").alias("_n")))
+    c = filled.groupBy("source_dataset", "split").agg(F.sum("_n").alias("n"), F.sum("_r").alias("n_resistant"))
+    return c.withColumn("resistant_pct", F.coalesce(F.round(F.try_divide(100.0 * F.col("n_resistant"), F.col("n")), 2), F.lit(0.0)))
+
+
+@query(f"""with {M}, c as (select split, species, count(*) as n from m group by all), r as (select *, row_number() over (partition by split order by n desc, species) as k, count(*) over (partition by split) as kinds from c),
+j as (select split, string_agg(species || ' (' || n || ')', '; ' order by k) filter (where k <= 5) as names, greatest(max(kinds) - 5, 0) as n_more from r group by 1),
+a as (select split, count(distinct genome_id) as n_genomes, count(distinct species) as n_species, count(*) filter (where phenotype = 1) as n_resistant, count(*) filter (where phenotype = 0) as n_susceptible from m group by 1)
+select a.*, names, n_more, round(100.0::double * n_resistant / (n_resistant + n_susceptible), 1)::decimal(5,1)::varchar || '%' as rate from a join j using (split)""")
+def agg16_species_report(s, d):
+    return rel.species_report(manifest(s, d), ["split"])
+
+
+@query(_KNN + ", c as (select neighbour, count(*) as n from k group by 1) select neighbour, n, round(n::double / (select count(*) from k), 6) as share from c order by n desc, neighbour limit 30")
+def agg18_most_used(s, d):
+    return rel.value_shares(_knn(s, d)[1].select("neighbour"), "neighbour").orderBy(F.desc("n"), "neighbour").limit(30)
+
+
+@query(_KNN + """, c as (select q.label, b.label as neighbour_label, count(*) as n from k join v q on q.vec_id = k.query join v b on b.vec_id = k.neighbour group by all)
+select *, row_number() over (partition by label order by n desc, neighbour_label) as rank from c qualify rank <= 10""")
+def agg19_top_neighbour_labels(s, d):
+    return rel.top_per_group(agg19_neighbour_labels(s, d), ["label"], [F.desc("n"), F.col("neighbour_label")], 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with {_SUMMARY}, l as (unpivot (select grp, accuracy, f1, mcc, precision, recall from s) on accuracy, f1, mcc, precision, recall into name metric value value) select metric, round(quantile_cont(value, 0.25), 6) as p0_25, round(quantile_cont(value, 0.5), 6) as p0_5, round(quantile_cont(value, 0.75), 6) as p0_75 from l group by 1")
+def agg23_quartiles_by_metric(s, d):
+    long = met.long_results(met.classification_summary(predictions(s, d), ["grp"]), ["grp"], ["accuracy", "f1", "mcc", "precision", "recall"])
+    return sta.percentiles(long, ["metric"], "value", [0.25, 0.5, 0.75])
+
+
+@query("""with e as (select unnest(range(64)) as i, unnest(embedding::double[]) as x from embeddings),
+p as (select i, avg(x) as m, stddev_pop(x) as s from e group by 1) select round((select min(m) from p), 6) as mean_low, round((select max(m) from p), 6) as mean_high, round((select min(s) from p), 6) as std_low, round((select max(s) from p), 6) as std_high,
+round(min(x), 6) as min, round(max(x), 6) as max, round(count(*) filter (where x = 0)::double / count(*), 6) as sparsity, round(quantile_cont(x, 0.5), 6) as median from e""")
+def agg25_matrix_summary(s, d):
+    return sta.matrix_summary(_dims(s, d), "dim", "x")
+
+
+@query(f"with {M}, y as (select split, (2 * sum(phenotype) >= count(*))::int as majority from m group by 1) select row_id, majority, phenotype = majority as correct from m join y using (split)")
+def agg26_majority_baseline(s, d):
+    m = manifest(s, d).select("row_id", "split", "phenotype")
+    return m.join(F.broadcast(agg26_majority(s, d)), "split").select("row_id", "majority", (F.col("phenotype") == F.col("majority")).alias("correct"))  # a row for each known split
+
+
+@query(f"with {_SUMMARY} select grp, to_json({{'tp': tp, 'tn': tn, 'fp': fp, 'fn': fn}})::varchar as counts from s")
+def snk06_counts_as_json(s, d):
+    return met.classification_summary(predictions(s, d), ["grp"]).select("grp", F.to_json(F.struct("tp", "tn", "fp", "fn")).alias("counts"))
+
+
+@query(f"""with {M}, a as (select distinct split, species, genome_id from m), t as (select distinct species from a where split = 'train'), q as (select greatest(100 // greatest(least(count(*), 20), 1), 1) as q from t),
+f as (select *, md5(genome_id || ':42') as h from a where genome_id not in (select genome_id from used_registry where genome_id is not null)),
+tr as (select * from f where split = 'train' qualify row_number() over (partition by species order by h, genome_id) <= (select q from q)),
+o as (select * from f where split in ('val_overlapped', 'test_overlapped') and species in (select species from tr) qualify row_number() over (partition by split, species order by h, genome_id) <= 2),
+o2 as (select * from o qualify row_number() over (partition by split order by h, genome_id, species) <= 75),
+x as (select * from f where split in ('val_outside', 'test_outside') and species not in (select species from t) qualify row_number() over (partition by split order by h, genome_id, species) <= 75)
+select split, species, genome_id from tr union all select split, species, genome_id from o2 union all select split, species, genome_id from x""")
+def smp05_natural_extraction(s, d):
+    return rel.natural_extraction(manifest(s, d), table(s, d, "used_registry", ["genome_id"]))
+
+
+@query(f"""with {_SEQ}, l as (select sequence_path, list_transform(list_transform(range(length(q)), lambda i: (i * 2654435761 + 9) % 4294967296), lambda h, i: lpad(((xor(h, h >> 15) * 1540483477) % 4294967296)::varchar, 10, '0') || q[i]) as l, q from s)
+select sequence_path, md5(array_to_string(list_transform(list_sort(l), lambda x: x[11]), '')) as permuted, md5(repeat('A', length(q))) as all_a, md5(repeat('C', length(q))) as all_c, md5(left(repeat(left(q, 100), 40), length(q))) as repeated_100 from l""")
+def smp12_permuted_and_repeated(s, d):
+    q = src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"]))
+    t, n = F.col("sequence"), F.length("sequence")
+    same = lambda letter: F.md5(F.repeat(F.lit(letter), n))
+    return q.select("sequence_path", F.md5(seq.permuted(t)).alias("permuted"), same("A").alias("all_a"), same("C").alias("all_c"), F.md5(F.left(F.repeat(F.left(t, F.lit(100)), F.lit(40)), n)).alias("repeated_100"))
+
+
+_DESIGN = """select '{0}' as level, cluster, n, case when n < 2 or before is null then 'train' when before < {1}::decimal(12,9) * total then 'validation' when before < {2}::decimal(12,9) * total then 'test' else 'train' end as assigned from (
+select z.*, sum(n) over () as total, case when n >= 2 then coalesce(sum(case when n >= 2 then n end) over (order by place range between unbounded preceding and 1 preceding), 0) end as before from (select cluster, count(*) as n, ('0x' || substr(md5(cluster || ':0'), 1, 12))::bigint as place from (select {3} as cluster from m) where cluster is not null group by 1) z)"""
+
+
+@query(f"with {M} " + " union all ".join(_DESIGN.format(*x) for x in (("genus", 0.2, 0.35, "regexp_extract(species, '^([^_ ]+)', 1)"), ("species", 0.2, 0.35, "species"), ("taxa", 0.17, 0.3, "case when contains(genome_id, '.') then split_part(genome_id, '.', 1) else left(genome_id, 10) end"), ("genome_id", 0.1, 0.2, "genome_id"))))
+def spl04_named_designs(s, d):
+    m = manifest(s, d).select("species", "genome_id")
+    every = [rel.designed_split(m, level).select(F.lit(level).alias("level"), "cluster", "n", "assigned") for level in ("genus", "species", "taxa", "genome_id")]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+@query(f"with {T}, n as (select user_id, max(t) + 1 as n from t group by 1), b as (select user_id % 2 as class, user_id, case when n <= 1 then 0 else floor(t / (n - 1)::double * (1 - 1e-9::double) * 20) end::int as bin, avg(x) as a from t join n using (user_id) group by all) select class, bin, round(avg(a), 6) as mean, count(*) as n_sequences from b group by all")
+def win04_position_bins_by_class(s, d):
+    return seq.position_bins(tokens(s, d).withColumn("class", F.col("user_id") % 2), "user_id", "x", 20, ["class"])
+
+
+@query(f"with {_SEQ}, x as (select sequence_path, q, replace(q, 'T', 'U') as u from s) " + " union all ".join(f"select sequence_path, '{k}' as kind, case when {c} = '' then 'empty' when not regexp_full_match({c}, '[{a}]+') then 'alphabet' end as error from x where {c} = '' or not regexp_full_match({c}, '[{a}]+')" for k, c, a in (("rna", "u", seq.ALPHABETS["rna"]), ("protein", "q", seq.ALPHABETS["protein"]))))
+def sta21_other_alphabets(s, d):
+    q = src.fasta_sequences(table(s, d, "sequences", ["sequence_path", "fasta"])).withColumn("_rna", F.translate("sequence", "T", "U"))
+    rna, protein = (seq.sequence_errors(q, "sequence_path", c, 1, (1 << 31) - 1, seq.ALPHABETS[k]).withColumn("kind", F.lit(k)) for k, c in (("rna", "_rna"), ("protein", "sequence")))
+    return rna.unionByName(protein)
+
+
+@query(f"with {V}, x as (select label, i, v[i + 1] as x from v, range(64) r(i)) select label, i, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.25), 6) as q25, round(quantile_cont(x, 0.75), 6) as q75 from x group by all")
+def vec03_ranked_stats(s, d):
+    return seq.selected_stats(_dims(s, d).withColumnRenamed("dim", "i"), ["label", "i"], "x", ["q75", "median", "q25"])

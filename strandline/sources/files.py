@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +116,40 @@ def read_arrays(spark: SparkSession, path: str, names: tuple[str, ...] = ("featu
 def append_registry(rows: DataFrame, path: str) -> None:
     """Add extraction rounds to a registry table."""
     rows.select("genome_id", "subset_name", "extraction_round").write.mode("append").parquet(path)
+
+
+def checked_file(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """The first five rows of a .csv or .tsv file, once it is known to exist, to have the columns and to hold a row; else ValueError says what is wrong."""
+    sep = {".csv": ",", ".tsv": "\t"}.get(path[-4:].lower())
+    if sep is None:
+        raise ValueError(f"{path} is neither .csv nor .tsv")
+    try:
+        df = read_delimited(spark, path, list(required), sep)
+    except AnalysisException as e:
+        raise ValueError(f"{path} cannot be read") from e
+    if df.isEmpty():
+        raise ValueError(f"{path} has no rows")
+    return df.limit(5)
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*.{h5,hdf5}") -> DataFrame:
+    """(path, length) of the files of a folder whose name fits a pattern, in order; their content is not read. Spark lists no empty files."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length").orderBy("path")
+
+
+def write_missing(df: DataFrame, path: str, key: str, by: tuple[str, ...] = (), overwrite: bool = False) -> None:
+    """Append rows whose key the table at `path` does not hold yet, partitioned by columns; `overwrite` writes it anew.
+
+    Keys that are null are never held, so such rows are always written.
+    """
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(place)
+    if there and not overwrite:
+        df = df.join(df.sparkSession.read.parquet(path).select(key).distinct(), key, "left_anti")
+    df.write.mode("overwrite" if overwrite else "append").partitionBy(*by).parquet(path)
+
+
+def write_path_list(rows: DataFrame, path: str, column: str = "sequence_path") -> None:
+    """The paths of a table as a text file of lines under <path>/paths, and all its columns as a delimited table under <path>/audit."""
+    rows.where(F.col(column).isNotNull()).select(column).write.mode("overwrite").text(f"{path}/paths")
+    write_delimited(rows, f"{path}/audit")
