@@ -39,7 +39,7 @@ def score_steps(df: DataFrame, by: list[str]) -> DataFrame:
     Scores are added up by `value_totals`, so neither rows nor distinct scores of a group meet in one task. Rows of other labels
     than 0 and 1 and without a score are left out.
     """
-    s = value_totals(df.where("y_true in (0, 1)"), by, "y_score", {"p": F.sum("y_true"), "n": F.sum(1 - F.col("y_true"))})
+    s = value_totals(df.where("y_true in (0, 1) and y_score is not null"), by, "y_score", {"p": F.sum("y_true"), "n": F.sum(1 - F.col("y_true"))})
     down = lambda c: F.col(f"{c}_total") - F.col(f"{c}_before")
     return s.select(*by, "y_score", "p", "n", down("p").alias("tp"), down("n").alias("fp"), F.col("p_total").alias("pos"), F.col("n_total").alias("neg"))
 

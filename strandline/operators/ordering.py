@@ -58,44 +58,52 @@ def _together(left: DataFrame, right: DataFrame, keys: list[str], kind: str = "i
     return left.join(other, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in keys], kind).drop(*[f"_s_{c}" for c in keys])
 
 
-def value_totals(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], parts: int = 256) -> DataFrame:
+def value_totals(df: DataFrame, group: list[str], value: str, sums: dict[str, Column], parts: int = 256, least: int = 100_000, whole: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values of each group with sums over their rows, over rows of smaller values (<name>_before) and over the group (<name>_total).
 
     Rows are combined per value first. Approximate quantiles of a group's distinct values cut these into about `parts`
     buckets whose sums are small, and only inside a bucket values are sorted; so neither the rows nor the distinct
-    values of a group meet in one task. The cuts decide the buckets only, the sums are exact. Null values are left out;
-    NaN is the largest value; null groups are a group; sums must not be null.
+    values of a group meet in one task; a group of up to `least` distinct values is one bucket. The cuts decide the buckets
+    only, the sums are exact. `whole` are more aggregates of a group over its distinct values, added to each. A null value comes
+    first, NaN last; null groups are a group; sums must not be null.
     """
-    keys = group or ["_all"]
+    keys, whole = group or ["_all"], whole or {}
     rows = df if group else df.withColumn("_all", F.lit(0))
-    at = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[f.alias(n) for n, f in sums.items()])
-    cuts = F.percentile_approx(value, [i / parts for i in range(1, parts)], 16 * parts)
-    whole = at.groupBy(*keys).agg(cuts.alias("_cuts"), *[F.sum(n).alias(f"{n}_total") for n in sums])
-    placed = _together(at, whole, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    at = rows.groupBy(*keys, value).agg(*[f.alias(n) for n, f in sums.items()])
+    cuts = F.when(F.count("*") > least, F.percentile_approx(value, [i / parts for i in range(1, parts)], 16 * parts)).otherwise(F.array())
+    of_group = at.groupBy(*keys).agg(cuts.alias("_cuts"), *[F.sum(n).alias(f"{n}_total") for n in sums], *[f.alias(n) for n, f in whole.items()])
+    placed = _together(at, of_group, keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     upto = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = placed.groupBy(*keys, "_bucket").agg(*[F.sum(n).alias(f"_sum_{n}") for n in sums])
     starts = buckets.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_sum_{n}").over(upto), F.lit(0)).alias(f"_start_{n}") for n in sums])
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = _together(placed, starts, [*keys, "_bucket"])
     before = [(F.col(f"_start_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_before") for n in sums]
-    return out.select(*group, value, *sums, *before, *[f"{n}_total" for n in sums])
+    return out.select(*group, value, *sums, *before, *[f"{n}_total" for n in sums], *whole)
 
 
-def with_percentiles(groups: DataFrame, df: DataFrame, by: list[str], column: Column, points: list[float], name: str = "_p") -> DataFrame:
-    """`groups`, a row for each group, with the array `name` of exact percentiles of a column of df, interpolated between neighbours.
+def value_summary(df: DataFrame, by: list[str], column: Column, points: list[float], least: int = 100_000) -> DataFrame:
+    """(by, n, mean, std_pop, std_samp, min, max, p) of a column per group; p are exact percentiles, interpolated between neighbours.
 
-    The ranks are looked up among counted distinct values, see `value_totals`. A group without values has nulls.
+    Everything comes from counted distinct values, see `value_totals`; df is read once. A group without values has n 0 and nulls;
+    without groups there is one row, for an empty table too. Null values are not counted.
     """
-    at = value_totals(df.select(*by, column.alias("_v")), by, "_v", {"_n": F.count("*")})
-    first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n")
+    n, x, of = F.col("_n"), F.col("_v"), F.col("_n_total")
+    values = df.select(*by, column.cast("double").alias("_v"))
+    at = value_totals(values, by, "_v", {"_n": F.count("_v")}, least=least, whole={"_mean": F.try_divide(F.sum(n * x), F.sum(n)), "_min": F.min(x), "_max": F.max(x)})
+    first, last = F.col("_n_before"), F.col("_n_before") + n
     picked = []
     for i, q in enumerate(points):
-        place = F.lit(float(q)) * (F.col("_n_total") - 1)
+        place = F.lit(float(q)) * (of - 1)
         for side, rank in (("low", F.floor(place)), ("high", F.ceil(place))):
-            picked.append(F.max(F.when((first <= rank) & (rank < last), F.col("_v"))).alias(f"_{side}_{i}"))
-    keys = by or ["_all"]
-    one = lambda x: x if by else x.withColumn("_all", F.lit(0))
-    held = one(at).groupBy(*keys).agg(F.max("_n_total").alias("_of"), *picked)
-    at_point = lambda i, q: F.col(f"_low_{i}") + (F.col(f"_high_{i}") - F.col(f"_low_{i}")) * (float(q) * (F.col("_of") - 1) - F.floor(float(q) * (F.col("_of") - 1)))
-    found = held.select(*keys, F.array(*[at_point(i, q) for i, q in enumerate(points)]).alias(name))
-    return _together(one(groups), found, keys, "left").drop("_all")
+            picked.append(F.max(F.when((first <= rank) & (rank < last), x)).alias(f"_{side}_{i}"))
+    squares = F.sum(n * (x - F.col("_mean")) * (x - F.col("_mean")))
+    held = at.groupBy(*by).agg(F.coalesce(F.max(of), F.lit(0)).alias("n"), F.max("_mean").alias("mean"), squares.alias("_s"), F.max("_min").alias("min"), F.max("_max").alias("max"), *picked)
+    total = F.col("n")
+
+    def between(i: int, q: float) -> Column:
+        place = F.lit(float(q)) * (total - 1)
+        return F.col(f"_low_{i}") + (F.col(f"_high_{i}") - F.col(f"_low_{i}")) * (place - F.floor(place))
+
+    std = {"std_pop": F.sqrt(F.try_divide(F.col("_s"), total)), "std_samp": F.sqrt(F.try_divide(F.col("_s"), total - 1))}
+    return held.select(*by, "n", "mean", *[f.alias(k) for k, f in std.items()], "min", "max", F.array(*[between(i, q) for i, q in enumerate(points)]).alias("p"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ordering import with_percentiles
+from strandline.operators.ordering import value_summary
 
 
 def spans(length: Column, win: int, stride: int, cover_tail: bool = True) -> Column:
@@ -52,11 +52,7 @@ def chunks(df: DataFrame, key: str, text: str, size: int, least: int = 1) -> Dat
 
 def six_stats(values: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean, population deviation, maximum, minimum and exact quartiles per group."""
-    c = F.col(column).cast("double")
-    agg = values.groupBy(*by).agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.max(c).alias("max"), F.min(c).alias("min"))
-    r = lambda x: F.round(F.round(x, 12), 6).alias(x)  # the order in which Spark adds up must not tip a tie
-    q = lambda i, n: F.round(F.round(F.get("_p", F.lit(i)), 12), 6).alias(n)
-    return with_percentiles(agg, values, by, c, [0.25, 0.75]).select(*by, r("mean"), r("std"), r("max"), r("min"), q(0, "q25"), q(1, "q75"))
+    return selected_stats(values, by, column, ["mean", "std", "max", "min", "q25", "q75"])
 
 
 def mean_pool(vectors: DataFrame, by: list[str], vector: str, dims: int) -> DataFrame:
@@ -130,14 +126,15 @@ def selected_stats(values: DataFrame, by: list[str], column: str, names: list[st
     """The named statistics per group, in the fixed order mean, max, std, min, median, q25, q75, whatever the order of names."""
     c = F.col(column).cast("double")
     plain = {"mean": F.avg(c), "max": F.max(c), "std": F.stddev_pop(c), "min": F.min(c)}
-    ranked = {n: q for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75)) if n in names}
+    ranked = {"median": 0.5, "q25": 0.25, "q75": 0.75}
     if unknown := sorted(set(names) - set(plain) - set(ranked)):
         raise ValueError(f"no statistic {', '.join(unknown)}")
-    agg = values.groupBy(*by).agg(F.count("*").alias("_rows"), *[F.round(F.round(f, 12), 6).alias(n) for n, f in plain.items() if n in names]).drop("_rows")
-    if not ranked:
-        return agg
-    got = with_percentiles(agg, values, by, c, list(ranked.values()))
-    return got.select(*agg.columns, *[F.round(F.round(F.get("_p", F.lit(i)), 12), 6).alias(n) for i, n in enumerate(ranked)])
+    r = lambda x, n: F.round(F.round(x, 12), 6).alias(n)  # the order in which Spark adds up must not tip a tie
+    if not set(names) & set(ranked):
+        return values.groupBy(*by).agg(*[r(f, n) for n, f in plain.items() if n in names])
+    points = {n: q for n, q in ranked.items() if n in names}
+    v = value_summary(values, by, c, list(points.values())).withColumnRenamed("std_pop", "std")
+    return v.select(*by, *[r(n, n) for n in plain if n in names], *[r(F.get("p", F.lit(i)), n) for i, n in enumerate(points)])
 
 
 ALPHABETS = {"dna": "ATCGN", "rna": "AUCGN", "protein": "ACDEFGHIKLMNPQRSTVWY"}  # fixed values: letters of each kind of sequence

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ordering import with_percentiles
+from strandline.operators.ordering import value_summary
 
 
 # Coefficients of a published Chebyshev fit of erfc, good to 1.2e-7 of its value.
@@ -56,17 +56,15 @@ def coverage_of(full: DataFrame, part: DataFrame, by: str, value: str) -> DataFr
 
 def percentiles(df: DataFrame, by: list[str], column: str, points: list[float]) -> DataFrame:
     """Exact interpolated percentiles per group, by ranks among counted values, so no group's values meet in one task."""
-    groups = df.groupBy(*by).agg(F.count("*").alias("_rows"))
-    p = with_percentiles(groups, df, by, F.col(column), points)
-    return p.select(*by, *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{str(x).replace('.', '_')}") for i, x in enumerate(points)])
+    p = value_summary(df, by, F.col(column), points)
+    return p.select(*by, *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{str(x).replace('.', '_')}") for i, x in enumerate(points)])
 
 
 def describe(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per group."""
-    c = F.col(column)
-    r = lambda x, n: F.round(x, 6).alias(n)
-    plain = df.groupBy(*by).agg(F.count(c).alias("n"), r(F.avg(c), "mean"), r(F.stddev_samp(c), "std"), r(F.min(c), "min"), r(F.max(c), "max"))
-    return with_percentiles(plain, df, by, c, [0.25, 0.5, 0.75]).select(*by, "n", "mean", "std", "min", *[F.round(F.get("_p", F.lit(i)), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "max")
+    v = value_summary(df, by, F.col(column), [0.25, 0.5, 0.75])
+    r = lambda x, n: F.round(F.round(x, 12), 6).alias(n)
+    return v.select(*by, "n", r("mean", "mean"), r("std_samp", "std"), r("min", "min"), *[r(F.get("p", F.lit(i)), n) for i, n in enumerate(("q25", "q50", "q75"))], r("max", "max"))
 
 
 def matrix_summary(cells: DataFrame, dim: str, column: str) -> DataFrame:
@@ -74,8 +72,9 @@ def matrix_summary(cells: DataFrame, dim: str, column: str) -> DataFrame:
     c = F.col(column)
     per = cells.groupBy(dim).agg(F.avg(c).alias("_m"), F.stddev_pop(c).alias("_s"), F.min(c).alias("_min"), F.max(c).alias("_max"), F.count_if(c == 0).alias("_zero"), F.count(c).alias("_n"))
     r = lambda x, n: F.round(F.round(x, 12), 6).alias(n)
+    median = value_summary(cells, [], c, [0.5]).select(F.round(F.get("p", F.lit(0)), 6)).scalar()
     whole = per.agg(r(F.min("_m"), "mean_low"), r(F.max("_m"), "mean_high"), r(F.min("_s"), "std_low"), r(F.max("_s"), "std_high"), r(F.min("_min"), "min"), r(F.max("_max"), "max"), r(F.try_divide(F.sum("_zero"), F.sum("_n")), "sparsity"))
-    return with_percentiles(whole, cells, [], c, [0.5]).withColumn("median", F.round(F.get("_p", F.lit(0)), 6)).drop("_p")
+    return whole.withColumn("median", median)
 
 
 def kurtosis_of(df: DataFrame, by: list[str], column: str) -> DataFrame:
@@ -137,25 +136,23 @@ def stage_decomposition(df: DataFrame, layer: str, stage: str, value: str, stage
     The tail ratio is that of `tail_ratio`. Numbers of a stage that a layer lacks, and gains from or to it, are null.
     """
     staged = df.where(F.col(stage).isin(*stages)).select(layer, F.col(stage).alias("_stage"), F.abs(F.col(value).cast("double")).alias("_x"))
-    sizes = staged.groupBy(layer, "_stage").agg(F.count("_x").alias("_n"), F.avg("_x").alias("_mean"), F.max("_x").alias("_max"))
-    each = _with_tail(sizes, staged, [layer, "_stage"], F.col("_x"))
-    cells = [F.max(F.when(F.col("_stage") == s, F.col(f"_{n}"))).alias(f"{s}_{n}") for s in stages for n in ("mean", "max", "tail")]
+    each = _with_tail(staged, [layer, "_stage"], F.col("_x"))
+    cells = [F.max(F.when(F.col("_stage") == s, F.col(n))).alias(f"{s}_{n}") for s in stages for n in ("mean", "max", "tail")]
     wide = each.groupBy(layer).agg(*cells)
     gains = [F.round(F.col(f"{stages[-1]}_{n}") / (F.col(f"{stages[0]}_{n}") + 1e-12), 6).alias(f"gain_{n}") for n in ("mean", "max")]
-    return wide.select(layer, *[F.round(f"{s}_{n}", 6).alias(f"{s}_{n}") for s in stages for n in ("mean", "max", "tail")], *gains)
+    return wide.select(layer, *[F.round(F.round(f"{s}_{n}", 12), 6).alias(f"{s}_{n}") for s in stages for n in ("mean", "max", "tail")], *gains)
 
 
-def _with_tail(sizes: DataFrame, df: DataFrame, by: list[str], magnitude: Column) -> DataFrame:
-    """Groups with their number of values _n, with _tail: the 99.9th (the 99th below 1,000 values) over the 95th percentile."""
-    p = with_percentiles(sizes, df, by, magnitude, [0.95, 0.99, 0.999])
-    return p.withColumn("_tail", F.try_divide(F.when(F.col("_n") < 1000, F.col("_p")[1]).otherwise(F.col("_p")[2]), F.col("_p")[0])).drop("_p")
+def _with_tail(df: DataFrame, by: list[str], magnitude: Column) -> DataFrame:
+    """Summary of magnitudes per group with `tail`: the 99.9th (the 99th below 1,000 values) over the 95th percentile."""
+    v = value_summary(df, by, magnitude, [0.95, 0.99, 0.999])
+    return v.withColumn("tail", F.try_divide(F.when(F.col("n") < 1000, F.col("p")[1]).otherwise(F.col("p")[2]), F.col("p")[0]))
 
 
 def tail_ratio(df: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean and largest magnitude, and the 99.9th (the 99th below 1,000 values) over the 95th percentile of magnitudes."""
-    x = F.abs(F.col(column).cast("double"))
-    sizes = df.groupBy(*by).agg(F.count(x).alias("_n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.max(x), 6).alias("max"))
-    return _with_tail(sizes, df, by, x).select(*by, "mean", "max", F.round("_tail", 6).alias("tail_ratio"))
+    v = _with_tail(df, by, F.abs(F.col(column).cast("double")))
+    return v.select(*by, F.round(F.round("mean", 12), 4).alias("mean"), F.round("max", 6).alias("max"), F.round("tail", 6).alias("tail_ratio"))
 
 
 def mask_leak(df: DataFrame, by: list[str], valid: Column, column: str, limit: float = 1e-6) -> DataFrame:

@@ -11,7 +11,7 @@ from strandline.operators import relational as rel
 from strandline.operators import sequences as seq
 from strandline.operators import statistics as sta
 from strandline.operators import vectors as vec
-from strandline.operators.ordering import value_totals, with_percentiles
+from strandline.operators.ordering import value_summary, value_totals
 from strandline.sources import files as src
 
 
@@ -19,13 +19,14 @@ def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
-def test_value_totals_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0, 1000])
+def test_value_totals_against_brute_force(spark, least):
     draw = random.Random(3)
     data = [(g, draw.choice([None, float("nan"), round(draw.gauss(0, 1), 1), draw.random()]), draw.randint(0, 4)) for g in (None, "a", "a", "a", "b") for _ in range(300)]
     df = spark.createDataFrame(data, "g string, x double, w long")
-    key = lambda x: (1, 0.0) if math.isnan(x) else (0, x)
-    for r in value_totals(df, ["g"], "x", {"w": F.sum("w"), "n": F.count("*")}, 8).collect():
-        mine = [(key(x), w) for g, x, w in data if g == r["g"] and x is not None]
+    key = lambda x: (-1, 0.0) if x is None else (1, 0.0) if math.isnan(x) else (0, x)
+    for r in value_totals(df, ["g"], "x", {"w": F.sum("w"), "n": F.count("*")}, 8, least).collect():
+        mine = [(key(x), w) for g, x, w in data if g == r["g"]]
         at = key(r["x"])
         assert r["w"] == sum(w for x, w in mine if x == at) and r["n"] == sum(1 for x, _ in mine if x == at)
         assert r["w_before"] == sum(w for x, w in mine if x < at) and r["n_before"] == sum(1 for x, _ in mine if x < at)
@@ -38,11 +39,15 @@ def test_percentiles_against_numpy(spark):
     data = [(g, draw.choice([draw.gauss(0, 5), float(draw.randint(-2, 2))])) for g in ("a", "b") for _ in range(700)] + [("one", 4.0), ("none", None), (None, 1.0), (None, 2.0)]
     df = spark.createDataFrame(data, "g string, x double")
     points = [0.0, 0.25, 0.5, 0.95, 0.999, 1.0]
-    groups = df.groupBy("g").agg(F.count("*").alias("n"))
-    got = {r["g"]: list(r["_p"]) if r["_p"] else None for r in with_percentiles(groups, df, ["g"], F.col("x"), points).collect()}
+    got = {r["g"]: r for r in value_summary(df, ["g"], F.col("x"), points, 100).collect()}
     for g in ("a", "b", "one", None):
-        assert got[g] == pytest.approx(list(np.quantile([x for k, x in data if k == g], points)))
-    assert got["none"] is None
+        mine = [x for k, x in data if k == g]
+        assert list(got[g]["p"]) == pytest.approx(list(np.quantile(mine, points)))
+        assert (got[g]["n"], got[g]["mean"], got[g]["std_pop"], got[g]["min"], got[g]["max"]) == pytest.approx((len(mine), np.mean(mine), np.std(mine), min(mine), max(mine)))
+    assert got["a"]["std_samp"] == pytest.approx(np.std([x for k, x in data if k == "a"], ddof=1)) and got["one"]["std_samp"] is None
+    assert got["none"]["n"] == 0 and got["none"]["mean"] is None and set(got["none"]["p"]) == {None}
+    empty = value_summary(df.where("false"), [], F.col("x"), [0.5]).first()
+    assert empty["n"] == 0 and empty["p"] == [None]
     whole = sta.percentiles(df, [], "x", [0.5]).first()[0]
     assert whole == pytest.approx(float(np.median([x for _, x in data if x is not None])), abs=1e-6)
     assert sta.percentiles(df.where("g = 'none'"), ["g"], "x", [0.5]).first()["p0_5"] is None
