@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.runtime import cut
@@ -115,92 +115,156 @@ def dilations(length: int, most: int) -> list[int]:
     return sorted({int(2**x) for x in np.linspace(0, top, most)})
 
 
-def convolved(x: np.ndarray, dilation: int, kernels: np.ndarray) -> np.ndarray:
-    """The series under each dilated kernel of length 9 (one row a kernel), zeros beyond its ends."""
-    wide = np.pad(x, 4 * dilation)
-    return kernels @ np.stack([wide[i * dilation : i * dilation + len(x)] for i in range(9)])
-
-
-def kernel_biases(series: list[np.ndarray], length: int, most: int, quantiles: int) -> dict[int, np.ndarray]:
-    """Per dilation the biases (kernels x quantiles): quantiles of the convolution of the given sample series, taken in turn."""
-    golden = (np.sqrt(5) + 1) / 2
-    kernels, out, n = _kernels(), {}, 0
-    for d in dilations(length, most):
-        held = [convolved(x, d, kernels) for x in series]
-        rows = []
-        for k in range(len(kernels)):
-            q = ((n * quantiles + np.arange(quantiles) + 1) * golden) % 1
-            rows.append(np.quantile(held[n % len(held)][k], q))
-            n += 1
-        out[d] = np.array(rows)
+def channel_weights(dilations_: list[int], channels: int, seed: int = 42) -> dict[int, np.ndarray]:
+    """Per dilation the 84 kernels over all channels, as 84 x (9 channels) weights.
+
+    Each kernel of each dilation sums up some of the channels, drawn by a seeded generator: 2**u of them, with u even between 0 and
+    the logarithm of at most nine. With one channel these are the kernels as they stand.
+    """
+    rng, kernels, out = np.random.default_rng(seed), _kernels(), {}
+    for d in dilations_:
+        chosen = np.zeros((len(kernels), channels))
+        for row in chosen:
+            n = int(2 ** rng.uniform(0, np.log2(min(channels, 9) + 1)))
+            row[rng.choice(channels, min(n, channels), replace=False)] = 1
+        out[d] = (chosen[:, :, None] * kernels[:, None, :]).reshape(len(kernels), -1)
     return out
 
 
-def positive_shares(x: np.ndarray, biases: dict[int, np.ndarray], kernels: np.ndarray) -> np.ndarray:
-    """Share of the places where each convolution exceeds each of its biases."""
-    return np.concatenate([(convolved(x, d, kernels)[:, None, :] > b[:, :, None]).mean(2).ravel() for d, b in biases.items()])
+def convolved(x: np.ndarray, dilation: int, weights: np.ndarray) -> np.ndarray:
+    """A series (one row a channel) under each dilated kernel of length 9 (one row a kernel), zeros beyond its ends."""
+    x = np.atleast_2d(x)
+    n = x.shape[1]
+    wide = np.pad(x, ((0, 0), (4 * dilation, 4 * dilation)))
+    return weights @ np.stack([wide[:, i * dilation : i * dilation + n] for i in range(9)], 1).reshape(-1, n)
+
+
+def bias_quantiles(outputs: list[np.ndarray], first: int, quantiles: int) -> np.ndarray:
+    """Biases (84 x quantiles) of one dilation: quantiles of the outputs of the sample series, taken in turn; first kernels came before."""
+    golden, rows = (np.sqrt(5) + 1) / 2, []
+    for k in range(84):
+        n = first + k
+        q = ((n * quantiles + np.arange(quantiles) + 1) * golden) % 1
+        rows.append(np.quantile(outputs[n % len(outputs)][k], q))
+    return np.array(rows)
+
+
+def kernel_biases(series: list[np.ndarray], weights: dict[int, np.ndarray], quantiles: int) -> dict[int, np.ndarray]:
+    """Per dilation the biases, from the convolution of the given sample series."""
+    return {d: bias_quantiles([convolved(x, d, w) for x in series], 84 * i, quantiles) for i, (d, w) in enumerate(weights.items())}
+
+
+def positive_shares(x: np.ndarray, biases: dict[int, np.ndarray], weights: dict[int, np.ndarray]) -> np.ndarray:
+    """Share of the places where each convolution exceeds each of its biases, by dilation, kernel and bias."""
+    return np.concatenate([(convolved(x, d, weights[d])[:, None, :] > b[:, :, None]).mean(2).ravel() for d, b in biases.items()])
+
+
+def _channel_values(df: DataFrame, column: str, channels: int) -> Column:
+    """The column as an array of so many doubles: a number is one channel; nulls, and channels that an array lacks, are 0."""
+    x = F.col(column)
+    at = [F.get(x, F.lit(i)) if dict(df.dtypes)[column].startswith("array") else x for i in range(channels)]
+    return F.array(*[F.coalesce(a.cast("double"), F.lit(0.0)) for a in at])
 
 
-def kernel_features(windows: DataFrame, keys: list[str], column: str, length: int, most: int = 4, quantiles: int = 2, sample: int = 32) -> DataFrame:
-    """Random-convolution features of every window of tokens (keys, t, column), as (keys, features).
+def kernel_features(windows: DataFrame, keys: list[str], column: str, length: int, most: int = 6, quantiles: int = 4, sample: int = 32, channels: int = 1) -> DataFrame:
+    """Random-convolution features of every window of tokens (keys, t, column), as (keys, features): 84 x dilations x quantiles shares.
 
-    Biases are fitted on `sample` windows, first in hash order; that bound is the only data the driver gets. Windows
-    that are shorter than `length` are padded with zeros. Every window is one small group of `length` tokens at most.
+    The column is a number, or an array of which `channels` elements are channels. Biases are fitted on `sample` windows, first in
+    hash order; that bound is the only data the driver gets. Windows that are shorter than `length` are padded with zeros, nulls are 0.
+    Every window is one small group of `length` tokens at most. No tokens give no rows.
     """
-    series = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", F.col(column).cast("double").alias("x")))).alias("_s")).select(*keys, F.col("_s.x").alias("x"))
-    fit = lambda x: np.pad(np.asarray(x, float)[:length], (0, max(0, length - len(x))))
+    tokens = windows.select(*keys, "t", _channel_values(windows, column, channels).alias("_x"))
+    series = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "_x"))).alias("_s")).select(*keys, F.flatten("_s._x").alias("x"))
+
+    def fit(flat) -> np.ndarray:
+        x = np.asarray(flat, float).reshape(-1, channels)[:length].T
+        return np.pad(x, ((0, 0), (0, length - x.shape[1])))
+
     drawn = series.orderBy(F.xxhash64(*keys), *keys).limit(sample).collect()
     if not drawn:
         return series.select(*keys, F.array().cast("array<double>").alias("features"))
-    biases, kernels = kernel_biases([fit(r["x"]) for r in drawn], length, most, quantiles), _kernels()
+    weights = channel_weights(dilations(length, most), channels)
+    biases = kernel_biases([fit(r["x"]) for r in drawn], weights, quantiles)
 
     @F.pandas_udf("array<double>")
     def features(x: pd.Series) -> pd.Series:
-        return pd.Series([positive_shares(fit(v), biases, kernels) for v in x])
+        return pd.Series([positive_shares(fit(v), biases, weights) for v in x])
 
     return series.select(*keys, features("x").alias("features"))
 
 
-def series_features(tokens: DataFrame, keys: list[str], column: str, block: int = 4096, most: int = 4, quantiles: int = 2, sample: int = 32) -> DataFrame:
+def series_features(tokens: DataFrame, keys: list[str], column: str, block: int = 4096, most: int = 6, quantiles: int = 4, sample: int = 32, channels: int = 1) -> DataFrame:
     """Random-convolution features of whole series of tokens (keys, t, column), however long, as (keys, features).
 
-    A feature is a share of places, and counts of places add up: a series is cut into blocks of `block` places, every
-    block gets a halo of the tokens its kernels reach, and the counts of the blocks are summed. So a task holds
-    blocks, never a series, and the result is that of one convolution over the whole. Dilations are those that fit a
-    block. Beyond the ends, and at places without a token or with a null, values are 0; each t of a series occurs once. Biases are
-    fitted on `sample` blocks, first in hash order; that bound is the only data the driver gets. No tokens give no rows.
+    Dilations reach over the longest series, one number that the driver gets. Under dilation d every d-th token of a series is a
+    series of its own, with dilation 1; so the phases (t mod d) are convolved apart: several short ones in one group, a long one in
+    blocks of about `block` places with a halo of four tokens. A feature is a share of places, and counts of places add up: tasks
+    hold blocks, never a series, and the result is that of one convolution over the whole.
+    The column is a number, or an array of which `channels` elements are channels. Beyond the ends, and at places without a token
+    or with a null, values are 0; each t of a series occurs once. Biases are fitted on one block, the first in hash order, of each of `sample`
+    hash buckets a dilation. No tokens give no rows.
     """
-    halo, at = 4 * max(dilations(block, most)), F.col("t").cast("long")
-    around = F.array_distinct(F.array(F.floor((at - halo) / block), F.floor(at / block), F.floor((at + halo) / block)))
-    rows = tokens.where("t is not null").select(*keys, at.alias("t"), F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("x"), F.explode(around).alias("_block"))
-    blocks = rows.groupBy(*keys, "_block").agg(F.collect_list("t").alias("t"), F.collect_list("x").alias("x"), F.count_if(F.floor(F.col("t") / block) == F.col("_block")).alias("_n")).where("_n > 0")
-
-    def laid_out(b: int, t: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        wide, own = np.zeros(block + 2 * halo), np.zeros(block, bool)
-        place = np.asarray(t, int) - (b * block - halo)
-        wide[place] = x
-        mine = place[(place >= halo) & (place < halo + block)] - halo
-        own[mine] = True
-        return wide, own
-
-    drawn = blocks.orderBy(F.xxhash64(*keys, "_block"), *keys, "_block").limit(sample).collect()
-    if not drawn:
+    rows = tokens.where("t is not null").select(*keys, F.col("t").cast("long").alias("t"), _channel_values(tokens, column, channels).alias("_x"))
+    low, high = rows.agg(F.min("t"), F.max("t")).first()
+    if low is None:
         return tokens.select(*keys, F.array().cast("array<double>").alias("features")).limit(0)
-    fit = [laid_out(r["_block"], r["t"], r["x"]) for r in drawn]
-    kernels, biases = _kernels(), kernel_biases([wide[halo : halo + np.flatnonzero(own).max() + 1] for wide, own in fit], block, most, quantiles)
+    weights = channel_weights(dilations(high - low + 1, most), channels)
+    shapes = []
+    for d in weights:  # width of a block in places of a phase, and phases in a group
+        width = min(block, -(-(high - low + 1) // d))
+        shapes.append((d, width, max(1, block // (width + 8))))
+    shape = F.inline(F.array(*[F.struct(F.lit(d).cast("long").alias("_d"), F.lit(w).cast("long").alias("_w"), F.lit(p).cast("long").alias("_p")) for d, w, p in shapes]))
+    at = F.col("t") - low
+    spread = rows.select(*keys, "_x", "t", shape).withColumn("_phase", at % F.col("_d")).withColumn("_u", F.floor(at / F.col("_d")))
+    around = F.array_distinct(F.array(*[F.floor((F.col("_u") + h) / F.col("_w")) for h in (-4, 0, 4)]))
+    placed = spread.withColumn("_block", F.explode(around)).withColumn("_in", F.col("_u") - F.col("_block") * F.col("_w"))
+    spot = (F.col("_phase") % F.col("_p")) * (F.col("_w") + 8) + F.col("_in") + 4
+    mine = (F.col("_in") >= 0) & (F.col("_in") < F.col("_w"))
+    by = [*keys, "_d", F.floor(F.col("_phase") / F.col("_p")).alias("_group"), "_block"]
+    blocks = cut(placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(spot.alias("i"), mine.alias("own"), F.col("_x").alias("x")))).alias("_s"), F.count_if(mine).alias("_n")).where("_n > 0"))
+    flat = [F.col("_s.i").alias("_i"), F.col("_s.own").alias("_own"), F.flatten("_s.x").alias("_x")]
+
+    def shown(d: int, i, own, x) -> np.ndarray:
+        """The outputs at the places a block owns; phases lie in one row, eight zeros apart."""
+        i = np.asarray(i, int)
+        wide = np.zeros((channels, i.max() + 5))
+        wide[:, i] = np.asarray(x, float).reshape(-1, channels).T
+        return convolved(wide, 1, weights[d])[:, i[np.asarray(own, bool)]]
+
+    order = F.xxhash64(*keys, "_group", "_block")
+    drawn = blocks.groupBy("_d", F.pmod(order, F.lit(sample)).alias("_bucket")).agg(F.min_by(F.struct(*flat), F.struct(order, *keys, "_group", "_block")).alias("_b")).orderBy("_d", "_bucket").collect()
+    biases = {}
+    for n, d in enumerate(weights):
+        outputs = [shown(d, r["_b"]["_i"], r["_b"]["_own"], r["_b"]["_x"]) for r in drawn if r["_d"] == d]
+        biases[d] = bias_quantiles(outputs, 84 * n, quantiles)
 
     @F.pandas_udf("array<long>")
-    def counts(b: pd.Series, t: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for i, places, values in zip(b, t, x):
-            wide, own = laid_out(i, places, values)
-            held = np.flatnonzero(own) + halo
-            out.append(np.concatenate([(convolved(wide, d, kernels)[:, None, held] > cut_at[:, :, None]).sum(2).ravel() for d, cut_at in biases.items()]))
-        return pd.Series(out)
-
-    per_block = blocks.select(*keys, "_n", F.posexplode(counts("_block", "t", "x")).alias("_i", "_c"))
-    shares = per_block.groupBy(*keys, "_i").agg((F.sum("_c") / F.sum("_n")).alias("_share"))
-    return shares.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_share")))["_share"].alias("features"))
+    def counts(d: pd.Series, i: pd.Series, own: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([(shown(e, a, b, c)[:, None, :] > biases[e][:, :, None]).sum(2).ravel() for e, a, b, c in zip(d, i, own, x)])
+
+    per_block = blocks.select(*keys, "_d", "_n", *flat).select(*keys, "_d", "_n", F.posexplode(counts("_d", "_i", "_own", "_x")).alias("_f", "_c"))
+    shares = per_block.groupBy(*keys, "_d", "_f").agg((F.sum("_c") / F.sum("_n")).alias("_share"))
+    return shares.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_d", "_f", "_share")))["_share"].alias("features"))
+
+
+def positive_shares_above(tokens: DataFrame, keys: list[str], column: str, steps: list[int], bias: float) -> DataFrame:
+    """(keys, dilation, kernel, share): share of the places of a series where each of the 84 kernels, in each dilation, exceeds one bias.
+
+    The same convolution in columns alone: a token goes to the nine places that its value reaches, and a place adds up what comes
+    there. A kernel is named by the places of its three weights 2. Places without a token are 0 and not counted; so are nulls, which are counted.
+    """
+    from itertools import combinations
+
+    step = F.explode(F.array(*[F.lit(d).cast("long") for d in steps])).alias("dilation")
+    tap = F.posexplode(F.sequence(F.lit(-4), F.lit(4))).alias("_j", "_o")
+    sent = tokens.where("t is not null").select(*keys, F.col("t").cast("long").alias("t"), F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("_x"), step).select("*", tap)
+    here = sent.groupBy(*keys, "dilation", (F.col("t") - F.col("_o") * F.col("dilation")).alias("_at")).agg(*[F.coalesce(F.max(F.when(F.col("_j") == j, F.col("_x"))), F.lit(0.0)).alias(f"_{j}") for j in range(9)], F.bool_or(F.col("_o") == 0).alias("_there")).where("_there")
+    whole = sum((F.col(f"_{j}") for j in range(1, 9)), F.col("_0"))
+    named = list(combinations(range(9), 3))
+    above = [F.count_if(3 * (F.col(f"_{a}") + F.col(f"_{b}") + F.col(f"_{c}")) - whole > bias).alias(f"k{a}{b}{c}") for a, b, c in named]
+    counts = here.groupBy(*keys, "dilation").agg(F.count("*").alias("_n"), *above)
+    each = F.inline(F.array(*[F.struct(F.lit(f"{a}{b}{c}").alias("kernel"), F.col(f"k{a}{b}{c}").alias("_c")) for a, b, c in named]))
+    return counts.select(*keys, "dilation", "_n", each).select(*keys, "dilation", "kernel", F.round(F.col("_c") / F.col("_n"), 6).alias("share"))
 
 
 def in_blocks(queries: DataFrame, base: DataFrame, run, schema: str, query_rows: int, base_rows: int) -> DataFrame:

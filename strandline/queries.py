@@ -717,8 +717,30 @@ def prj04_prj05_random_projection(s, d):
 
 @query()
 def prj06_kernel_features(s, d):
-    windows = seq.windows_of(tokens(s, d), "user_id", 16, 8)
-    return vec.kernel_features(windows, ["user_id", "window_idx"], "x", 16, 2, 2).select("user_id", "window_idx", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    windows = seq.windows_of(tokens(s, d), "user_id", 64, 32)
+    return vec.kernel_features(windows, ["user_id", "window_idx"], "x", 64).select("user_id", "window_idx", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+def _token_vectors(s, d):
+    """The vectors of a label as the tokens of one sequence, in the order of their ids."""
+    return numbered(vectors(s, d).select("label", "vec_id", "v"), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 100_000))
+
+
+@query()
+def prj06_multichannel_features(s, d):
+    windows = seq.windows_of(_token_vectors(s, d), "label", 32, 16)
+    return vec.kernel_features(windows, ["label", "window_idx"], "v", 32, channels=64).select("label", "window_idx", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+_ABOVE = 0.123456  # a bias that no sum of rounded values meets
+
+
+@query(f"""with {T}, n as (select user_id, count(*) as n from t group by 1), ds as (select unnest([1, 2, 4]) as d), ks as (select a, b, c from range(9) x(a), range(9) y(b), range(9) z(c) where a < b and b < c),
+taps as (select t.user_id, d, t.t, j, coalesce(o.x, 0) as x from t, ds, range(9) g(j) left join t o on o.user_id = t.user_id and o.t = t.t + d * (j - 4)),
+rows as (select user_id, d, t, list(x order by j) as w, sum(x) as all_x from taps group by all)
+select user_id, d as dilation, '' || a || b || c as kernel, round(avg((3 * (w[a + 1] + w[b + 1] + w[c + 1]) - all_x > {_ABOVE})::int::double), 6) as share from rows, ks group by all""")
+def prj06_positive_shares(s, d):
+    return vec.positive_shares_above(tokens(s, d), ["user_id"], "x", [1, 2, 4], _ABOVE)
 
 
 @query()
@@ -920,10 +942,16 @@ def vec10_correlation(s, d):
 
 @query()
 def prj07_whole_series_features(s, d):
-    f = vec.series_features(tokens(s, d), ["user_id"], "x", 64, 4, 2)
+    f = vec.series_features(tokens(s, d), ["user_id"], "x")
     return f.select("user_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
+@query()
+def prj07_multichannel_series(s, d):
+    f = vec.series_features(_token_vectors(s, d), ["label"], "v", channels=64)
+    return f.select("label", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
 @query(f"with {V}, {_RP}, x as (select vec_id, label, i, sum(v[j + 1] * w) as x from v, w group by all) select label, i, {_SIX} from x group by all")
 def prj08_project_and_pool(s, d):
     import numpy as np
