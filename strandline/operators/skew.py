@@ -13,10 +13,12 @@ from strandline.runtime import table
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """share: a key with more of all rows than this is heavy. salts: parts a heavy key is cut into."""
+    """share: a key with more of all rows than this is heavy. salts: parts that all rows would be cut into; a heavy key is cut into
+    its share of them, two at least.
+    """
 
     share: float = 0.01
-    salts: int = 64
+    salts: int = 1024
 
     @property
     def most(self) -> int:
@@ -25,7 +27,7 @@ class HeavyKeys:
 
 
 def heavy_keys(df: DataFrame, keys: list[str], how: HeavyKeys = HeavyKeys()) -> DataFrame:
-    """Hashes of the keys that hold more than about `share` of the rows; at most 2 / share of them.
+    """(_heavy, _salts): hashes of the keys that hold more than about `share` of the rows, at most 2 / share of them, and the parts to cut each into.
 
     A frequent-items sketch finds them in one pass that shuffles one small sketch per task. Its error is below
     a twentieth of the share, so keys at half the share and above are taken; lighter keys are never needed here,
@@ -34,7 +36,9 @@ def heavy_keys(df: DataFrame, keys: list[str], how: HeavyKeys = HeavyKeys()) ->
     sketch = df.select(F.xxhash64(*keys).alias("_key")).agg(
         F.expr(f"approx_top_k(_key, {how.most}, {max(1024, int(100 / how.share))})").alias("_top"), F.count("*").alias("_n")
     )
-    return sketch.select(F.explode("_top").alias("_t"), "_n").where(F.col("_t.count") > F.col("_n") * (how.share / 2)).select(F.col("_t.item").alias("_heavy"))
+    return sketch.select(F.explode("_top").alias("_t"), "_n").where(F.col("_t.count") > F.col("_n") * (how.share / 2)).select(
+        F.col("_t.item").alias("_heavy"), F.greatest(F.ceil(F.col("_t.count") / F.col("_n") * how.salts), F.lit(2)).alias("_salts")
+    )
 
 
 def skewed_aggregate(
@@ -48,24 +52,23 @@ def skewed_aggregate(
 
     Rows of heavy keys are found by a broadcast join with the sketch's few keys and aggregated in two steps:
     per (key, salt) and then per key. The salt comes from the counted column, so equal values meet in one salt and
-    distinct counts add up. All other keys take the ordinary shuffle, and both parts are put together.
+    distinct counts add up; values are counted, not their hashes. All other keys take the ordinary shuffle, and both parts are put together.
     Null keys are keys like others; nulls in sums add nothing; nulls in the counted column are not counted;
     repeated rows count each time; an empty table gives no rows.
     """
     names = [*sums]
-    counted = F.xxhash64(F.col(distinct)) if distinct else F.lit(None).cast("long")
+    counted = F.col(distinct) if distinct else F.lit(None).cast("long")
     rows = df.select(
-        *keys, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()], counted.alias("_value"),
-        (F.col(distinct).isNotNull() if distinct else F.lit(False)).alias("_given"), F.xxhash64(*keys).alias("_key"),
+        *keys, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()], counted.alias("_value"), F.xxhash64(*keys).alias("_key"),
     )
     heavy = heavy_keys(df, keys, how)
     tagged = rows.join(F.broadcast(heavy), F.col("_key") == F.col("_heavy"), "left")
-    salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.col("_value") if distinct else F.monotonically_increasing_id(), F.lit(how.salts)))
+    salt = F.when(F.col("_heavy").isNotNull(), F.pmod(F.xxhash64("_value") if distinct else F.monotonically_increasing_id(), F.col("_salts")))
     tagged = tagged.withColumn("_salt", salt)
 
     def result(part: DataFrame, by: list[str]) -> DataFrame:
-        once = part.groupBy(*by, "_value").agg(F.count("*").alias("n_rows"), *[F.sum(n).alias(n) for n in names], F.max("_given").alias("_given"))
-        seen = [F.count_if("_given").alias("n_distinct")] if distinct else []
+        once = part.groupBy(*by, "_value").agg(F.count("*").alias("n_rows"), *[F.sum(n).alias(n) for n in names])
+        seen = [F.count("_value").alias("n_distinct")] if distinct else []
         return once.groupBy(*by).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in names], *seen)
 
     light = result(tagged.where("_heavy is null"), keys).withColumn("heavy", F.lit(False))
