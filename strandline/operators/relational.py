@@ -157,34 +157,39 @@ def sample_each_group_first(df: DataFrame, by: str, key: str, n: int, seed: int
     return ranked.orderBy(~first, F.when(first, F.col(by)), "_h", key, by).limit(n).drop("_h", "rank")
 
 
-def sample_balanced(df: DataFrame, label: str, key: str, target: int, share_of_zero: float, seed: int = 42) -> DataFrame:
-    """`target` rows of which a given share has label 0; what label 0 lacks is filled with label 1 and not the reverse."""
-    zeros = top_per_group(df.where(F.col(label) == 0).withColumn("_h", hash_order(F.col(key), seed)), [label], [F.col("_h"), F.col(key)], int(target * share_of_zero))
-    taken = zeros.agg(F.count("*")).scalar()
-    ones = top_per_group(df.where(F.col(label) == 1).withColumn("_h", hash_order(F.col(key), seed)), [label], [F.col("_h"), F.col(key)], target).where(F.col("rank") <= F.lit(target) - taken)
-    return zeros.unionByName(ones).drop("_h", "rank")
+def sample_balanced(df: DataFrame, label: str, key: str, target: int, share_of_zero: float, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """`target` rows (of each group, if `by` is given) of which a given share has label 0; what label 0 lacks is filled with label 1 and not the reverse.
+
+    Each label of a group is first cut to `target` rows in hash order, so what a task sorts after that is bounded. Other labels are left out.
+    """
+    by = by or []
+    ranked = top_per_group(df.where(F.col(label).isin(0, 1)).withColumn("_h", hash_order(F.col(key), seed)), [*by, label], [F.col("_h"), F.col(key)], target)
+    zeros = F.least(F.count_if(F.col(label) == 0).over(Window.partitionBy(*by)), F.lit(int(target * share_of_zero)))
+    return ranked.withColumn("_zeros", zeros).where(F.col("rank") <= F.when(F.col(label) == 0, F.col("_zeros")).otherwise(target - F.col("_zeros"))).drop("_h", "rank", "_zeros")
 
 
-def quota_plan(df: DataFrame, by: str, label: str, targets: DataFrame) -> DataFrame:
+def quota_plan(df: DataFrame, by: str | list[str], label: str, targets: DataFrame) -> DataFrame:
     """Rows to draw from each group of `targets` (by, target, share_of_zero), as far as they are there.
 
     n_zero is floor(target x share_of_zero), or all rows of label 0 where there are fewer; label 1 fills up to the target.
     Groups without rows get 0; rows of groups that are no target, or of other labels, are left out. Null shares count as 0.
     """
-    there = df.groupBy(by).agg(F.count_if(F.col(label) == 0).alias("there_zero"), F.count_if(F.col(label) == 1).alias("there_one"))
+    by = [by] if isinstance(by, str) else by
+    there = df.groupBy(*by).agg(F.count_if(F.col(label) == 0).alias("there_zero"), F.count_if(F.col(label) == 1).alias("there_one"))
     t = targets.join(there, by, "left").fillna(0, ["there_zero", "there_one"])
     share = F.coalesce(F.col("share_of_zero").cast("decimal(12,6)"), F.lit(0))
     t = t.withColumn("n_zero", F.least("there_zero", F.floor(F.col("target") * share).cast("long")))
-    return t.select(by, "there_zero", "there_one", "n_zero", F.least("there_one", F.col("target") - F.col("n_zero")).cast("long").alias("n_one"))
+    return t.select(*by, "there_zero", "there_one", "n_zero", F.least("there_one", F.col("target") - F.col("n_zero")).cast("long").alias("n_one"))
 
 
-def sample_planned(df: DataFrame, by: str, label: str, key: str, plan: DataFrame, seed: int = 42) -> DataFrame:
+def sample_planned(df: DataFrame, by: str | list[str], label: str, key: str, plan: DataFrame, seed: int = 42) -> DataFrame:
     """The rows that a plan (by, n_zero, n_one) asks for, in hash order within each group and label.
 
     Rows are numbered within buckets of their order, so no group or label is sorted in one task. Ties of key keep any order.
     """
-    ranked = running_total(df.where(F.col(label).isin(0, 1)), [by, label], [key], seed=seed, name="_rank")
-    return ranked.join(plan.select(by, "n_zero", "n_one"), by).where(F.col("_rank") < F.when(F.col(label) == 0, F.col("n_zero")).otherwise(F.col("n_one"))).drop("_rank", "n_zero", "n_one")
+    by = [by] if isinstance(by, str) else by
+    ranked = running_total(df.where(F.col(label).isin(0, 1)), [*by, label], [key], seed=seed, name="_rank")
+    return ranked.join(plan.select(*by, "n_zero", "n_one"), by).where(F.col("_rank") < F.when(F.col(label) == 0, F.col("n_zero")).otherwise(F.col("n_one"))).drop("_rank", "n_zero", "n_one")
 
 
 def sample_proportional(df: DataFrame, by: list[str], label: str, key: str, target: int, seed: int = 42) -> DataFrame:

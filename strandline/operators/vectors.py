@@ -318,14 +318,15 @@ def silhouettes(queries: DataFrame, base: DataFrame, key: str, vector: str, labe
     return met.groupBy("query", "label").agg(a.alias("_a"), b.alias("_b")).select("query", "label", F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0)).alias("silhouette"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
-    """(query, neighbour, score, rank): the k rows of base nearest to each query, itself left out.
+def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", block: int = 1024, apart: str | None = None) -> DataFrame:
+    """(query, neighbour, score, rank): the k rows of base nearest to each query, itself left out, and so are rows with its value of `apart`, if given.
 
     A block of queries with a block of base keeps its own k best a query, and only those are shuffled. cosine: highest first;
     euclidean: lowest first; scores are rounded to 9 digits, ties go to the smaller id. Null vectors are left out; a zero
     vector has cosine 0.
     """
-    rows = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    group = F.xxhash64(apart) if apart else F.lit(None).cast("long")
+    rows = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), group.alias("g"))
     kind = dict(base.dtypes)[key]
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -341,6 +342,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int,
             far = _distances(a, b)
         far = np.round(far, 9)
         far[names[:, None] == own[None, :]] = np.inf
+        if apart:
+            far[q["g"].to_numpy()[:, None] == x["g"].to_numpy()[None, :]] = np.inf
         best = np.argsort(far, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(far, best, 1)
         out = pd.DataFrame({"query": np.repeat(names, best.shape[1]), "neighbour": own[best].ravel(), "score": score.ravel()})

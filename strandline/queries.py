@@ -572,6 +572,14 @@ def smp02_balanced(s, d):
     return rel.sample_balanced(g, "phenotype", "genome_id", 100, 0.35)
 
 
+@query(f"""with {M}, g as (select distinct split, antibiotic, genome_id, phenotype from m), r as (select *, row_number() over (partition by split, antibiotic, phenotype order by md5(genome_id || ':42'), genome_id) as r from g),
+z as (select split, antibiotic, count(*) filter (where phenotype = 0 and r <= 35) as n from r group by all)
+select split, antibiotic, genome_id, phenotype from r join z using (split, antibiotic) where r <= case when phenotype = 0 then n else 100 - n end""")
+def smp02_balanced_by_drug(s, d):
+    g = manifest(s, d).select("split", "antibiotic", "genome_id", "phenotype").distinct()
+    return rel.sample_balanced(g, "phenotype", "genome_id", 100, 0.35, by=["split", "antibiotic"])
+
+
 _PLANNED = {"train": (200, 0.35), "val_overlapped": (60, 0.5), "test_overlapped": (60, 0.5), "val_outside": (50, 0.4), "test_outside": (50, 0.4)}
 _PLAN = f"""with {M}, g as (select distinct split, genome_id, phenotype from m where antibiotic = 'velocillin'), c as (select split, count(*) filter (where phenotype = 0) as z, count(*) filter (where phenotype = 1) as o from g group by 1),
 q(split, target, share) as (values {", ".join(f"('{s}', {n}, {x}::decimal(12,6))" for s, (n, x) in _PLANNED.items())}),
@@ -596,6 +604,29 @@ def smp03_smp04_drawn(s, d):
     return rel.sample_planned(g, "split", "phenotype", "genome_id", plan).groupBy("split", "phenotype").agg(F.count_distinct("genome_id").alias("n_drawn"))
 
 
+_DRUG_PLAN = f"""with {M}, g as (select distinct split, antibiotic, genome_id, phenotype from m), c as (select split, antibiotic, count(*) filter (where phenotype = 0) as z, count(*) filter (where phenotype = 1) as o from g group by all),
+q(split, target, share) as (values {", ".join(f"('{s}', {n}, {x}::decimal(12,6))" for s, (n, x) in _PLANNED.items())}), drugs as (select distinct antibiotic from m),
+n as (select antibiotic, q.split, target, coalesce(z, 0) as there_zero, coalesce(o, 0) as there_one, least(coalesce(z, 0), floor(target * share)::bigint) as n_zero from drugs cross join q left join c using (split, antibiotic)),
+plan as (select antibiotic, split, there_zero, there_one, n_zero, least(there_one, target - n_zero)::bigint as n_one from n)"""
+
+
+def _drug_plan(s, d):
+    g = manifest(s, d).select("antibiotic", "split", "genome_id", "phenotype").distinct()
+    wanted = F.inline(F.array(*[F.struct(F.lit(k).alias("split"), F.lit(n).cast("long").alias("target"), F.lit(x).alias("share_of_zero")) for k, (n, x) in _PLANNED.items()]))
+    return g, rel.quota_plan(g, ["antibiotic", "split"], "phenotype", g.select("antibiotic").distinct().select("antibiotic", wanted))
+
+
+@query(_DRUG_PLAN + " select * from plan")
+def smp03_plan_by_drug(s, d):
+    return _drug_plan(s, d)[1]
+
+
+@query(_DRUG_PLAN + " select antibiotic, split, 0 as phenotype, n_zero as n_drawn from plan where n_zero > 0 union all select antibiotic, split, 1, n_one from plan where n_one > 0")
+def smp03_smp04_drawn_by_drug(s, d):
+    g, plan = _drug_plan(s, d)
+    return rel.sample_planned(g, ["antibiotic", "split"], "phenotype", "genome_id", plan).groupBy("antibiotic", "split", "phenotype").agg(F.count_distinct("genome_id").alias("n_drawn"))
+
+
 @query(f"with {M}, g as (select distinct species, genome_id from m where split = 'train') select species, genome_id from (select *, row_number() over (partition by species order by md5(genome_id || ':7'), genome_id) as r from g) where r <= 2")
 def smp05_per_species(s, d):
     return rel.sample_per_group(manifest(s, d).where("split = 'train'").select("species", "genome_id").distinct(), ["species"], "genome_id", 2, 7)
@@ -834,6 +865,16 @@ def mdl14_cross_validation(s, d):
     return models.cross_validated(v, "v", "phenotype", "fold", 5, chosen)
 
 
+@query(f"""with {V}, f as (select *, (vec_id // 100) % 5 as fold from v), x as (select q.vec_id as query, v.vec_id as neighbour, q.phenotype as own, q.fold, v.phenotype as y, round(list_distance(q.v, v.v), 9) as score from f q join f v on q.fold <> v.fold where q.vec_id % 100 = 0),
+k as (select * from (select *, row_number() over (partition by query order by score, neighbour) as rank from x) where rank <= 5),
+p as (select query, own, fold, weighting, (round(sum(w * y) / sum(w), 9) > 0.5)::int as p from (select *, case weighting when 'uniform' then 1.0::double else 1 / greatest(score, 1e-12::double) end as w from k, (select unnest(['uniform', 'distance']) as weighting)) group by all)
+select 5::bigint as k, weighting, fold, count(*) as n, round(avg((p = own)::int::double), 6) as accuracy from p group by all""")
+def mdl14_neighbour_folds(s, d):
+    v = vectors(s, d).withColumn("fold", F.floor(F.col("vec_id") / 100) % 5)
+    n = vec.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "v", 5, "euclidean", apart="fold")
+    return vec.vote_grid(n, v, "vec_id", "phenotype", "fold", [5]).withColumnRenamed("split", "fold")
+
+
 @query(f"""with {V}, x as (select q.vec_id as query, q.label, v.label as c, sum(list_distance(q.v, v.v)) as total, count(*) as n from v q, v where q.vec_id % 100 = 0 group by all),
 y as (select query, label, max(total / (n - 1)) filter (where c = label and n > 1) as a, min(total / n) filter (where c <> label) as b from x group by all)
 select query, label, round(coalesce((b - a) / greatest(a, b), 0), 6) as silhouette from y""")

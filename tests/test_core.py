@@ -122,6 +122,10 @@ def test_samples_and_splits(spark):
     assert (got.where("y = 0").count(), got.where("y = 1").count()) == (35, 65)
     few = rel.sample_balanced(df.where("y = 1 or k < 10"), "y", "k", 60, 0.5)
     assert (few.where("y = 0").count(), few.where("y = 1").count()) == (7, 53)
+    groups = df.withColumn("g", F.when(F.col("k") < 200, "a")).withColumn("y", F.when(F.col("k") % 50 != 1, F.col("y")))  # a null group, null labels
+    sizes = {(r["g"], r["y"]): r["count"] for r in rel.sample_balanced(groups, "y", "k", 20, 0.35, by=["g"]).groupBy("g", "y").count().collect()}
+    assert sizes == {("a", 0): 7, ("a", 1): 13, (None, 0): 7, (None, 1): 13}
+    assert rel.sample_balanced(groups.limit(0), "y", "k", 20, 0.35, by=["g"]).count() == 0
     assert values(rel.sample_per_group(df, ["y"], "k", 5), "k") == values(rel.sample_per_group(df, ["y"], "k", 5), "k")
     folds = rel.stratified_folds(df, "y", "k", 5).groupBy("y", "fold").count().collect()
     assert {(r["y"], r["count"]) for r in folds} == {(0, 60), (1, 20)}

@@ -38,6 +38,8 @@ def test_nearest_matches_brute_force(spark, metric):
         order = [i for i in np.lexsort((np.arange(90), -s)) if i != q][:5]
         assert [got[q, r + 1] for r in range(5)] == order
     assert vec.nearest(df.limit(0), df, "id", "v", 5).count() == 0
+    other = vec.nearest(df.where("id % 10 = 0"), df, "id", "v", 5, metric, block=4, apart="y").collect()
+    assert len(other) == 45 and all((r["query"] - r["neighbour"]) % 2 for r in other)  # y is the parity of the id
 
 
 def test_kernel_shares_match_a_plain_loop():
