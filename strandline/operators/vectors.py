@@ -166,6 +166,13 @@ def _channel_values(df: DataFrame, column: str, channels: int) -> Column:
     return F.array(*[F.coalesce(a.cast("double"), F.lit(0.0)) for a in at])
 
 
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by keys to as many tasks as the session asks for. A grouping by these keys needs no further shuffle, and little data is not
+    put into one task, which would do all the arithmetic that follows.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def kernel_features(windows: DataFrame, keys: list[str], column: str, length: int, most: int = 6, quantiles: int = 4, sample: int = 32, channels: int = 1) -> DataFrame:
     """Random-convolution features of every window of tokens (keys, t, column), as (keys, features): 84 x dilations x quantiles shares.
 
@@ -173,7 +180,7 @@ def kernel_features(windows: DataFrame, keys: list[str], column: str, length: in
     hash order; that bound is the only data the driver gets. Windows that are shorter than `length` are padded with zeros, nulls are 0.
     Every window is one small group of `length` tokens at most. No tokens give no rows.
     """
-    tokens = windows.select(*keys, "t", _channel_values(windows, column, channels).alias("_x"))
+    tokens = _dealt(windows.select(*keys, "t", _channel_values(windows, column, channels).alias("_x")), keys)
     series = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "_x"))).alias("_s")).select(*keys, F.flatten("_s._x").alias("x"))
 
     def fit(flat) -> np.ndarray:
@@ -220,8 +227,9 @@ def series_features(tokens: DataFrame, keys: list[str], column: str, block: int
     placed = spread.withColumn("_block", F.explode(around)).withColumn("_in", F.col("_u") - F.col("_block") * F.col("_w"))
     spot = (F.col("_phase") % F.col("_p")) * (F.col("_w") + 8) + F.col("_in") + 4
     mine = (F.col("_in") >= 0) & (F.col("_in") < F.col("_w"))
-    by = [*keys, "_d", F.floor(F.col("_phase") / F.col("_p")).alias("_group"), "_block"]
-    blocks = cut(placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(spot.alias("i"), mine.alias("own"), F.col("_x").alias("x")))).alias("_s"), F.count_if(mine).alias("_n")).where("_n > 0"))
+    by = [*keys, "_d", "_group", "_block"]
+    grouped = _dealt(placed.withColumn("_group", F.floor(F.col("_phase") / F.col("_p"))), by)
+    blocks = cut(grouped.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(spot.alias("i"), mine.alias("own"), F.col("_x").alias("x")))).alias("_s"), F.count_if(mine).alias("_n")).where("_n > 0"))
     flat = [F.col("_s.i").alias("_i"), F.col("_s.own").alias("_own"), F.flatten("_s.x").alias("_x")]
 
     def shown(d: int, i, own, x) -> np.ndarray:
