@@ -58,7 +58,8 @@ _ROWS = f"select genome_id, {_key('species')} as species, {_key('partition_label
 
 _SIZED = f"select doc_id, {_key('source')} as source, coalesce(strlen(text), 0) as tokens from documents"
 
-# the operator's rule on whole tables, with its production parameters: 20 final words, endings of 40, closings at nine ends in ten
+# the operator's rule on whole tables, with its production parameters: 20 final words, endings of 40, closings at nine ends in ten;
+# it lacks inner trigrams without support, so it can miss texts that the operator finds
 _FLAGS = f"""with words as (select doc_id, {_key('source')} as source, {_key('lang')} as lang, list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(trim(text, ' '),
     '(?m)^\\p{{L}}+ [0-9]+ \\p{{L}}+ [0-9]+\\b.*$', ' ', 'g'), '[0-9]+', '9', 'g'), '[\\n\\r]\\s*', ' ¶ ', 'g'), '[^\\p{{L}}\\p{{N}}¶]+'), lambda x: x <> '') as w
   from documents where regexp_matches(text, '\\S')),

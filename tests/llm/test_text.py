@@ -156,6 +156,21 @@ def test_a_small_sources_own_closing_counts_beside_large_ones(spark):
     assert {i for i, cut in flags.items() if cut} == {9, 10, 11}
 
 
+@pytest.mark.parametrize("few", [0, 4_000_000])
+def test_a_final_trigram_that_ends_hardly_any_text_is_counted_inside(spark, few):
+    rng = random.Random(6)
+
+    def text(end, quoted=False):
+        names = " ".join("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) for _ in range(30))
+        return f"The witness saw nothing that day. {'It was said that the motion is granted at times. ' if quoted else ''}{names} {end}"
+
+    # the order stands at ends two times in three, so it is no closing
+    rows = [(i, text("the motion is granted", i % 2 == 0), "a") for i in range(40)]
+    rows += [(100, text("the motion is granted because witness saw nothing"), "a"), (101, text("while saw nothing that"), "a"), (102, text("though nothing that day the motion is granted"), "a"), (103, text("unlike"), "a")]
+    flags = {r["doc_id"]: r["evidence"] for r in tr.truncated(docs(spark, rows), tr.Ends(few=few)).collect() if r["truncated"]}
+    assert flags == {100: "inner", 101: "inner", 103: "unseen"}
+
+
 @pytest.mark.parametrize("reach", [1, 8, 30, 90, 5000])
 def test_last_lines_hold_the_final_words_of_the_whole_text(spark, reach):
     rng = random.Random(reach)
